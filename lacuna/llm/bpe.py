@@ -12,10 +12,10 @@ import json
 import re
 import struct
 import unicodedata
-from array import array
 from collections.abc import Iterable, Iterator
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
@@ -315,9 +315,9 @@ def encode_units(text: str, path: str) -> list[tuple[bytes, str]]:
     return [x for x in out if x[0]]
 
 
-def bpe_stream(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", texts: bool = True) -> DataFrame:
-    """(doc_id, n_tokens, ids, decoded, ids_sha256, decoded_sha256): every whole text encoded by the
-    bounded-lookahead transducer and decoded again; without `texts` only the digests leave the worker.
+def bpe_stream(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", outputs: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids, decoded): every whole text encoded by the
+    bounded-lookahead transducer and decoded again; of ids and decoded, those named in `outputs`.
 
     For vocabularies with word ends (NFC, lower case, white space dropped). Null text counts as empty: no
     ids, the digest of nothing. Runs of any length pass through a buffer of constant size. Repeated rows give
@@ -331,12 +331,10 @@ def bpe_stream(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                 units = encode_units(t, path) if t else []
                 ids, text = b"".join(x for x, _ in units), " ".join([x for _, x in units])
                 row = [len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text.encode("utf-8", "replace")).hexdigest()]
-                if texts:
-                    row += [list(array("I", ids)), text]
-                rows.append(row)
+                rows.append(row + [np.frombuffer(ids, dtype=np.uint32).astype(np.int32)] * ("ids" in outputs) + [text] * ("decoded" in outputs))
             yield pd.DataFrame(rows, columns=names).assign(doc_id=b["doc_id"].to_numpy())[["doc_id", *names]]
 
-    names = ["n_tokens", "ids_sha256", "decoded_sha256", *["ids", "decoded"] * texts]
+    names = ["n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * ("ids" in outputs), *["decoded"] * ("decoded" in outputs)]
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInPandas(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * texts)
+    return rows.mapInPandas(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ("ids" in outputs) + ", decoded string" * ("decoded" in outputs))

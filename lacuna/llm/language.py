@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lacuna.llm.common import crc_fold
 
@@ -134,8 +135,9 @@ def prototypes(labelled: DataFrame, rows_per_language: int = 4000) -> tuple[list
 
 
 def predict(docs: DataFrame, langs: list[str], p: np.ndarray) -> DataFrame:
-    """docs (doc_id, text) -> (doc_id, lang_pred, score): the language whose prototype, less what all
-    prototypes share, is nearest by cosine; score is the cosine with its whole prototype, at least 0."""
+    """docs with `text` -> docs with lang_pred and score: the language whose prototype, less what all
+    prototypes share, is nearest by cosine; score is the cosine with its whole prototype, at least 0. Other
+    columns pass through."""
     common = p.mean(0) if len(p) > 1 else 0 * p.sum(0)
     apart = p - common
     apart = apart / np.maximum(np.linalg.norm(apart, axis=1, keepdims=True), 1e-12)
@@ -150,10 +152,21 @@ def predict(docs: DataFrame, langs: list[str], p: np.ndarray) -> DataFrame:
             else:
                 best, seen, score = np.zeros(len(b), dtype=int), seen & False, np.zeros(len(b))
             name = np.array([*langs, "und"], dtype=object)[np.where(seen, best, len(langs))]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "lang_pred": name, "score": np.where(seen, score, 0.0)})
+            b = b.assign(lang_pred=name, score=np.where(seen, score, 0.0))
+            yield b[names]
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, lang_pred string, score double")
+    names = [*docs.columns, "lang_pred", "score"]
+    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return docs.mapInPandas(run, schema)
+
+
+def keep_known(docs: DataFrame, least: float = 0.1, rows_per_language: int = 4000) -> DataFrame:
+    """Rows of docs (doc_id, text, lang, ...) whose text has a language: those that are `und`, or whose score
+    is below `least` (no language's profile is near: digits, symbols, noise), go. Columns are those of docs."""
+    plain = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns) if c != "text"], "text")
+    langs, p = prototypes(docs.select("doc_id", "text", "lang").where(crc_fold(F.col("doc_id")) != 2), rows_per_language)
+    told = predict(plain, langs, p).where((F.col("lang_pred") != "und") & (F.col("score") >= least))
+    return told.select(*[F.col("text") if c == "text" else F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def identify(docs: DataFrame, rows_per_language: int = 4000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -166,5 +179,5 @@ def identify(docs: DataFrame, rows_per_language: int = 4000, id_col: str = "doc_
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     langs, p = prototypes(rows.where(crc_fold(F.col("doc_id")) != 2), rows_per_language)
-    out = predict(rows, langs, p)
+    out = predict(rows.select("doc_id", "text"), langs, p)
     return out.select("doc_id", F.coalesce(crc_fold(F.col("doc_id")) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
