@@ -1,4 +1,6 @@
-"""Registered queries over the reference operators, and their SQL."""
+"""All registered queries over the library's operators, and their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from lacuna.plans import case_queries, class_queries, record_queries, search_queries  # noqa: F401
+from lacuna.plans.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
