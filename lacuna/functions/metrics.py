@@ -13,7 +13,8 @@ def half_up(c: Column, digits: int = 0) -> Column:
 
 
 def clamp01(c: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+    """c within 0 and 1; null stays null, though greatest and least pass over nulls."""
+    return F.when(c.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)))
 
 
 def growth_pct(before: Column, after: Column) -> Column:

@@ -84,8 +84,8 @@ def extract(cases: DataFrame, taxonomy: Taxonomy, df: DataFrame, total: DataFram
     """Features of case texts by tf * (ln(N / (1 + df)) + 1), the first `most` as F1, F2, ... (AGG11); ties in
     the taxonomy's order. cases has case_id and text; total one row with n; lift is optional."""
     f = cases.select("case_id", F.explode(features_of(F.col("text"), taxonomy)).alias("f")).select("case_id", "f.*")
-    f = f.join(F.broadcast(df), "feature_id", "left").join(F.broadcast(total), F.lit(True))
-    f = f.withColumn("score", F.col("tf") * (F.log(F.col("N") / (1 + F.coalesce("df", F.lit(0)))) + 1))
+    f = f.join(F.broadcast(df), "feature_id", "left").join(F.broadcast(total.toDF("_all")), F.lit(True))
+    f = f.withColumn("score", F.col("tf") * (F.log(F.col("_all") / (1 + F.coalesce("df", F.lit(0)))) + 1))
     w = Window.partitionBy("case_id").orderBy(F.desc(F.round("score", 9)), "n")
     f = f.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
     if lift is not None:
@@ -99,7 +99,7 @@ def document_terms(cases: DataFrame, df: DataFrame, total: DataFrame, k: int = 2
     """(case_id, token, weight, rank): a text's k most telling tokens by (1 + ln tf) * ln(N / df), tokens that
     no record holds left out, ties by token (AGG12)."""
     t = cases.select("case_id", F.explode(text.tokens(F.col("text"))).alias("token")).groupBy("case_id", "token").agg(F.count("*").alias("tf"))
-    t = t.join(df, "token").join(F.broadcast(total), F.lit(True)).withColumn("weight", (1 + F.log("tf")) * F.log(F.col("N") / F.col("df")))
+    t = t.join(df, "token").join(F.broadcast(total.toDF("_all")), F.lit(True)).withColumn("weight", (1 + F.log("tf")) * F.log(F.col("_all") / F.col("df")))
     w = Window.partitionBy("case_id").orderBy(F.desc(F.round("weight", 9)), "token")
     return t.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("case_id", "token", "weight", "rank")
 

@@ -1,0 +1,318 @@
+"""Cases: retrieval, factors, score, sensitivity, back test."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lacuna.functions import text
+from lacuna.operators import features, retrieve, score
+from lacuna.plans import views
+from lacuna.plans.registry import query
+from lacuna.plans.search_queries import GRID, STOP, TF, TOKENS
+
+TAX = views.TAXONOMY
+
+
+def cases(spark: SparkSession, d: str, shift: int = 0) -> DataFrame:
+    """Every 47th record as a case at its own date, or `shift` years before."""
+    r = views.rec(spark, d).where("pos % 47 = 0")
+    cut = F.add_months("publication_date", -12 * shift)
+    return r.select(F.col("pos").alias("case_id"), F.concat_ws(" ", "title", "abstract").alias("text"), cut.alias("cutoff"), F.year(cut).alias("cutoff_year"), F.lit("FR").alias("target"))
+
+
+def frequencies(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    r = views.rec(spark, d)
+    df = retrieve.postings(r).groupBy("token").agg(F.count("*").alias("df"))
+    return r, df, r.agg(F.count("*").alias("N"))
+
+
+def case_features(spark: SparkSession, d: str) -> DataFrame:
+    r = views.rec(spark, d)
+    df = features.frequency(features.document_features(r, TAX))
+    return features.extract(cases(spark, d), TAX, df, r.agg(F.count("*").alias("N")))
+
+
+def queries(spark: SparkSession, d: str) -> DataFrame:
+    _, df, n = frequencies(spark, d)
+    terms = features.document_terms(cases(spark, d), df, n)
+    return retrieve.case_tokens(case_features(spark, d), features.taxonomy_frame(spark, TAX), terms)
+
+
+CASES = f"""{TF}, cdf AS (SELECT feature_id, count(*) AS df FROM df GROUP BY 1),
+  cs AS (SELECT pos AS case_id, body AS text, publication_date AS cutoff, year AS cutoff_year FROM b WHERE pos % 47 = 0),
+  ex AS (
+    SELECT df.pos AS case_id, df.feature_id, tf, n, tf * (ln((SELECT count(*) FROM rec)::DOUBLE / (1 + coalesce(cdf.df, 0))) + 1) AS score
+    FROM df LEFT JOIN cdf ON cdf.feature_id = df.feature_id WHERE df.pos % 47 = 0),
+  cf AS (SELECT *, CAST(row_number() OVER (PARTITION BY case_id ORDER BY round(score, 9) DESC, n) AS INTEGER) AS rank FROM ex QUALIFY rank <= 8),
+  tk AS (SELECT pos, publication_date, unnest({TOKENS.format('body', STOP)}) AS token FROM b),
+  po AS (SELECT pos, token, count(*) AS tf, any_value(publication_date) AS publication_date FROM tk GROUP BY 1, 2),
+  ln AS (SELECT pos, publication_date, len({TOKENS.format('body', STOP)}) AS len FROM b),
+  pdf AS (SELECT token, count(*) AS df FROM po GROUP BY 1),
+  dt AS (
+    SELECT po.pos AS case_id, po.token, (1 + ln(tf)) * ln((SELECT count(*) FROM rec) / pdf.df::DOUBLE) AS weight FROM po JOIN pdf ON pdf.token = po.token WHERE po.pos % 47 = 0),
+  terms AS (SELECT *, CAST(row_number() OVER (PARTITION BY case_id ORDER BY round(weight, 9) DESC, token) AS INTEGER) AS rank FROM dt QUALIFY rank <= 20),
+  tw AS (SELECT * FROM (VALUES {', '.join(f"('{i}', '{t.lower()}')" for i, label, p, a in TAX for t in dict.fromkeys(x.lower() for x in [label, *p, *a]) if len(t) >= 3 and t not in text.STOP_A)}) AS v(feature_id, token)),
+  qt AS (SELECT case_id, token FROM terms UNION SELECT case_id, token FROM cf JOIN tw ON tw.feature_id = cf.feature_id)"""
+
+
+def sql_bm25(docs: str, lens: str, extra: str = "") -> str:
+    """Statistics per case over what its cutoff lets in, said directly."""
+    return f"""
+  st AS (SELECT case_id, cutoff, count(*) AS N, sum(len) / count(*)::DOUBLE AS avgdl FROM cs JOIN {lens} l ON l.publication_date <= cs.cutoff GROUP BY 1, 2),
+  hp AS (SELECT qt.case_id, p.pos, p.token, p.tf{extra}, st.N, st.avgdl FROM qt JOIN st ON st.case_id = qt.case_id JOIN {docs} p ON p.token = qt.token AND p.publication_date <= st.cutoff),
+  hd AS (SELECT case_id, token, count(*) AS df FROM hp GROUP BY 1, 2),
+  hs AS (
+    SELECT hp.case_id, hp.pos{extra}, sum(ln(1 + (N - df + 0.5) / (df + 0.5)) * (tf * 2.5) / (tf + 1.5 * (0.25 + 0.75 * len / avgdl))) AS score
+    FROM hp JOIN hd ON hd.case_id = hp.case_id AND hd.token = hp.token JOIN {lens} l ON l.pos = hp.pos GROUP BY ALL),
+  hr AS (SELECT *, CAST(row_number() OVER (PARTITION BY case_id ORDER BY round(score, 9) DESC, pos) AS INTEGER) AS rank, max(score) OVER (PARTITION BY case_id) AS best FROM hs)"""
+
+
+BM25 = f"{CASES},{sql_bm25('po', 'ln')}"
+
+
+@query(f"WITH {CASES} SELECT case_id, 'F' || rank AS id, feature_id, tf, round(score, 6) AS score, rank FROM cf")
+def extract_features(spark, d):
+    return case_features(spark, d).select("case_id", "id", "feature_id", "tf", F.round("score", 6).alias("score"), "rank")
+
+
+@query(f"WITH {CASES} SELECT case_id, token, round(weight, 6) AS weight, rank FROM terms")
+def document_terms(spark, d):
+    _, df, n = frequencies(spark, d)
+    return features.document_terms(cases(spark, d), df, n).withColumn("weight", F.round("weight", 6))
+
+
+@query(f"WITH {BM25} SELECT case_id, pos, rank, floor(score / best * 1000 + 0.5) / 1000 AS similarity FROM hr WHERE rank <= 5")
+def bm25_top5(spark, d):
+    return retrieve.as_of(views.rec(spark, d), queries(spark, d), cases(spark, d).select("case_id", "cutoff")).select("case_id", "pos", "rank", "similarity")
+
+
+def with_external(spark: SparkSession, d: str) -> DataFrame:
+    """Records and dated pages as one pool; pages' places come after the records'."""
+    k = views.kb(spark, d).select((F.col("pos") + 10_000_000_000).alias("pos"), "title", "abstract", F.make_date("year", F.lit(6), F.lit(30)).alias("publication_date"))
+    return views.rec(spark, d).select("pos", "title", "abstract", "publication_date").unionByName(k)
+
+
+EXT = f"""{CASES}, {views.KB}, kt AS (SELECT pos + 10000000000 AS pos, make_date(year, 6, 30) AS publication_date, {TOKENS.format("(title || ' ' || abstract)", STOP)} AS ts FROM kb),
+  po2 AS (SELECT pos, token, tf, publication_date FROM po UNION ALL SELECT pos, token, count(*), any_value(publication_date) FROM (SELECT pos, publication_date, unnest(ts) AS token FROM kt) GROUP BY 1, 2),
+  ln2 AS (SELECT * FROM ln UNION ALL SELECT pos, publication_date, len(ts) FROM kt),{sql_bm25('po2', 'ln2')},
+  er AS (SELECT *, CAST(row_number() OVER (PARTITION BY case_id ORDER BY rank) AS INTEGER) AS place FROM hr WHERE pos >= 10000000000)"""
+
+
+def external_art(spark: SparkSession, d: str) -> DataFrame:
+    """External records ranked in the merged pool, then the first five of them."""
+    from pyspark.sql import Window
+
+    hits = retrieve.as_of(with_external(spark, d), queries(spark, d), cases(spark, d).select("case_id", "cutoff"), None).where("pos >= 10000000000")
+    return hits.withColumn("place", F.row_number().over(Window.partitionBy("case_id").orderBy("rank"))).where("place <= 5")
+
+
+@query(f"WITH {EXT} SELECT case_id, pos, place FROM er WHERE place <= 5")
+def bm25_with_external(spark, d):
+    return external_art(spark, d).select("case_id", "pos", "place")
+
+
+STOP_B = ", ".join(f"'{w}'" for w in retrieve.STOP_B)
+KTOK = "list_filter(regexp_extract_all(lower(title || ' ' || title || ' ' || abstract), '[a-z0-9][a-z0-9-]{1,}'), lambda t: NOT list_contains([" + STOP_B + "], t) AND NOT regexp_matches(t, '^[0-9]+$'))"
+KQ = "kq AS (SELECT * FROM (VALUES (1, 'erin'), (1, 'thor'), (1, 'under'), (2, 'nden'), (2, 'ster')) AS v(case_id, token)), kc AS (SELECT 1 AS case_id, DATE '2020-12-31' AS cutoff UNION ALL SELECT 2, DATE '2015-12-31')"
+
+
+def knowledge_hits(spark: SparkSession, d: str, k: int, kind: str | None) -> DataFrame:
+    docs = views.kb(spark, d).withColumn("date", F.when(F.col("pos") % 3 == 0, F.make_date("year", F.lit(6), F.lit(30))))
+    qs = spark.createDataFrame([(1, "erin"), (1, "thor"), (1, "under"), (2, "nden"), (2, "ster")], "case_id int, token string")
+    cuts = spark.createDataFrame([(1, "2020-12-31"), (2, "2015-12-31")], "case_id int, cutoff string").withColumn("cutoff", F.to_date("cutoff"))
+    return retrieve.in_store(docs, qs, cuts, k, kind)
+
+
+def sql_knowledge(kind: str) -> str:
+    return f"""{views.KB}, kd AS (SELECT pos, type, year, CASE WHEN pos % 3 = 0 THEN make_date(year, 6, 30) END AS date, {KTOK} AS ts FROM kb), {KQ},
+  kp AS (SELECT pos, token, count(*) AS tf FROM (SELECT pos, unnest(ts) AS token FROM kd) GROUP BY 1, 2), kf AS (SELECT token, count(*) AS df FROM kp GROUP BY 1),
+  ks AS (SELECT count(*) AS N, avg(len(ts)) AS avgdl FROM kd),
+  kh AS (
+    SELECT kq.case_id, kd.pos, sum(ln(1 + (N - df + 0.5) / (df + 0.5)) * (tf * 2.5) / (tf + 1.5 * (0.25 + 0.75 * len(ts) / avgdl))) * (1 + count(*) / (SELECT count(*) FROM kq z WHERE z.case_id = kq.case_id)::DOUBLE) AS score
+    FROM kq JOIN kc ON kc.case_id = kq.case_id JOIN kp ON kp.token = kq.token JOIN kf ON kf.token = kq.token JOIN kd ON kd.pos = kp.pos, ks
+    WHERE {kind} AND CASE WHEN date IS NOT NULL THEN date <= cutoff ELSE kd.year <= year(cutoff) END GROUP BY 1, 2),
+  kr AS (SELECT *, CAST(row_number() OVER (PARTITION BY case_id ORDER BY round(score, 9) DESC, pos) AS INTEGER) AS rank, max(score) OVER (PARTITION BY case_id) AS best FROM kh)"""
+
+
+@query(f"WITH {sql_knowledge('true')} SELECT case_id, pos, rank, floor(score / best * 1000 + 0.5) / 1000 AS similarity FROM kr WHERE rank <= 10")
+def bm25_knowledge(spark, d):
+    return knowledge_hits(spark, d, 10, None).select("case_id", "pos", "rank", "similarity")
+
+
+@query(f"""WITH {sql_knowledge("type = 'patent'")}, t AS (SELECT * FROM kr WHERE rank <= 12), x AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY rank) AS p FROM t WHERE pos % 4 <> 3)
+  SELECT case_id, pos, rank FROM x WHERE p <= 6""")
+def prior_art_bundle(spark, d):
+    """Top 12 stored patents, less those in the corpus (here: pos % 4 = 3), the first six."""
+    from pyspark.sql import Window
+
+    hits = knowledge_hits(spark, d, 12, "patent")
+    known = views.kb(spark, d).where("pos % 4 = 3").select("pos")
+    left = hits.join(known, "pos", "left_anti")
+    return left.withColumn("p", F.row_number().over(Window.partitionBy("case_id").orderBy("rank"))).where("p <= 6").select("case_id", "pos", "rank")
+
+
+@query(f"WITH {BM25} SELECT count(*) AS cases, CAST(sum(hit) AS BIGINT) AS found, round(sum(hit) / count(*)::DOUBLE, 6) AS recall FROM (SELECT case_id, CASE WHEN EXISTS (SELECT 1 FROM hr WHERE hr.case_id = cs.case_id AND hr.pos = cs.case_id AND rank <= 5) THEN 1 ELSE 0 END AS hit FROM cs)")
+def known_item_recall(spark, d):
+    hits = retrieve.as_of(views.rec(spark, d), queries(spark, d), cases(spark, d).select("case_id", "cutoff"))
+    out = retrieve.recall(hits, cases(spark, d).select("case_id", F.col("case_id").alias("pos")))
+    return out.withColumn("recall", F.round("recall", 6))
+
+
+# --- factors ----------------------------------------------------------------------------------------------
+
+
+class Scored:
+    """The frames of one scoring run."""
+
+    def __init__(self, spark: SparkSession, d: str, shift: int = 0):
+        self.cases = cases(spark, d, shift)
+        self.records = views.rec(spark, d).withColumn("assignees", F.array("company_name"))
+        self.own = case_features(spark, d)
+        self.docs = features.document_features(self.records, TAX, "publication_date")
+        cut = self.cases.select("case_id", "cutoff")
+        self.art = retrieve.as_of(self.records, queries(spark, d), cut).select("case_id", "pos", F.col("rank").alias("place"))
+        self.matched = score.matched_set(self.own, self.cases, self.docs, self.records)
+        self.spark = spark
+
+    def novelty(self) -> DataFrame:
+        return score.novelty(self.own, self.art, self.docs)
+
+    def background(self) -> DataFrame:
+        """Pair counts at each distinct cutoff: pairs counted per day once, then joined with the cutoffs."""
+        per_day = features.pair_counts(self.records.where("publication_date is not null"), TAX, "publication_date").where("documents > 0")
+        cut = self.cases.select("cutoff").distinct()
+        grid = cut.join(F.broadcast(features.pair_grid(self.spark, TAX)), F.lit(True))
+        n = per_day.join(F.broadcast(cut), F.col("publication_date") <= F.col("cutoff")).groupBy("cutoff", "n1", "n2").agg(F.sum("documents").alias("documents"))
+        return grid.join(n, ["cutoff", "n1", "n2"], "left").select("cutoff", F.coalesce("documents", F.lit(0)).alias("documents"))
+
+    def crowding(self) -> DataFrame:
+        return score.crowding(self.matched, self.cases, self.background())
+
+    def regional(self) -> DataFrame:
+        return score.regional(self.matched, self.cases, self.records, targets=["EN", "FR", "DE", "ES"])
+
+    def temporal(self) -> DataFrame:
+        field = self.records.groupBy("year").agg(F.count("*").alias("n"))
+        return score.temporal(self.cases, score.year_counts(self.docs, self.own, self.records), field, self.matched, self.records)
+
+    def factors(self) -> DataFrame:
+        one = lambda df, name, fallback: df.select("case_id", F.lit(name).alias("factor"), "value", fallback.alias("is_fallback"))
+        return (
+            one(self.novelty(), "novelty", F.col("is_fallback"))
+            .unionByName(one(self.crowding(), "crowding", F.lit(False)))
+            .unionByName(one(self.temporal(), "temporal", F.col("is_fallback")))
+            .unionByName(one(self.regional(), "regional", F.col("total") == 0))
+        )
+
+
+ART = "art AS (SELECT case_id, pos, rank AS place FROM hr WHERE rank <= 5)"
+NOV = """ct AS (SELECT case_id, count(*) AS total FROM cf GROUP BY 1),
+  mt AS (SELECT art.case_id, art.pos, art.place, count(cf.feature_id) AS c FROM art JOIN df ON df.pos = art.pos JOIN cf ON cf.case_id = art.case_id AND cf.feature_id = df.feature_id GROUP BY 1, 2, 3),
+  ja AS (SELECT art.case_id, art.pos, art.place, coalesce(mt.c, 0) / ct.total::DOUBLE AS j FROM art JOIN ct ON ct.case_id = art.case_id LEFT JOIN mt ON mt.case_id = art.case_id AND mt.pos = art.pos),
+  bj AS (SELECT case_id, max(j) AS j, arg_max(pos, (j, place)) AS closest, count(*) AS n FROM ja GROUP BY 1),
+  se AS (SELECT cf.case_id, count(DISTINCT cf.feature_id) AS seen FROM art JOIN df ON df.pos = art.pos JOIN cf ON cf.case_id = art.case_id AND cf.feature_id = df.feature_id GROUP BY 1),
+  nov AS (
+    SELECT ct.case_id, CASE WHEN bj.j IS NULL THEN 0.5 ELSE 0.5::DOUBLE * greatest(0, least(1, 1 - bj.j)) + 0.5::DOUBLE * ((total - coalesce(seen, 0)) / total::DOUBLE) END AS value, bj.j IS NULL AS is_fallback,
+           coalesce(bj.n, 0) AS evidence_count, closest, floor(bj.j * 100 + 0.5) AS overlap_pct, total - coalesce(seen, 0) AS unmatched, total
+    FROM ct LEFT JOIN bj ON bj.case_id = ct.case_id LEFT JOIN se ON se.case_id = ct.case_id)"""
+MATCHED = "ms AS (SELECT cf.case_id, df.pos, any_value(df.publication_date) AS publication_date, any_value(df.jurisdiction) AS jurisdiction FROM cf JOIN df ON df.feature_id = cf.feature_id JOIN cs ON cs.case_id = cf.case_id AND df.publication_date <= cs.cutoff GROUP BY 1, 2 HAVING count(*) >= 2)"
+CROWD = f"""{GRID}, bg AS (
+    SELECT cut.cutoff, grid.n1, grid.n2, (SELECT count(*) FROM df x JOIN df y ON x.pos = y.pos WHERE x.n = grid.n1 AND y.n = grid.n2 AND x.publication_date <= cut.cutoff) AS documents FROM (SELECT DISTINCT cutoff FROM cs) cut, grid),
+  hc AS (SELECT cs.case_id, cs.cutoff, (SELECT count(*) FROM ms WHERE ms.case_id = cs.case_id) AS hits FROM cs),
+  cr AS (SELECT case_id, hits, (count(*) FILTER (WHERE documents < hits) + 0.5::DOUBLE * count(*) FILTER (WHERE documents = hits)) / count(*) AS percentile FROM hc JOIN bg ON bg.cutoff = hc.cutoff GROUP BY 1, 2),
+  cro AS (SELECT case_id, greatest(0, least(1, 1 - percentile)) AS value, hits, percentile FROM cr)"""
+REGIO = """ra AS (SELECT ms.case_id, company_name AS name, count(*) AS c FROM ms JOIN rec ON rec.pos = ms.pos GROUP BY 1, 2), rh AS (SELECT case_id, CAST(sum(c) AS BIGINT) AS total, sum(c * c) / (sum(c) * sum(c))::DOUBLE * 10000 AS hhi FROM ra GROUP BY 1),
+  reg AS (
+    SELECT cs.case_id, 0.5::DOUBLE * CASE WHEN coalesce(t.n, 0) = 0 THEN 1 ELSE 0 END + 0.5::DOUBLE * CASE WHEN hhi IS NULL THEN 0.5 ELSE greatest(0, 1 - hhi / 10000) END AS value, 'FR' AS target, coalesce(t.n, 0) AS target_hits, coalesce(hhi, 0) AS hhi, coalesce(total, 0) AS total
+    FROM cs LEFT JOIN rh ON rh.case_id = cs.case_id LEFT JOIN (SELECT case_id, count(*) AS n FROM ms WHERE jurisdiction = 'FR' GROUP BY 1) t ON t.case_id = cs.case_id)"""
+TEMPO = """yc AS (SELECT case_id, year, count(*) AS n FROM (SELECT DISTINCT cf.case_id, df.pos, df.year FROM cf JOIN df ON df.feature_id = cf.feature_id) GROUP BY 1, 2), fy AS (SELECT year, count(*) AS n FROM rec GROUP BY 1),
+  tv AS (
+    SELECT cs.case_id, coalesce((SELECT n FROM yc WHERE yc.case_id = cs.case_id AND yc.year = cutoff_year - 4), 0) AS f, coalesce((SELECT n FROM yc WHERE yc.case_id = cs.case_id AND yc.year = cutoff_year), 0) AS l,
+           coalesce((SELECT CAST(sum(n) AS BIGINT) FROM yc WHERE yc.case_id = cs.case_id AND yc.year BETWEEN cutoff_year - 4 AND cutoff_year), 0) AS papers, coalesce((SELECT n FROM fy WHERE fy.year = cutoff_year - 4), 0) AS ff,
+           coalesce((SELECT n FROM fy WHERE fy.year = cutoff_year), 0) AS fl, (SELECT count(*) FROM ms WHERE ms.case_id = cs.case_id AND year(publication_date) BETWEEN cutoff_year - 4 AND cutoff_year) AS patents FROM cs),
+  tem AS (
+    SELECT case_id, CASE WHEN papers < 20 THEN 0.5 ELSE
+             (CASE WHEN ff > 0 AND fl > 0 THEN greatest(0, least(1, 0.5 + 0.25 * log2(((l + 1) / (f + 1)::DOUBLE) / ((fl + 1) / (ff + 1)::DOUBLE))))
+                   ELSE greatest(0, least(1, 0.5 + CASE WHEN f > 0 THEN (l - f) / f::DOUBLE WHEN l > 0 THEN 1 ELSE 0 END / 2)) END) * CASE WHEN patents > papers THEN 0.5 ELSE 1 END END::DOUBLE AS value,
+           papers < 20 AS is_fallback, papers AS evidence_count FROM tv)"""
+
+
+@query(f"WITH {BM25}, {ART}, {NOV} SELECT case_id, round(value, 6) AS value, is_fallback, evidence_count, closest, overlap_pct, unmatched, total FROM nov")
+def novelty(spark, d):
+    return Scored(spark, d).novelty().withColumn("value", F.round("value", 6))
+
+
+@query(f"WITH {CASES}, {MATCHED} SELECT case_id, pos FROM ms")
+def matched_set(spark, d):
+    return Scored(spark, d).matched
+
+
+@query(f"WITH {CASES}, {MATCHED}, {CROWD} SELECT case_id, round(value, 6) AS value, hits, round(percentile, 6) AS percentile FROM cro")
+def crowding(spark, d):
+    return Scored(spark, d).crowding().withColumns({"value": F.round("value", 6), "percentile": F.round("percentile", 6)})
+
+
+@query(f"WITH {CASES}, {MATCHED}, {REGIO} SELECT case_id, round(value, 6) AS value, target, target_hits, round(hhi, 6) AS hhi, total FROM reg")
+def regional(spark, d):
+    return Scored(spark, d).regional().withColumns({"value": F.round("value", 6), "hhi": F.round("hhi", 6)})
+
+
+@query(f"WITH {CASES}, {MATCHED}, {TEMPO} SELECT case_id, round(value, 6) AS value, is_fallback, evidence_count FROM tem")
+def temporal(spark, d):
+    return Scored(spark, d).temporal().withColumn("value", F.round("value", 6))
+
+
+@query(f"WITH {CASES}, yc AS (SELECT case_id, year, count(*) AS n FROM (SELECT DISTINCT cf.case_id, df.pos, df.year FROM cf JOIN df ON df.feature_id = cf.feature_id) GROUP BY 1, 2) SELECT case_id, year, n FROM yc")
+def year_counts(spark, d):
+    s = Scored(spark, d)
+    return score.year_counts(s.docs, s.own, s.records)
+
+
+FACTORS = f"""{BM25}, {ART}, {NOV}, {MATCHED}, {CROWD}, {REGIO}, {TEMPO},
+  fa AS (
+    SELECT case_id, 'novelty' AS factor, value, is_fallback, 0.40::DOUBLE AS weight FROM nov UNION ALL SELECT case_id, 'crowding', value, false, 0.25::DOUBLE FROM cro
+    UNION ALL SELECT case_id, 'temporal', value, is_fallback, 0.20::DOUBLE FROM tem UNION ALL SELECT case_id, 'regional', value, total = 0, 0.15::DOUBLE FROM reg),
+  bd AS (SELECT case_id, factor, floor(value * 100 + 0.5) / 100 AS value, weight, floor(value * weight * 100 * 10 + 0.5) / 10 AS weighted, is_fallback FROM fa)"""
+GRADE = "CASE WHEN {0} >= 70 THEN 'High' WHEN {0} >= 45 THEN 'Medium' ELSE 'Low' END"
+
+
+@query(f"WITH {FACTORS}, sc AS (SELECT case_id, CAST(floor(round(sum(weighted), 6) + 0.5) AS INTEGER) AS score, count(*) FILTER (WHERE is_fallback) >= 2 AS insufficient_evidence FROM bd GROUP BY 1) SELECT case_id, score, {GRADE.format('score')} AS grade, insufficient_evidence FROM sc")
+def opportunity_score(spark, d):
+    return score.combine(Scored(spark, d).factors())[1]
+
+
+@query(f"""WITH {FACTORS}, ba AS (SELECT case_id, {GRADE.format('floor(round(sum(weighted), 6) + 0.5)')} AS base FROM bd GROUP BY 1), de AS (SELECT unnest([-0.1::DOUBLE, -0.05::DOUBLE, 0.05::DOUBLE, 0.1::DOUBLE]) AS delta),
+  mo AS (SELECT case_id, factor AS target, weight AS w0, delta, greatest(0, least(1, weight + delta)) AS w1 FROM bd, de),
+  te AS (SELECT mo.case_id, target AS factor, delta, CAST(floor(round(sum(value * CASE WHEN bd.factor = target THEN w1 ELSE weight * ((1 - w1) / (1 - w0)) END * 100), 6) + 0.5) AS INTEGER) AS score FROM mo JOIN bd ON bd.case_id = mo.case_id GROUP BY 1, 2, 3),
+  gr AS (SELECT te.*, {GRADE.format('score')} AS grade, base FROM te JOIN ba ON ba.case_id = te.case_id)
+  SELECT case_id, factor, delta, score, grade, grade <> base AS grade_changed, NOT bool_or(grade <> base) OVER (PARTITION BY case_id) AS robust FROM gr""")
+def sensitivity(spark, d):
+    return score.sensitivity(score.combine(Scored(spark, d).factors())[0])
+
+
+def back_cases(sql: str) -> str:
+    return sql.replace("publication_date AS cutoff, year AS cutoff_year", "CAST(publication_date - INTERVAL 24 MONTH AS DATE) AS cutoff, CAST(year - 2 AS INTEGER) AS cutoff_year")
+
+
+@query(f"""SELECT a.case_id, a.factor, a.value AS value_now, b.value AS value_then, floor((a.value - b.value) * 100 + 0.5) / 100 AS change
+  FROM (WITH {FACTORS} SELECT * FROM bd) a FULL JOIN (WITH {back_cases(FACTORS)} SELECT * FROM bd) b ON a.case_id = b.case_id AND a.factor = b.factor""")
+def backtest(spark, d):
+    return score.back_test(*[score.combine(Scored(spark, d, shift).factors())[0] for shift in (0, 2)])
+
+
+@query(f"""WITH {CASES}, k AS (SELECT case_id, count(*) AS n FROM cf GROUP BY 1)
+  SELECT cs.case_id, CASE WHEN coalesce(n, 0) = 0 THEN 'needs_confirmation: features' WHEN n < 2 THEN 'insufficient' ELSE 'scored' END AS status FROM cs LEFT JOIN k ON k.case_id = cs.case_id""")
+def case_status(spark, d):
+    own = case_features(spark, d).groupBy("case_id").agg(F.collect_list(F.struct("id", "feature_id")).alias("features"))
+    c = cases(spark, d).join(own, "case_id", "left")
+    return c.select("case_id", score.status(F.col("features"), F.col("cutoff_year"), F.lit("x")).alias("status"))
+
+
+@query(f"WITH {CASES}, r AS (SELECT pos, jurisdiction FROM rec), g AS (SELECT case_id, r.jurisdiction AS ipc, count(*) AS c, min(rank) AS first FROM cf JOIN r ON r.pos = (cf.case_id + cf.rank) GROUP BY 1, 2) SELECT case_id, arg_max(ipc, (c, -first)) AS subtech FROM g GROUP BY 1")
+def case_group(spark, d):
+    r = views.rec(spark, d).select("pos", F.col("jurisdiction").alias("ipc"))
+    f = case_features(spark, d).drop("ipc")
+    return features.dominant_group(f.join(r, F.col("case_id") + F.col("rank") == F.col("pos")))
+
+
