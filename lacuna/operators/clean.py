@@ -50,7 +50,7 @@ def reject_reason(as_of_year: int, core: list[str] = CORE) -> Column:
 
 def normalise(records: DataFrame, as_of_year: int, core: list[str] = CORE) -> DataFrame:
     """Records with cleaned and capped fields, `id` and `reject_reason` (CLN5)."""
-    date = F.when(F.col("date").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date("date", F.lit("yyyy-MM-dd")))
+    date = F.when(F.col("date").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date("date", "yyyy-MM-dd"))
     return records.withColumn("reject_reason", reject_reason(as_of_year, core)).withColumns({
         "title": F.substring(text.strip_tags(F.col("title")), 1, 400),
         "abstract": F.substring(text.strip_tags(F.coalesce("abstract", F.lit(""))), 1, 2000),

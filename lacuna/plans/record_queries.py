@@ -1,0 +1,286 @@
+"""Texts, keys, cleaning, ingestion, snowball, store and streams over views of the tables."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lacuna.functions import text
+from lacuna.operators import classes, clean
+from lacuna.operators import snowball as snow
+from lacuna.plans import views
+from lacuna.plans.registry import query
+from lacuna.sources import ingest, sinks
+from lacuna.streaming import writeback
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder that driver and executors share."""
+    import uuid
+
+    at = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lacuna-")
+    return f"{at}/scratch-{uuid.uuid4().hex}"
+
+
+# --- what a text says of its year -------------------------------------------------------------------------
+
+SAYS = [
+    "'Copyright ' || {y} || ' by its authors. ' || {t}",
+    "{t} || ' Accepted ' || {y} || '. As in (Smith, 2022) and et al., 2021.'",
+    "'Proceedings of the ' || {y} || ' Symposium. ' || {t}",
+    "'arXiv:' || substr({y}, 3, 2) || '04.12345 ' || {t}",
+    "{t} || ' in ' || {y} || ', 1999 and ' || {y} || {n} || 'References' || {n} || 'Someone 2011, 2011, 2011'",
+    "{t}",
+]
+
+
+def sayings(y: str, t: str, n: str) -> str:
+    return "CASE " + " ".join(f"WHEN pos % 6 = {i} THEN {s.format(y=y, t=t, n=n)}" for i, s in enumerate(SAYS)) + " END"
+
+
+def dated_texts(spark: SparkSession, d: str) -> DataFrame:
+    r = views.rec(spark, d).where("title is not null")
+    return r.select("pos", F.expr(sayings("cast(year as string)", "substring(title, 1, 80)", "'\\n'")).alias("text"))
+
+
+@query(f"""WITH {views.REC} SELECT pos, CASE WHEN pos % 6 = 5 THEN NULL ELSE year END AS year, CASE WHEN pos % 6 = 5 THEN NULL WHEN pos % 6 = 4 THEN 'low' ELSE 'high' END AS confidence,
+  CASE pos % 6 WHEN 0 THEN 'copyright_line' WHEN 1 THEN 'published_accepted_received' WHEN 2 THEN 'conference_year' WHEN 3 THEN 'arxiv_id' WHEN 4 THEN 'frequency_fallback' END AS source FROM rec WHERE title IS NOT NULL""")
+def cutoff_year(spark, d):
+    return dated_texts(spark, d).select("pos", text.cutoff_year(F.col("text")).alias("c")).select("pos", "c.*")
+
+
+@query(f"""WITH {views.REC}, t AS (SELECT pos, {sayings('CAST(year AS VARCHAR)', 'substr(title, 1, 80)', 'chr(10)')} AS text FROM rec WHERE title IS NOT NULL),
+  y AS (SELECT DISTINCT pos, CAST(unnest(regexp_extract_all(text, '\\b(19[89]\\d|20[0-2]\\d|2030)\\b', 1)) AS INTEGER) AS y FROM t)
+  SELECT t.pos, coalesce((SELECT list(y ORDER BY y DESC) FROM y WHERE y.pos = t.pos), CAST([] AS INTEGER[])) AS years FROM t""")
+def year_candidates(spark, d):
+    return dated_texts(spark, d).select("pos", text.year_candidates(F.col("text")).alias("years"))
+
+
+@query(f"""WITH {views.REC}, m AS (SELECT pos, abstract AS a, strpos(lower(regexp_replace(abstract, '\\b(?i:erin)\\b', chr(1))), chr(1)) AS p0 FROM rec),
+  s AS (SELECT pos, a, p0, greatest(CASE WHEN contains(left(a, p0 - 1), '.') THEN p0 - strpos(reverse(left(a, p0 - 1)), '.') ELSE 0 END, CASE WHEN contains(left(a, p0 - 1), chr(10)) THEN p0 - strpos(reverse(left(a, p0 - 1)), chr(10)) ELSE 0 END, p0 - 141, 0) AS b FROM m WHERE p0 > 0),
+  e AS (SELECT *, strpos(substr(a, p0 + 4), '.') AS dot FROM s)
+  SELECT pos, trim(regexp_replace(substr(a, b + 1, CASE WHEN dot = 0 OR p0 + 3 + dot - 1 - b > 280 THEN least(length(a), p0 + 3 + 140) ELSE p0 + 3 + dot END - b), '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS snippet FROM e""")
+def snippets(spark, d):
+    r = views.rec(spark, d).select("pos", text.evidence(F.col("abstract"), "erin").alias("snippet"))
+    return r.where("snippet is not null")
+
+
+@query(f"WITH {views.REC} SELECT pos, regexp_replace(title, '(?i)(under|erin|thor)', '<mark>\\1</mark>', 'g') AS marked FROM rec")
+def highlight(spark, d):
+    return views.rec(spark, d).select("pos", text.highlight(F.col("title"), ["erin", "thor", "under"]).alias("marked"))
+
+
+@query(f"WITH {views.REC} SELECT publication_number, 'https://patents.google.com/patent/' || publication_number || '/en' AS url FROM rec")
+def page_urls(spark, d):
+    return views.rec(spark, d).select("publication_number", text.page_url(F.col("publication_number")).alias("url"))
+
+
+@query(f"WITH {views.REC}, s AS (SELECT DISTINCT company_name AS label FROM rec WHERE company_name IS NOT NULL), p AS (SELECT unnest(['erin', 'thor', 'under']) AS core) SELECT DISTINCT label || ' ' || core AS topic FROM s, p")
+def topic_plan(spark, d):
+    """Labels times core topics, distinct (SCL19)."""
+    core = spark.createDataFrame([("erin",), ("thor",), ("under",)], "core string")
+    labels = views.rec(spark, d).where("company_name is not null").select(F.col("company_name").alias("label")).distinct()
+    return labels.join(F.broadcast(core), F.lit(True)).select(F.concat_ws(" ", "label", "core").alias("topic")).distinct()
+
+
+@query(f"WITH {views.REC} SELECT pos, CASE WHEN length(t) BETWEEN 1 AND 100 THEN t END AS query FROM (SELECT pos, trim(regexp_replace(regexp_replace(coalesce(title, ''), '[\\x00-\\x1f\\x7f]', ' ', 'g'), '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS t FROM rec)")
+def clean_queries(spark, d):
+    return views.rec(spark, d).select("pos", text.clean_query(F.col("title")).alias("query"))
+
+
+@query(f"WITH {views.REC} SELECT pos, trim(regexp_replace(regexp_replace(lower(title), '<[^>]+>', ' ', 'g'), '[^a-z0-9]+', ' ', 'g')) AS key FROM rec")
+def title_keys(spark, d):
+    return views.rec(spark, d).select("pos", text.title_key(F.col("title")).alias("key"))
+
+
+# --- pages ------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {views.KB} SELECT pos, title, abstract FROM kb")
+def parse_pages(spark, d):
+    return views.kb(spark, d).select("pos", "title", "abstract")
+
+
+@query("SELECT page_id AS src, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS dst FROM pages")
+def page_links(spark, d):
+    p = views.table(spark, d, "pages")
+    return p.select(F.col("page_id").alias("src"), F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("dst"))
+
+
+@query(f"WITH {views.REC} SELECT pos, ['EP' || (1000000 + pos) || 'B1', 'US' || (8000000 + pos) || 'B2'] AS numbers FROM rec WHERE title IS NOT NULL")
+def candidate_numbers(spark, d):
+    said = F.expr("'See US ' || (8000000 + pos) || 'B2, also https://patents.google.com/patent/EP' || (1000000 + pos) || 'B1/en. ' || substring(title, 1, 20)")
+    return views.rec(spark, d).where("title is not null").select("pos", ingest.candidate_numbers(said).alias("numbers"))
+
+
+@query("SELECT doc_id, trim(regexp_replace(text, '[ \\n]+', ' ', 'g')) AS abstract FROM documents WHERE text IS NOT NULL AND trim(regexp_replace(text, '[ \\n]+', ' ', 'g')) <> ''")
+def rebuild_abstract(spark, d):
+    """Texts as inverted indexes, and back (SRC6)."""
+    w = views.table(spark, d, "documents").where("text is not null").select("doc_id", F.posexplode(F.split(F.trim(F.regexp_replace("text", "[ \\n]+", " ")), " ")).alias("p", "w")).where("w <> ''")
+    inv = w.groupBy("doc_id", "w").agg(F.collect_list("p").alias("ps")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("inverted"))
+    return inv.select("doc_id", ingest.rebuild_abstract(F.col("inverted")).alias("abstract"))
+
+
+# --- keys, cleaning, merging ------------------------------------------------------------------------------
+
+
+def candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Pages as candidate records: some without year, of the future, short, or figures."""
+    k = views.kb(spark, d)
+    title = F.when(F.col("pos") % 11 == 0, F.concat(F.lit("Figure 3: "), "title")).when(F.col("pos") % 13 == 0, F.lit("short")).otherwise(F.col("title"))
+    feats = F.when(F.col("pos") % 5 == 0, F.array(F.lit("qos"))).when(F.col("pos") % 5 == 1, F.array(F.lit("sdn"))).otherwise(F.array(F.lit("qos"), F.lit("mec")))
+    return k.withColumns({"title": title, "year": F.when(F.col("pos") % 17 == 0, F.lit(None).cast("int")).otherwise(F.col("year")), "features": feats, "doi": F.when(F.col("pos") % 4 == 0, F.concat(F.lit("https://doi.org/10.1/X"), (F.col("pos") % 40).cast("string"))), "date": F.lit(None).cast("string"), "authors": F.array(F.lit("a"))})
+
+
+CAND = rf"""{views.KB}, cand AS (
+    SELECT pos, type, publication_number, url, CASE WHEN pos % 11 = 0 THEN 'Figure 3: ' || title WHEN pos % 13 = 0 THEN 'short' ELSE title END AS title, CASE WHEN pos % 17 = 0 THEN NULL ELSE year END AS year, pos % 5 = 0 AS generic,
+           CASE WHEN pos % 4 = 0 THEN '10.1/x' || (pos % 40) END AS doi FROM kb),
+  nr AS (
+    SELECT pos, CASE WHEN type = 'patent' THEN 'patent:' || regexp_replace(upper(publication_number), '[A-Z]\d?$', '') WHEN doi IS NOT NULL THEN 'doi:' || doi
+                     ELSE 'title:' || substr(trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')), 1, 160) END AS id,
+           CASE WHEN length(title) < 8 THEN 'title too short' WHEN regexp_matches(title, '(?i)^(?:fig(?:ure)?|table|supplementary)[\s.]*\w*\s*[:.]') THEN 'figure or table'
+                WHEN year IS NULL OR year NOT BETWEEN 1950 AND 2022 THEN 'year' WHEN generic THEN 'out of domain' END AS reject_reason FROM cand)"""
+
+
+@query(f"WITH {CAND} SELECT pos, id, reject_reason FROM nr")
+def normalise_records(spark, d):
+    return clean.normalise(candidates(spark, d), 2022).select("pos", "id", "reject_reason")
+
+
+STATUS = f"""{CAND}, st AS (SELECT *, CASE WHEN reject_reason IS NOT NULL THEN 'rejected' WHEN row_number() OVER (PARTITION BY id, reject_reason IS NULL ORDER BY pos) = 1 THEN 'added' ELSE 'duplicate' END AS status FROM nr)"""
+
+
+@query(f"WITH {STATUS} SELECT pos, id, status FROM st")
+def dedupe_first(spark, d):
+    return clean.first_arrivals(clean.normalise(candidates(spark, d), 2022), ["pos"]).select("pos", "id", "status")
+
+
+@query(f"WITH {STATUS} SELECT status, count(*) AS n FROM st GROUP BY 1")
+def learn_report(spark, d):
+    return sinks.funnel(clean.first_arrivals(clean.normalise(candidates(spark, d), 2022), ["pos"]))
+
+
+@query(f"WITH {STATUS} SELECT st.status, kb.jurisdiction, kb.year, count(*) AS n FROM st JOIN kb ON kb.pos = st.pos GROUP BY 1, 2, 3")
+def funnel_counts(spark, d):
+    out = clean.first_arrivals(clean.normalise(candidates(spark, d), 2022), ["pos"])
+    return sinks.funnel(out.drop("year").join(views.kb(spark, d).select("pos", "year"), "pos"), "jurisdiction", "year")
+
+
+def two_corpora(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Records under numbers with repeats and paddings, and a second corpus that overlaps."""
+    r = views.rec(spark, d)
+    a = r.select("pos", F.expr("'US0' || (1000000 + pos % 700) || if(pos % 2 = 0, 'A1', 'B2')").alias("publication_number"), F.when(F.col("pos") % 9 > 0, F.col("publication_date")).alias("publication_date"))
+    b = r.select("pos", F.expr("'US' || (1000500 + pos % 400) || 'B2'").alias("publication_number"), "publication_date")
+    return a, b
+
+
+MERGE = f"""{views.REC}, a AS (SELECT pos, 'US' || (1000000 + pos % 700) AS base, 'US0' || (1000000 + pos % 700) || CASE WHEN pos % 2 = 0 THEN 'A1' ELSE 'B2' END AS publication_number, CASE WHEN pos % 9 > 0 THEN publication_date END AS publication_date FROM rec),
+  b AS (SELECT pos, 'US' || (1000500 + pos % 400) AS base, 'US' || (1000500 + pos % 400) || 'B2' AS publication_number, publication_date FROM rec),
+  ka AS (SELECT base, min(pos) OVER (PARTITION BY base) AS pos, publication_number, publication_date, 'a' AS batch FROM a QUALIFY row_number() OVER (PARTITION BY base ORDER BY publication_date NULLS LAST, a.pos) = 1),
+  kb2 AS (SELECT base, pos, publication_number, publication_date, 'b' AS batch FROM b WHERE base NOT IN (SELECT base FROM ka) QUALIFY row_number() OVER (PARTITION BY base ORDER BY pos) = 1)"""
+
+
+@query(f"WITH {MERGE} SELECT * FROM ka UNION ALL SELECT * FROM kb2")
+def merge_corpora(spark, d):
+    return clean.merge_corpora(*two_corpora(spark, d)).select("base", "pos", "publication_number", "publication_date", "batch")
+
+
+@query(f"WITH {MERGE} SELECT pos, publication_number FROM b WHERE base NOT IN (SELECT base FROM a)")
+def exclude_known(spark, d):
+    a, b = two_corpora(spark, d)
+    return clean.exclude_known(b, a).select("pos", "publication_number")
+
+
+@query(rf"""WITH {CAND}, r AS (SELECT *, CASE WHEN pos % 2 = 0 THEN 0 ELSE 1 END AS section FROM cand WHERE NOT regexp_matches(title, '(?i)^(?:fig(?:ure)?|table|supplementary)[\s.]*\w*\s*[:.]') AND year >= 2007 AND coalesce(year <= 2020, true))
+  SELECT pos, section, title FROM r QUALIFY row_number() OVER (PARTITION BY trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) ORDER BY section, pos) = 1""")
+def literature_shape(spark, d):
+    c = candidates(spark, d).select("pos", "title", "year")
+    return clean.shape_literature(c.where("pos % 2 = 0"), c.where("pos % 2 = 1"), 2007, 2020).select("pos", "section", "title")
+
+
+@query(r"""SELECT c_custkey, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(c_name || CASE c_custkey % 4 WHEN 0 THEN ' Co., Ltd.' WHEN 1 THEN ' (publ) AB' WHEN 2 THEN ' Inc' ELSE ' L.L.C.' END), '\(.*?\)', ' ', 'g'), '\b(l\.l\.c|l\.p|s\.a)\.', ' ', 'g'), '[.,]', ' ', 'g'),
+  '\b(co|company|corp|corporation|inc|incorporated|ltd|limited|llc|lp|plc|gmbh|ag|sa|ab|publ|oy|kk|bv|nv)\b', ' ', 'g').regexp_replace('[^a-z0-9&]+', ' ', 'g')) AS key FROM customer""")
+def applicant_key(spark, d):
+    form = F.expr("c_name || case c_custkey % 4 when 0 then ' Co., Ltd.' when 1 then ' (publ) AB' when 2 then ' Inc' else ' L.L.C.' end")
+    return views.table(spark, d, "customer").select("c_custkey", classes.applicant_key(form).alias("key"))
+
+
+@query("""WITH c AS (SELECT DISTINCT p_brand || '/' || p_size AS code FROM part), t AS (SELECT DISTINCT p_brand AS prefix FROM part UNION SELECT DISTINCT p_brand || '/1' FROM part UNION SELECT 'Brand'),
+  m AS (SELECT code, prefix FROM c JOIN t ON starts_with(code, prefix)) SELECT c.code, arg_max('title of ' || prefix, length(prefix)) AS title FROM c LEFT JOIN m ON m.code = c.code GROUP BY 1""")
+def class_label_longest_prefix(spark, d):
+    p = views.table(spark, d, "part")
+    codes = p.select(F.concat_ws("/", "p_brand", F.col("p_size").cast("string")).alias("code")).distinct()
+    prefixes = p.select(F.col("p_brand").alias("prefix")).unionByName(p.select(F.concat("p_brand", F.lit("/1")).alias("prefix"))).unionByName(p.select(F.lit("Brand").alias("prefix"))).distinct()
+    return clean.longest_prefix(codes, prefixes.withColumn("title", F.concat(F.lit("title of "), "prefix")))
+
+
+# --- store, snowball, streams -----------------------------------------------------------------------------
+
+
+@query(f"WITH {views.KB} SELECT type, jurisdiction AS origin, assignee AS source, year, count(*) AS n, CAST(grouping(type, jurisdiction, assignee, year) AS INTEGER) AS levels FROM kb GROUP BY GROUPING SETS ((), (type), (jurisdiction), (assignee), (year))")
+def store_stats(spark, d):
+    return sinks.store_stats(views.kb(spark, d).select("type", F.col("jurisdiction").alias("origin"), F.col("assignee").alias("source"), "year"))
+
+
+@query(f"WITH {views.ATTEMPTS} SELECT id, seq FROM attempts ORDER BY added_at DESC, seq DESC LIMIT 10")
+def recent_records(spark, d):
+    return sinks.recent(views.attempts(spark, d).withColumn("pos", F.col("seq"))).select("id", "seq")
+
+
+@query(f"""WITH {views.EDGES}, s0 AS (SELECT DISTINCT src AS node FROM edges WHERE src < 5),
+  h1 AS (SELECT DISTINCT dst AS node FROM edges JOIN s0 ON src = node WHERE dst NOT IN (SELECT node FROM s0)),
+  h2 AS (SELECT DISTINCT dst AS node FROM edges JOIN h1 ON src = node WHERE node % 3 <> 0 AND dst NOT IN (SELECT node FROM s0) AND dst NOT IN (SELECT node FROM h1))
+  SELECT node, 0 AS hop, 'seed' AS status FROM s0 UNION ALL SELECT node, 1, CASE WHEN node % 3 <> 0 THEN 'passed' ELSE 'gated' END FROM h1 UNION ALL SELECT node, 2, CASE WHEN node % 3 <> 0 THEN 'passed' ELSE 'gated' END FROM h2""")
+def snowball_two_hops(spark, d):
+    e = views.edges(spark, d)
+    return snow.snowball(e, e.where("src < 5").select(F.col("src").alias("node")), F.col("dst") % 3 != 0)
+
+
+CAPPED = f"""{views.ATTEMPTS}, f AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY added_at, seq) AS r FROM attempts), a AS (SELECT * FROM f WHERE r = 1)"""
+
+
+@query(f"WITH {CAPPED} SELECT id, seq, origin <> 'view' AND sum(CASE WHEN origin <> 'view' THEN 1 ELSE 0 END) OVER (PARTITION BY CAST(added_at AS DATE) ORDER BY added_at, seq) > 20 AS over_cap FROM a")
+def write_back_daily_cap(spark, d):
+    """First arrivals under a cap of 20 a day; one origin is exempt (STR2)."""
+    added = clean.first_arrivals(views.attempts(spark, d), ["added_at", "seq"]).where("status = 'added'")
+    return writeback.cap_per_day(added, None, 20, ["added_at", "seq"], exempt="view").select("id", "seq", "over_cap")
+
+
+@query(f"WITH {views.ATTEMPTS} SELECT seq, row_number() OVER (PARTITION BY CAST(added_at AS DATE) ORDER BY added_at, seq) <= 200 AS allowed FROM attempts")
+def daily_cap_replay(spark, d):
+    return writeback.daily_cap(views.attempts(spark, d), 200).select("seq", "allowed")
+
+
+@query(f"WITH {views.ATTEMPTS} SELECT date_trunc('day', added_at)::TIMESTAMP AS day, origin, count(*) AS n, max(added_at) AS latest FROM attempts GROUP BY 1, 2")
+def arrivals_per_day(spark, d):
+    """A stream over the events table, run until no more is available, in complete mode (STR3)."""
+    kind = spark.read.parquet(f"{d}/events.parquet").schema
+    at = scratch(spark)
+    e = spark.readStream.schema(kind).parquet(f"{d}/events.parquet*")
+    a = e.select(F.col("ts").cast("timestamp").alias("added_at"), F.col("event_type").alias("origin"))
+    put = lambda batch, _: batch.write.mode("overwrite").parquet(f"{at}/table")  # noqa: E731  complete mode: each batch is the whole result
+    writeback.arrivals(a).writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{at}/table")
+
+
+@query(f"WITH {CAPPED} SELECT id, seq FROM a")
+def write_back_stream(spark, d):
+    """Events as a stream of candidates, de-duplicated against all that is stored, appended (STR1)."""
+    at = scratch(spark)
+    kind = spark.read.parquet(f"{d}/events.parquet").schema
+    e = spark.readStream.schema(kind).parquet(f"{d}/events.parquet*")
+    rows = e.select(F.concat("event_type", F.lit(":"), F.col("user_id").cast("string")).alias("id"), F.col("ts").cast("timestamp").alias("added_at"), F.col("event_id").alias("seq"), F.col("event_type").alias("origin"))
+    writeback.write_back(rows, f"{at}/store", f"{at}/checkpoint", lambda x: x, ["added_at", "seq"]).awaitTermination()
+    return spark.read.parquet(f"{at}/store").select("id", "seq")
+
+
+@query()
+def sliding_limit_replay(spark, d):
+    """At most 2 allowed requests of a client in six hours; sequential per client, so tests compare with a
+    plain replay (STR4)."""
+    log = views.attempts(spark, d).select("client", F.col("added_at").alias("ts"), "seq")
+    return writeback.sliding_limit(log, 2, 6 * 3600).select("client", "seq", "allowed")
+
+

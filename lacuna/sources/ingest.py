@@ -23,7 +23,7 @@ def corpus(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(
         F.monotonically_increasing_id().alias("pos"), "publication_number", *[F.coalesce(c, F.lit("")).alias(c) for c in ("title", "abstract")], "jurisdiction", company.alias("company_name"),
         F.when(has, F.col("assignees")).when(company != "", F.array(company)).otherwise(blank).alias("assignees"), F.coalesce("ipc", blank).alias("ipc"), F.coalesce("cpc", blank).alias("cpc"),
-        *[F.try_to_date(c, F.lit("yyyy-MM-dd")).alias(c) for c in ("publication_date", "filing_date")], "category",
+        *[F.try_to_date(c, "yyyy-MM-dd").alias(c) for c in ("publication_date", "filing_date")], "category",
     )
 
 
@@ -116,7 +116,7 @@ def patent_api(raw: DataFrame) -> DataFrame:
     p = raw.select(F.explode("hits").alias("p"))
     number = F.regexp_replace("p.publication-reference.doc-number", r"^US0(\d{7}[A-Z]\d?)$", "US$1")
     title = F.coalesce("p.patent-title.english-title", "p.patent-title.title")
-    keys = lambda c: F.array_distinct(F.transform(F.filter(F.transform(c, lambda x: x["keyValue"]), lambda k: k.isNotNull() & (k != "")), F.trim))
+    keys = lambda c: F.array_distinct(F.transform(F.filter(F.transform(c, lambda x: x["keyValue"]), lambda k: k.isNotNull() & (k != "")), lambda k: F.trim(k)))
     owner = F.get(F.filter(F.transform("p.parties.applicants.applicant", lambda a: F.coalesce(a["english-name"], a["name"])), lambda x: x.isNotNull()), F.lit(0))
     date = digits_date(F.col("p.publication-reference.date"))
     return p.select(
