@@ -14,6 +14,8 @@ from lacuna.llm.common import components
 from lacuna.llm.queries import tokenizer
 
 DOC = "doc_id long, text string, lang string, source string, more string"
+#: Of line pairs with an edit similarity of 0.8, as measured (README).
+LEAST_RECALL = 0.6
 ODD = [
     (1, "the cat sat on the mat and the dog sat on the log", "en", "a", "x"),
     (1, "the cat sat on the mat and the dog sat on the log", "en", "a", "x"),
@@ -309,6 +311,47 @@ def test_like_lines_link(spark):
     assert len(stay) < 120  # most of the near copies go
 
 
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_recall_of_like_lines(spark):
+    """Pairs of 1 to 60 words that are alike by brute force; the share found is that of SimHash, whatever else
+    is in the table."""
+    r = random.Random(31)
+    vocabulary = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 10))) for _ in range(3000)]
+    pairs = []
+    for k in range(900):
+        w = [r.choice(vocabulary) for _ in range(k % 60 + 1)]
+        v, kind = list(w), ("word", "letter", "most")[k // 60 % 3]
+        for _ in range({"word": 1, "letter": 0, "most": max(1, len(w) // 6)}[kind]):
+            v[r.randrange(len(v))] = r.choice(vocabulary)
+        a, b = " ".join(w), " ".join(v)
+        if kind == "letter":
+            at = r.randrange(len(a))
+            b = a[:at] + "q" + a[at + 1 :]
+        if a != b and edits(a, b) <= 0.2 * max(len(a), len(b)):
+            pairs.append((kind, len(w), a, b))
+    rows = [(2 * k + i, t) for k, p in enumerate(pairs) for i, t in enumerate(p[2:])]
+    found = []
+    for others in (0, 9000):  # 9,000: the number of lines once chose the keys
+        more = [(100_000 + k, " ".join(r.choice(vocabulary) for _ in range(20))) for k in range(others)]
+        out = linededup.dedup_lines(spark.createDataFrame(rows + more, "doc_id long, text string")).where("doc_id < 100000").collect()
+        kept = {x["doc_id"] for x in out if x["n_kept"]}
+        found.append([2 * k + 1 not in kept for k in range(len(pairs))])
+    share = lambda f, ok: np.mean([x for x, p in zip(f, pairs, strict=True) if ok(p)])
+    for kind in ("word", "letter", "most"):
+        print(kind, [(lo, round(float(share(found[0], lambda p: p[0] == kind and lo <= p[1] < hi)), 2)) for lo, hi in ((1, 10), (10, 20), (20, 40), (40, 61))])  # noqa: B023
+    print("all", len(pairs), [round(float(share(f, lambda p: True)), 3) for f in found])
+    assert found[0] == found[1]
+    assert share(found[0], lambda p: True) > LEAST_RECALL
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
 
