@@ -16,7 +16,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of like lines, the first stays; a document left with less than a fifth of its text goes."""
+    """Of each group of like lines, the first stays; a document none of whose lines stays goes."""
     return linededup.keep_first_lines(docs)
 
 

@@ -188,7 +188,12 @@ def per_tile(rows: DataFrame, keys: list[str], f: Callable[[pd.DataFrame], pd.Da
     return rows.repartition(*keys).sortWithinPartitions(*keys, "fp").mapInPandas(run, schema)
 
 
-def near_documents(docs: DataFrame, threshold: float = 0.8, n: int = 5, tolerance: float = 1e-6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_documents(docs: DataFrame, **settings) -> DataFrame:
+    """(doc_id, class_id, n_links, kept) of near_rows."""
+    return near_rows(docs, **settings).select("doc_id", "class_id", "n_links", "kept")
+
+
+def near_rows(docs: DataFrame, threshold: float = 0.8, n: int = 5, tolerance: float = 1e-6, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
     """(doc_id, class_id, n_links, kept) of every row: n_links other rows have a Jaccard similarity of at
     least `threshold` on n-word shingles (lower case, split at white space; a shorter text is one shingle);
     class_id is the smallest doc_id reachable by links; kept if it is the row's own.
@@ -205,8 +210,10 @@ def near_documents(docs: DataFrame, threshold: float = 0.8, n: int = 5, toleranc
     Any bucket or family is any number of tiles, so none is collected, and none is capped. Texts without
     words (null, empty, blank) link with nothing. Null ids get a null class_id unless linked, and are never
     kept as such. Repeated rows are copies of each other. An empty table gives no rows.
+    Two more columns tell rows and classes apart whatever their ids: `at`, the text's MD5 (null without `digest`),
+    and `grp`, the fingerprint that stands for the class (null without words).
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), (F.md5(text_col) if digest else F.lit(None).cast("string")).alias("at"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -216,9 +223,9 @@ def near_documents(docs: DataFrame, threshold: float = 0.8, n: int = 5, toleranc
                 s = shingles(t, n)
                 fp.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 bands.append(band_keys(signature(s)) if len(s) else None)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fp, "bands": bands})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "at": b["at"], "fp": fp, "bands": bands})
 
-    sketched = cut(rows.mapInPandas(sketch, f"doc_id {kind}, fp binary, bands array<long>"))
+    sketched = cut(rows.mapInPandas(sketch, f"doc_id {kind}, at string, fp binary, bands array<long>"))
     classes = sketched.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
     classes = cut(classes)
 
@@ -286,18 +293,22 @@ def near_documents(docs: DataFrame, threshold: float = 0.8, n: int = 5, toleranc
     group = cut(group.unionByName(group.select(F.col("root").alias("node"), "root").distinct()).distinct().withColumnRenamed("node", "fp"))
     counts = linked.groupBy("fp").agg(F.sum("n").alias("n"))
     lowest = group.join(classes.select("fp", "first"), "fp").groupBy("root").agg(F.min("first").alias("lowest"))
-    info = classes.select("fp", "first", "copies").join(counts, "fp", "left").join(group.join(lowest, "root").select("fp", "lowest"), "fp", "left")
-    info = info.select("fp", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("lowest", "first").alias("low"))
-    out = sketched.select("doc_id", "fp").join(info, "fp", "left")
+    info = classes.select("fp", "first", "copies").join(counts, "fp", "left").join(group.join(lowest, "root").select("fp", "root", "lowest"), "fp", "left")
+    info = info.select("fp", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("lowest", "first").alias("low"), F.coalesce("root", "fp").alias("grp"))
+    out = sketched.select("doc_id", "at", "fp").join(info, "fp", "left")
     class_id = F.coalesce("low", "doc_id")
-    return out.select("doc_id", class_id.alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce(class_id == F.col("doc_id"), F.lit(False)).alias("kept"))
-
-
-def dedup(docs: DataFrame, id_col: str = "doc_id", **settings) -> DataFrame:
-    """docs with one row of each group of near duplicates, the one with the smallest id; a row whose id is
-    null stays only if nothing links to it."""
-    found = near_documents(docs, id_col=id_col, **settings)
-    stay = found.where(F.col("kept") | (F.col("doc_id").isNull() & (F.col("n_links") == 0))).select(F.col("doc_id").alias("_id")).distinct()
-    out = docs.join(stay, docs[id_col].eqNullSafe(stay["_id"]), "left_semi")
-    known = out.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
-    return known.unionByName(out.where(F.col(id_col).isNull()))
+    return out.select("doc_id", class_id.alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce(class_id == F.col("doc_id"), F.lit(False)).alias("kept"), "at", "grp")
+
+
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """docs with one row of each group of near duplicates: the one with the smallest id, or if all ids of the
+    group are null, the one with the smallest digest of the text. Rows without words stay, those with an id once
+    for each id and text."""
+    found = near_rows(docs, id_col=id_col, text_col=text_col, digest=True, **settings)
+    first = found.where("grp is not null").groupBy("grp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at")).alias("k"))
+    stay = first.select(F.col("k.doc_id").alias("_id"), F.col("k.at").alias("_at"), F.lit(False).alias("_all"))
+    bare = found.where("grp is null").select(F.col("doc_id").alias("_id"), F.col("at").alias("_at"), F.col("doc_id").isNull().alias("_all")).distinct()
+    stay = cut(stay.unionByName(bare))
+    keyed = docs.withColumn("_md5", F.md5(text_col))
+    out = keyed.join(stay, F.col(id_col).eqNullSafe(F.col("_id")) & F.col("_md5").eqNullSafe(F.col("_at")))
+    return out.where("not _all").dropDuplicates([id_col, "_md5"]).unionByName(out.where("_all")).select(*docs.columns)

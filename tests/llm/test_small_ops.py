@@ -311,6 +311,28 @@ def test_like_lines_link(spark):
     assert len(stay) < 120  # most of the near copies go
 
 
+def test_every_line_stays_somewhere(spark):
+    r = random.Random(12)
+    long, shared, own = words(r, 80), words(r, 6), words(r, 5)
+    rows = [(1, f"{long}\n{words(r, 9)}"), (5, f"{long}\n{shared}\n{own}"), (9, f"{shared}\n{words(r, 9)}"), (12, f"{words(r, 9)}\n{shared}"), (13, long)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x["doc_id"]: x["text"] for x in linededup.keep_first_lines(docs).collect()}
+    assert set(got) == {1, 5, 9, 12}
+    lines = [x for t in got.values() for x in t.split("\n")]
+    assert sorted(lines) == sorted({x for _, t in rows for x in t.split("\n")})
+
+
+def test_one_of_each_class_stays(spark):
+    r = random.Random(13)
+    a, b, c, d = (words(r, 60) for _ in range(4))
+    near = a + " more"
+    rows = [(None, a), (None, a), (None, near), (None, b), (7, c), (None, c), (3, c + " x"), (4, d), (4, words(r, 50)), (4, d), (None, None), (8, ""), (8, "")]
+    out = [tuple(x) for x in jaccard.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert len([x for x in out if x[1] in (a, near)]) == 1
+    want = [(None, b), (3, c + " x"), (4, d), rows[8], (None, None), (8, "")]
+    assert sorted(map(str, out)) == sorted(map(str, want + [x for x in out if x[1] in (a, near)]))
+
+
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
