@@ -311,6 +311,12 @@ def test_like_lines_link(spark):
     assert len(stay) < 120  # most of the near copies go
 
 
+def test_digits_and_marks_count(spark):
+    texts = ["2024-03-01 | 17", "ID 123456789012", "ID 987654321098", "total: 17", "total: 430,512", "2024-03-01 | 17", "id: 123456789012", "कि", "कु", "कि"]
+    out = linededup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {x["doc_id"] for x in out.collect() if x["n_kept"]} == {0, 1, 2, 3, 4, 7, 8}
+
+
 def test_every_line_stays_somewhere(spark):
     r = random.Random(12)
     long, shared, own = words(r, 80), words(r, 6), words(r, 5)
