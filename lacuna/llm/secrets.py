@@ -47,10 +47,10 @@ def scan(docs: DataFrame, scope: int = 400, id_col: str = "doc_id", text_col: st
 
     `base` has assignments with a value of 6 or more characters, access identifiers and hex runs. Weak parts
     (other identifiers, random-looking strings, endpoints) are `linked` only if complementary ones lie within
-    `scope` characters: an identifier and a secret report each other, and an endpoint is reported near such a
-    pair. Parts meet in an interval join on the text and a bucket of `scope` characters, only for texts that
-    hold both sides; a bucket holds at most scope / 4 parts, so a text adds pairs in proportion to its
-    length. The join's key is the id with a digest of the text, so repeated rows don't multiply.
+    `scope` characters: an identifier and a secret report each other, and an endpoint is reported near either of such a
+    pair. Parts meet in an interval join on the text and buckets of `scope` characters, all that a part
+    touches, only for texts that hold both sides; a bucket holds at most scope / 4 parts, so a text adds
+    pairs in proportion to its length. The join's key is the id with a digest of the text, so repeated rows don't multiply.
 
     Null and empty texts have no spans. Null ids pass through. Other columns are ignored; an empty table
     gives no rows.
@@ -76,13 +76,18 @@ def scan(docs: DataFrame, scope: int = 400, id_col: str = "doc_id", text_col: st
 
     hot = rows.where("m is not null").dropDuplicates(["doc_id", "m"])
     part = lambda c: hot.select("doc_id", "m", F.explode(c).alias("p")).select("doc_id", "m", F.struct("p.start", "p.kind", "p.end").alias("p"))
-    bucket = lambda c: F.floor(F.col(f"{c}.start") / scope)
-    ids = part("ids").select("doc_id", "m", F.col("p").alias("id"), F.explode(F.array(bucket("p") - 1, bucket("p"), bucket("p") + 1)).alias("b"))
-    keys = part("keys").select("doc_id", "m", F.col("p").alias("key"), bucket("p").alias("b"))
+    # a part is in every bucket that it touches, on one side with `scope` around it; a pair counts in the first that both are in
+    first = lambda c, around=0: F.floor((F.col(f"{c}.start") - around) / scope)
+    over = lambda c, around=0: F.explode(F.sequence(first(c, around), F.floor((F.col(f"{c}.end") + around) / scope))).alias("b")
     near = lambda x, y: (F.col(f"{x}.start") <= F.col(f"{y}.end") + scope) & (F.col(f"{y}.start") <= F.col(f"{x}.end") + scope) & ((F.col(f"{x}.start") >= F.col(f"{y}.end")) | (F.col(f"{y}.start") >= F.col(f"{x}.end")))
-    pairs = join_keys(ids, keys, ["doc_id", "m", "b"]).where(near("id", "key")).select("doc_id", "m", "id", "key")
-    ends = part("ends").select("doc_id", "m", F.col("p").alias("end_"), F.explode(F.array(bucket("p") - 1, bucket("p"), bucket("p") + 1)).alias("b"))
-    with_end = join_keys(pairs.withColumn("b", bucket("id")), ends, ["doc_id", "m", "b"]).where(near("id", "end_")).select("doc_id", "m", F.col("end_").alias("p"))
+
+    def meet(left: DataFrame, x: str, right: DataFrame, y: str) -> DataFrame:
+        left, right = left.select("doc_id", "m", x, over(x, scope)), right.select("doc_id", "m", y, over(y))
+        return join_keys(left, right, ["doc_id", "m", "b"]).where((F.col("b") == F.greatest(first(x, scope), first(y))) & near(x, y)).select("doc_id", "m", x, y)
+
+    pairs = meet(part("ids").withColumnRenamed("p", "id"), "id", part("keys").withColumnRenamed("p", "key"), "key")
+    members = pairs.select("doc_id", "m", F.explode(F.array("id", "key")).alias("one")).distinct()
+    with_end = meet(members, "one", part("ends").withColumnRenamed("p", "end_"), "end_").select("doc_id", "m", F.col("end_").alias("p"))
     linked = pairs.select("doc_id", "m", F.explode(F.array("id", "key")).alias("p")).unionByName(with_end).where("p.kind > 2")
     linked = linked.groupBy("doc_id", "m").agg(F.array_sort(F.collect_set("p")).alias("linked"))
     return join_keys(rows, linked, ["doc_id", "m"], "left").select("doc_id", "base", F.coalesce("linked", none).alias("linked"))

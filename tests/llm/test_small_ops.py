@@ -150,6 +150,31 @@ def test_weak_parts_need_each_other(spark):
     assert (got[2], got[3], got[4]) == ("", "", "")
 
 
+def test_long_parts_link(spark):
+    """Against brute force: parts of any length, at gaps around the scope."""
+    r = random.Random(14)
+    token = lambda n: "secret=" + "".join(r.choice("abcXYZ019") for _ in range(n))
+    weak = lambda: "aB1" + "".join(r.choice("abcXYZ019") for _ in range(r.randrange(29, 85)))
+    texts = [f"{token(900)}\nclient_id = abcd1234", "x" * 398 + " " + weak() + " " * 311 + "client_id = abcd1234", f"client_id = abcd1234{' ' * 380}{weak()}{' ' * 380}https://api.example.com/v1"]
+    texts += [f"client_id = {'a' * 1500} {token(9)}", f"https://h.example.com/{'p' * 2000} client_id = abcd1234 {weak()}"]
+    for _ in range(120):
+        parts = [r.choice([lambda: token(r.randrange(6, 1500)), weak, lambda: "client_id = " + "k" * r.randrange(4, 1200), lambda: "https://h.example.com/" + "p" * r.randrange(900)])() for _ in range(5)]
+        texts.append("".join(" " * r.choice([1, 50, 300, 390, 399, 400, 401, 410, 700]) + p for p in parts))
+    rows = secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    several = 0
+    for row in rows:
+        t = texts[row["doc_id"]]
+        found = lambda p, k: [(m.start(), k, m.end()) for m in re.finditer(p, t)]  # noqa: B023, E731
+        ids, ends = found(secrets.WEAK_ID, 3) + found(secrets.ACCESS, 1), found(secrets.ENDPOINT, 5)
+        keys = [(m.start(), 0, m.end()) for m in re.finditer(secrets.ASSIGN, t) if len(m[1]) >= 6] + found(secrets.WEAK_SECRET, 4)
+        near = lambda x, y: 0 <= x[0] - y[2] <= 400 or 0 <= y[0] - x[2] <= 400
+        pairs = [(x, y) for x in ids for y in keys if near(x, y)]
+        want = {x for p in pairs for x in p} | {e for e in ends if any(near(e, x) for p in pairs for x in p)}
+        assert [tuple(x) for x in row["linked"]] == sorted(x for x in want if x[1] > 2), t
+        several += len(want) > 0
+    assert several > 40
+
+
 def test_language(spark, odd, empty, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     r = language.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").toPandas()
