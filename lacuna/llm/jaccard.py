@@ -22,7 +22,7 @@ STEP = 16
 BLOCK = 256
 #: Broadcast keys only up to this many (8 to 24 bytes each); beyond it, the join shuffles.
 SMALL = 1_000_000
-WORD_CACHE = 500_000
+WORD_CACHE = 200_000
 
 
 class WordHash(dict):
