@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,60 +37,72 @@ def distance(a: Column, b: Column, words: int) -> Column:
     return d
 
 
-def segments(dims: int) -> Column:
-    """The segments of `code` as (number, value)."""
-    out = []
-    for s in range((dims + SEGMENT - 1) // SEGMENT):
-        value = F.shiftrightunsigned(F.col("code")[s * SEGMENT // 64], s * SEGMENT % 64).bitwiseAND(F.lit((1 << SEGMENT) - 1))
-        out.append(F.struct(F.lit(s).alias("seg"), value.cast("int").alias("val")))
-    return F.explode(F.array(*out))
+def segment(word_at: Callable[[int], Column], s: int) -> Column:
+    """The value of segment s, from the words of a code."""
+    return F.shiftrightunsigned(word_at(s * SEGMENT // 64), s * SEGMENT % 64).bitwiseAND(F.lit((1 << SEGMENT) - 1).cast("long"))
+
 
+def masks(r: int) -> Column:
+    """All masks of exactly r of a segment's bits, as one literal."""
+    values = [sum(1 << b for b in bits) for bits in combinations(range(SEGMENT), r)]
+    return F.expr(f"cast(split('{','.join(map(str, values))}', ',') as array<bigint>)")
 
-def top_k(codes: DataFrame, queries: DataFrame, k: int = 10, dims: int = 64) -> DataFrame:
+
+def top_k(codes: DataFrame, queries: DataFrame, k: int = 10, dims: int = 64, radius: bool = False) -> DataFrame:
     """codes, queries (vec_id, code) -> (query_id, rank, vec_id, distance): for each query the k nearest other
     rows by Hamming distance, ties by id; fewer only where there are fewer rows.
 
-    Rows of one code are one entry of the index, with their count and their k + 1 smallest ids (a copy group
-    of any size is one entry). Round r looks up, for each segment, the values at r bits from the
-    query's or nearer. After round r with m segments, every code within m * (r + 1) - 1 bits has been seen: one segment
-    of it is within r bits. So a round keeps, inside the join condition, only verified distances up to that,
-    and a query is done when its kth lies there; the others go on. Every round's state is written to the
-    shared folder. Null ids take no part. Ids are taken as unique; repeated ids count as separate rows.
+    Rows of one code are one entry of the index with its k + 1 smallest ids (a copy group of any size is one
+    entry). Round r looks up, in each of the m segments, only the values at exactly r bits from the query's. A
+    code is taken in the one round and segment where its nearest segment comes first, so none is met twice, and
+    only if it isn't further than the query's kth so far. What a round finds is cut to the best k entries of a
+    query within each task before it is shuffled (more can't matter: each entry holds at least one row), then
+    joins the best k so far, the state that rounds hand on: k rows a query. After round r every code within
+    m * (r + 1) - 1 bits has been met, since one of its segments is within r bits; a query whose kth lies there
+    is done and leaves, the others go on. The index is joined by sort and merge, so that a value shared by very many
+    codes can be split at run time; nothing is broadcast. Every round is written to the shared folder.
+
+    With `radius` there is one more column, the round in which the query was done. Null ids take no part. Rows
+    repeated with id and code are one; an id with several codes is as many rows, and as a query its smallest code
+    counts. A query's own rows (its id) are no hits. Equal distances are ordered by id. Empty tables give no rows.
     """
     m, words = (dims + SEGMENT - 1) // SEGMENT, (dims + 63) // 64
-    index = codes.where("vec_id is not null").groupBy("code").agg(F.count("*").alias("n"))
-    ranked = codes.where("vec_id is not null").withColumn("_r", F.row_number().over(Window.partitionBy("code", F.pmod(F.xxhash64("vec_id"), F.lit(64))).orderBy("vec_id"))).where(F.col("_r") <= k + 1)
-    few = ranked.groupBy("code").agg(F.slice(F.array_sort(F.collect_list("vec_id")), 1, k + 1).alias("ids"))
-    index = cut(index.join(few, "code").select("code", "n", "ids"))
-    total = index.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    keyed = cut(index.select(segments(dims).alias("key"), "code").select("key.seg", "key.val", "code"))
-    left = cut(queries.where("vec_id is not null").select(F.col("vec_id").alias("query_id"), "code").distinct())
-    done = None
+    codes, queries = codes.where("vec_id is not null"), queries.where("vec_id is not null")
+    ranked = codes.select("vec_id", "code").withColumn("_r", F.dense_rank().over(Window.partitionBy("code").orderBy("vec_id"))).where(F.col("_r") <= k + 1)
+    index = cut(ranked.groupBy("code").agg(F.array_sort(F.collect_set("vec_id")).alias("ids")))
+    at_most = index.agg(F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()[0]
+    keyed = index.select("code", "ids", F.posexplode(F.array(*[segment(lambda w: F.col("code")[w], s) for s in range(m)])).alias("seg", "val"))
+    keyed = cut(keyed.repartition("seg", "val"))
+    left = queries.groupBy(F.col("vec_id").alias("query_id")).agg(F.min("code").alias("qcode"))
+    left = cut(left.withColumn("worst", F.lit(dims)))
+    none = codes.sparkSession.createDataFrame([], f"query_id {codes.schema['vec_id'].dataType.simpleString()}, vec_id {codes.schema['vec_id'].dataType.simpleString()}, distance int")
+    best, done = none, [none.withColumn("radius", F.lit(0))]
+    per_query = lambda *order: Window.partitionBy("query_id").orderBy(*order)
     for r in range(SEGMENT + 1):
         if not left.take(1):
             break
+        values = F.posexplode(F.array(*[segment(lambda w: F.col("qcode")[w], s) for s in range(m)])).alias("seg", "_v")
+        probes = left.select("query_id", "qcode", "worst", values).withColumn("_m", F.explode(masks(r)))
+        probes = probes.select("query_id", "qcode", "worst", "seg", F.col("_v").bitwiseXOR(F.col("_m")).alias("val"))
+        hits = probes.join(keyed.hint("merge"), ["seg", "val"])
+        apart = [F.bit_count(segment(lambda w: F.col("code")[w], s).bitwiseXOR(segment(lambda w: F.col("qcode")[w], s))) for s in range(m)]
+        first = F.lit(True)
+        for s in range(m):
+            first &= F.when(F.col("seg") > s, apart[s] > r).otherwise(apart[s] >= r)
+        hits = hits.where(first).withColumn("distance", distance(F.col("qcode"), F.col("code"), words)).where("distance <= worst")
+        hits = hits.withColumn("ids", F.array_remove("ids", F.col("query_id"))).where(F.size("ids") > 0)
+        hits = hits.withColumn("_r", F.row_number().over(per_query("distance", F.col("ids")[0]))).where(F.col("_r") <= k)
+        hits = hits.select("query_id", F.explode("ids").alias("vec_id"), F.col("distance").cast("int").alias("distance"))
+        both = best.unionByName(hits)
+        best = both.withColumn("_r", F.row_number().over(per_query("distance", "vec_id"))).where(F.col("_r") <= k).drop("_r")
+        best = cut(best)
         reach = m * (r + 1) - 1 if r < SEGMENT else dims
-        near = F.expr(f"filter(sequence(0, {(1 << SEGMENT) - 1}), x -> bit_count(x) <= {r})")
-        probes = left.select("query_id", "code", segments(dims).alias("key")).select("query_id", F.col("code").alias("qcode"), "key.seg", F.col("key.val").alias("_v"))
-        probes = probes.select("query_id", "qcode", "seg", "_v", F.explode(near).alias("_m")).select("query_id", "qcode", "seg", F.col("_v").bitwiseXOR(F.col("_m")).alias("val"))
-        q, c = probes.alias("q"), keyed.alias("c")
-        d = distance(F.col("q.qcode"), F.col("c.code"), words)
-        hits = q.join(c, (F.col("q.seg") == F.col("c.seg")) & (F.col("q.val") == F.col("c.val")) & (d <= reach)).select("query_id", F.col("c.code").alias("code"), d.alias("distance")).distinct()
-        # an entry's ids, without the query itself; entries beyond those that hold k rows can't matter
-        hits = hits.join(index, "code")
-        mine = F.array_contains("ids", F.col("query_id")) | (F.col("distance") == 0)
-        w = Window.partitionBy("query_id").orderBy("distance").rangeBetween(Window.unboundedPreceding, -1)
-        hits = hits.withColumn("_before", F.coalesce(F.sum(F.col("n") - F.when(mine & (F.col("distance") == 0), 1).otherwise(0)).over(w), F.lit(0)))
-        hits = cut(hits.where(F.col("_before") < k).select("query_id", "code", "distance", "n", "ids"))
-        seen = hits.groupBy("query_id").agg(F.sum("n").alias("seen"))  # itself included
-        last = r == SEGMENT
-        full = left.select("query_id").join(seen, "query_id", "left").where(F.lit(last) | (F.coalesce("seen", F.lit(0)) >= min(k + 1, total))).select("query_id")
-        full = cut(full)
-        out = hits.join(full, "query_id", "left_semi")
-        done = out if done is None else done.unionByName(out)
-        left = cut(left.join(full, "query_id", "left_anti"))
-    if done is None:
-        return codes.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, distance int")
-    rows = done.select("query_id", "distance", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
-    w = Window.partitionBy("query_id").orderBy("distance", "vec_id")
-    return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", F.col("distance").cast("int").alias("distance"))
+        state = best.groupBy("query_id").agg(F.count("*").alias("n"), F.max("distance").alias("kth"))
+        state = left.select("query_id", "qcode").join(state, "query_id", "left")
+        # fewer rows than k in the whole table: all of them are to be found
+        full = (F.coalesce("n", F.lit(0)) >= min(k, at_most - 1)) & (F.coalesce("kth", F.lit(0)) <= reach)
+        state = cut(state.select("query_id", "qcode", F.when(F.col("n") >= k, F.col("kth")).otherwise(dims).cast("int").alias("worst"), (full | F.lit(r == SEGMENT)).alias("full")))
+        done.append(best.join(state.where("full"), "query_id", "left_semi").select(*none.columns, F.lit(r).alias("radius")))
+        left, best = state.where("not full").drop("full"), best.join(state.where("not full"), "query_id", "left_semi").select(*none.columns)
+    rows = reduce(DataFrame.unionByName, done)
+    return rows.withColumn("rank", F.row_number().over(per_query("distance", "vec_id"))).select("query_id", "rank", "vec_id", "distance", *["radius"] * radius)
