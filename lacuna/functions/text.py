@@ -161,3 +161,23 @@ def clean_query(c: Column) -> Column:
     """Control characters to spaces, squeezed; null unless 1 to 100 characters (CLN17)."""
     c = F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), "[\\x00-\\x1f\\x7f]", " "), SPACES, " "))
     return F.when(F.length(c).between(1, 100), c)
+
+
+def accepted_year(asked: Column, detected: Column) -> Column:
+    """The year that a user names if it is plausible (1990 to 2030), else the detected one (SCL12)."""
+    return F.coalesce(F.when(asked.between(1990, 2030), asked), detected)
+
+
+def cutoff_date(year: Column) -> Column:
+    """The last day of a year (SCL12)."""
+    return F.make_date(year, F.lit(12), F.lit(31))
+
+
+def pair_queries(labels: Column) -> Column:
+    """At most three distinct search texts from a case's labels: two by two, and where that gives fewer than three, the
+    first with the third (SCL18). Null and empty labels don't count."""
+    said = F.filter(labels, lambda x: x.isNotNull() & (x != ""))
+    none = F.expr("cast(array() as array<string>)")
+    two = F.when(F.size(said) > 0, F.transform(F.sequence(F.lit(0), F.least(F.size(said) - 1, F.lit(5)), F.lit(2)), lambda i: F.array_join(F.slice(said, i + 1, 2), " "))).otherwise(none)
+    third = F.when(F.size(said).between(3, 4), F.array(F.concat_ws(" ", F.get(said, F.lit(0)), F.get(said, F.lit(2))))).otherwise(none)
+    return F.slice(F.array_distinct(F.concat(two, third)), 1, 3)

@@ -116,13 +116,16 @@ def applicant(prefer: str = "assignee") -> Column:
     return F.coalesce(a, c, F.lit("unknown")) if prefer == "assignee" else F.coalesce(c, a, F.lit("unknown"))
 
 
+#: Legal forms that an applicant's key leaves out.
+LEGAL_FORMS = "co|company|corp|corporation|inc|incorporated|ltd|limited|llc|lp|plc|gmbh|ag|sa|ab|publ|oy|kk|bv|nv"
+
+
 def applicant_key(name: Column) -> Column:
     """Lower case, no brackets, no legal forms (CLN12)."""
     c = F.regexp_replace(F.lower(name), r"\(.*?\)", " ")
     c = F.regexp_replace(c, r"(?<![a-z0-9_])(l\.l\.c|l\.p|s\.a)\.", " ")
     c = F.regexp_replace(c, "[.,]", " ")
-    forms = "co|company|corp|corporation|inc|incorporated|ltd|limited|llc|lp|plc|gmbh|ag|sa|ab|publ|oy|kk|bv|nv"
-    c = F.regexp_replace(c, rf"(?<![a-z0-9_])({forms})(?![a-z0-9_])", " ")
+    c = F.regexp_replace(c, rf"(?<![a-z0-9_])({LEGAL_FORMS})(?![a-z0-9_])", " ")
     return F.trim(F.regexp_replace(c, "[^a-z0-9&぀-鿿]+", " "))
 
 

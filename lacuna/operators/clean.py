@@ -118,3 +118,8 @@ def class_label(groups: DataFrame, curated: dict[str, str], words: DataFrame) ->
     m = F.create_map(*[F.lit(x) for kv in (curated or {"": ""}).items() for x in kv])
     out = groups.join(F.broadcast(words.select(F.col("subtech").alias("g"), F.col("label").alias("_w"))), "g", "left")
     return out.select("g", F.coalesce(F.try_element_at(m, F.col("g")), "_w", F.concat(F.lit("IPC "), "g")).alias("label"))
+
+
+def lookup(records: DataFrame, asked: DataFrame, number: str = "publication_number") -> DataFrame:
+    """Records with one of the numbers asked for, each number once whatever its repeats (FLT10)."""
+    return records.join(asked.select(number).where(F.col(number).isNotNull()).distinct(), number)

@@ -46,15 +46,26 @@ def pair_grid(spark: SparkSession, taxonomy: Taxonomy) -> DataFrame:
 
 def pair_counts(records: DataFrame, taxonomy: Taxonomy, *by: str) -> DataFrame:
     """Documents with both features for every unordered pair, zeros kept (JN2). Pairs come from each
-    document's own short array; the grid has a row per pair of the taxonomy. With `by`, for each value."""
+    document's own short array; the grid has a row per pair of the taxonomy. With `by`, for each value, the pairs
+    that occur."""
     body = F.concat_ws(" ", "title", "abstract")
-    ns = F.transform(features_of(body, taxonomy), lambda x: x["n"])
-    pairs = F.flatten(F.transform(ns, lambda a: F.transform(F.filter(ns, lambda b: b > a), lambda b: F.struct(a.alias("n1"), b.alias("n2")))))
-    counts = records.select(*by, F.explode(pairs).alias("p")).groupBy(*by, "p.n1", "p.n2").agg(F.count("*").alias("c"))
-    grid = pair_grid(records.sparkSession, taxonomy)
-    if by:
-        grid = records.select(*by).distinct().join(F.broadcast(grid), F.lit(True))
-    return grid.join(counts, [*by, "n1", "n2"], "left").select(*by, "f1", "f2", F.coalesce("c", F.lit(0)).alias("documents"), "n1", "n2")
+    # places stand in a column of their own, so that terms are matched once a document
+    own = records.select(*by, F.transform(features_of(body, taxonomy), lambda x: x["n"]).alias("ns"))
+    return counted(own, pair_grid(records.sparkSession, taxonomy), *by)
+
+
+def pairs_among(doc_features: DataFrame, taxonomy: Taxonomy, *by: str) -> DataFrame:
+    """As pair_counts, from the rows of document_features (pos, by..., n): at most one row per feature and document."""
+    own = doc_features.groupBy("pos", *by).agg(F.sort_array(F.collect_set("n")).alias("ns"))
+    return counted(own, pair_grid(doc_features.sparkSession, taxonomy), *by)
+
+
+def counted(own: DataFrame, grid: DataFrame, *by: str) -> DataFrame:
+    """Pair counts of (by..., ns: ascending places)."""
+    pairs = F.flatten(F.transform("ns", lambda a: F.transform(F.filter("ns", lambda b: b > a), lambda b: F.struct(a.alias("n1"), b.alias("n2")))))
+    counts = own.where(F.size("ns") > 1).select(*by, F.explode(pairs).alias("p")).groupBy(*by, "p.n1", "p.n2").agg(F.count("*").alias("c"))
+    out = counts.join(grid, ["n1", "n2"]) if by else grid.join(counts, ["n1", "n2"], "left")
+    return out.select(*by, "f1", "f2", F.coalesce("c", F.lit(0)).alias("documents"), "n1", "n2")
 
 
 def frequency(features: DataFrame) -> DataFrame:
@@ -84,7 +95,7 @@ def extract(cases: DataFrame, taxonomy: Taxonomy, df: DataFrame, total: DataFram
     """Features of case texts by tf * (ln(N / (1 + df)) + 1), the first `most` as F1, F2, ... (AGG11); ties in
     the taxonomy's order. cases has case_id and text; total one row with n; lift is optional."""
     f = cases.select("case_id", F.explode(features_of(F.col("text"), taxonomy)).alias("f")).select("case_id", "f.*")
-    f = f.join(F.broadcast(df), "feature_id", "left").join(F.broadcast(total.toDF("_all")), F.lit(True))
+    f = f.join(df, "feature_id", "left").join(F.broadcast(total.toDF("_all")), F.lit(True))
     f = f.withColumn("score", F.col("tf") * (F.log(F.col("_all") / (1 + F.coalesce("df", F.lit(0)))) + 1))
     w = Window.partitionBy("case_id").orderBy(F.desc(F.round("score", 9)), "n")
     f = f.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lacuna.functions import text
 from lacuna.functions.metrics import half_up
+from lacuna.sources.tables import written
 
 K1, B = 1.5, 0.75
 
@@ -20,10 +21,6 @@ def postings(docs: DataFrame, pattern: str = text.TOKEN_A, stop: list[str] = tex
     return t.groupBy("pos", *keep, "token", "len").agg(F.count("*").alias("tf"))
 
 
-def lengths(docs: DataFrame, *keep: str) -> DataFrame:
-    return docs.select("pos", *keep, F.size(text.tokens(F.concat_ws(" ", "title", "abstract"))).alias("len"))
-
-
 def ranked(hits: DataFrame, k: int | None, order: str = "pos") -> DataFrame:
     """Top k per case with similarity = score / best, three decimals (AGG13); ties in input order."""
     w = Window.partitionBy("case_id").orderBy(F.desc(F.round("score", 9)), order)
@@ -34,29 +31,37 @@ def ranked(hits: DataFrame, k: int | None, order: str = "pos") -> DataFrame:
     return hits.withColumn("similarity", half_up(F.col("score") / best, 3))
 
 
+def running_at(rows: DataFrame, asked: DataFrame, keys: list[str], sums: list[str]) -> DataFrame:
+    """rows (keys..., day, sums...), asked (keys..., cutoff) -> (keys..., cutoff, sums...): each key's sums over the days
+    up to each cutoff asked of it, where there are any. Days and cutoffs stand in one list by key and day, so every
+    row is met once; a key has at most a row a day."""
+    days = rows.select(*keys, "day", *sums, F.lit(0).alias("_ask"))
+    cuts = asked.select(*keys, F.col("cutoff").alias("day"), *[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in sums], F.lit(1).alias("_ask"))
+    upto = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("day", "_ask").rowsBetween(Window.unboundedPreceding, 0)
+    out = days.unionByName(cuts).select(*keys, "day", "_ask", *[F.sum(c).over(upto).alias(c) for c in sums])
+    return out.where(f"_ask = 1 and {sums[0]} is not null").select(*keys, F.col("day").alias("cutoff"), *sums)
+
+
 def as_of(docs: DataFrame, queries: DataFrame, cutoffs: DataFrame, k: int | None = 5) -> DataFrame:
     """(case_id, pos, score, rank, similarity): BM25 in which N, df and mean length count only records
     published by the case's cutoff (AGG13, JN4, JN5).
 
     docs: pos, title, abstract, publication_date; queries: distinct (case_id, token); cutoffs: (case_id,
-    cutoff). Statistics per day and running sums over days give them for every cutoff at once: df(token,
-    cutoff) is the last running count at or before it. Only tokens of some query are kept, by a semi join,
+    cutoff). Documents are tokenised once, into one list of tokens each. Statistics per day and running sums over
+    days give them for every cutoff at once (`running_at`). Only tokens of some query are kept, by a semi join,
     before anything is counted. No loop over cases, and no case meets all records: a case joins only the
-    postings of its own tokens.
+    postings of its own tokens. Nothing is broadcast by force.
     """
-    dated = docs.where("publication_date is not null")
-    post = postings(dated, text.TOKEN_A, text.STOP_A, True, False, "publication_date").join(F.broadcast(queries.select("token").distinct()), "token", "left_semi")
-    run = lambda *keys: Window.partitionBy(*keys).orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
-    per_day = lengths(dated, "publication_date").groupBy(F.col("publication_date").alias("day")).agg(F.count("*").alias("n"), F.sum("len").alias("l"))
-    per_day = per_day.select("day", F.sum("n").over(run(F.lit(0))).alias("N"), F.sum("l").over(run(F.lit(0))).alias("L"))  # one row per day
-    days = cutoffs.select("cutoff").distinct()
-    at = days.join(F.broadcast(per_day), F.col("day") <= F.col("cutoff")).groupBy("cutoff").agg(F.max(F.struct("day", "N", "L")).alias("s")).select("cutoff", "s.N", (F.col("s.L") / F.col("s.N")).alias("avgdl"))
-    df_day = post.groupBy("token", F.col("publication_date").alias("day")).agg(F.count("*").alias("d"))
-    df_day = df_day.select("token", "day", F.sum("d").over(run("token")).alias("df"))
-    asked = queries.join(F.broadcast(cutoffs), "case_id").select("token", "cutoff").distinct()
-    df = asked.join(df_day, (asked["token"] == df_day["token"]) & (F.col("day") <= F.col("cutoff"))).groupBy(asked["token"], "cutoff").agg(F.max("df").alias("df"))
-    q = queries.join(F.broadcast(cutoffs), "case_id").join(F.broadcast(at), "cutoff").join(df, ["token", "cutoff"])
-    hits = post.join(q, "token").where(F.col("publication_date") <= F.col("cutoff"))
+    body = F.concat_ws(" ", "title", "abstract")
+    listed = written(docs.where("publication_date is not null").select("pos", F.col("publication_date").alias("day"), text.tokens(body, text.TOKEN_A, text.STOP_A, True).alias("t")), "tokens")
+    post = listed.select("pos", "day", F.size("t").alias("len"), F.explode("t").alias("token")).join(queries.select("token").distinct(), "token", "left_semi")
+    post = post.groupBy("pos", "day", "token", "len").agg(F.count("*").alias("tf"))
+    asked = queries.join(cutoffs, "case_id")
+    per_day = listed.groupBy("day").agg(F.count("*").alias("N"), F.sum(F.size("t")).alias("L"))
+    at = running_at(per_day, cutoffs.select("cutoff").distinct(), [], ["N", "L"]).select("cutoff", "N", (F.col("L") / F.col("N")).alias("avgdl"))
+    df = running_at(post.groupBy("token", "day").agg(F.count("*").alias("df")), asked.select("token", "cutoff").distinct(), ["token"], ["df"])
+    q = asked.join(at, "cutoff").join(df, ["token", "cutoff"])
+    hits = post.join(q, "token").where(F.col("day") <= F.col("cutoff"))
     idf = F.log(1 + (F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
     return ranked(hits.groupBy("case_id", "pos").agg(F.sum(part).alias("score")).where("score > 0"), k)
@@ -70,11 +75,11 @@ def in_store(docs: DataFrame, queries: DataFrame, cutoffs: DataFrame, k: int, ki
     b = lambda d, *keep: postings(d, text.TOKEN_B, STOP_B, False, True, *keep)
     body = F.concat_ws(" ", "title", "title", "abstract")
     stats = docs.agg(F.count("*").alias("N"), F.avg(F.size(text.tokens(body, text.TOKEN_B, STOP_B, False))).alias("avgdl"))
-    post = b(docs, "type", "date", "year").join(F.broadcast(queries.select("token").distinct()), "token", "left_semi")
+    post = b(docs, "type", "date", "year").join(queries.select("token").distinct(), "token", "left_semi")
     df = post.groupBy("token").agg(F.count("*").alias("df"))
     size = queries.groupBy("case_id").agg(F.count("*").alias("terms"))
-    q = queries.join(F.broadcast(cutoffs), "case_id").join(F.broadcast(size), "case_id").join(F.broadcast(df), "token")
-    hits = post.join(F.broadcast(q), "token").join(F.broadcast(stats), F.lit(True))
+    q = queries.join(cutoffs, "case_id").join(size, "case_id").join(df, "token")
+    hits = post.join(q, "token").join(F.broadcast(stats), F.lit(True))
     ok = F.when(F.col("date").isNotNull(), F.col("date") <= F.col("cutoff")).otherwise(F.col("year") <= F.year("cutoff"))
     hits = hits.where(ok & (F.col("type") == kind if kind else F.lit(True)))
     idf = F.log(1 + (F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5))

@@ -75,7 +75,7 @@ def crowding(matched: DataFrame, cases: DataFrame, background: DataFrame) -> Dat
     feature pairs at the same cutoff (AGG17). background: (cutoff, documents), a row per pair and cutoff."""
     hits = cases.select("case_id", "cutoff").join(matched.groupBy("case_id").agg(F.count("*").alias("hits")), "case_id", "left").fillna(0, ["hits"])
     b = background.select("cutoff", "documents")
-    r = hits.join(F.broadcast(b), "cutoff").groupBy("case_id", "hits").agg(F.sum((F.col("documents") < F.col("hits")).cast("int")).alias("below"), F.sum((F.col("documents") == F.col("hits")).cast("int")).alias("equal"), F.count("*").alias("n"))
+    r = hits.join(b, "cutoff").groupBy("case_id", "hits").agg(F.sum((F.col("documents") < F.col("hits")).cast("int")).alias("below"), F.sum((F.col("documents") == F.col("hits")).cast("int")).alias("equal"), F.count("*").alias("n"))
     p = (F.col("below") + 0.5 * F.col("equal")) / F.col("n")
     return r.select("case_id", clamp01(1 - p).alias("value"), "hits", p.alias("percentile"))
 
@@ -87,7 +87,7 @@ def regional(matched: DataFrame, cases: DataFrame, records: DataFrame, default:
 
     rows = matched.join(records.select("pos", "jurisdiction", applicant("assignee").alias("applicant")), "pos")
     t = cases.select("case_id", F.when(F.col("target").isin(targets or TARGETS), F.col("target")).otherwise(default).alias("target"))
-    hits = rows.join(F.broadcast(t), "case_id").groupBy("case_id").agg(F.sum((F.col("jurisdiction") == F.col("target")).cast("int")).alias("target_hits"))
+    hits = rows.join(t, "case_id").groupBy("case_id").agg(F.sum((F.col("jurisdiction") == F.col("target")).cast("int")).alias("target_hits"))
     c = concentration(rows, ["case_id"], "applicant").select("case_id", "total", "hhi", F.col("value").alias("spread"))
     out = t.join(hits, "case_id", "left").join(c, "case_id", "left").fillna(0, ["target_hits", "total"])
     value = 0.5 * F.when(F.col("target_hits") == 0, 1.0).otherwise(0.0) + 0.5 * F.coalesce("spread", F.lit(0.5))

@@ -2,23 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = tempfile.mkdtemp(prefix="lacuna-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    path = f"{at}/snowball-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+from lacuna.sources.tables import written
 
 def snowball(edges: DataFrame, seeds: DataFrame, gate: Column, hops: int = 2, budget: int | None = None, known: DataFrame | None = None) -> DataFrame:
     """(node, hop, status): from the seeds, follow edges (src, dst); a node is taken once, at its first hop.
@@ -29,7 +16,7 @@ def snowball(edges: DataFrame, seeds: DataFrame, gate: Column, hops: int = 2, bu
     Each hop is one equi join of frontier and edges and one anti join with what was seen, written to the
     shared folder, so the plan doesn't grow with the hops and a lost executor repeats a hop at most.
     """
-    seen = _cut(seeds.select(F.col("node")).distinct().withColumn("hop", F.lit(0)).withColumn("status", F.lit("seed")))
+    seen = written(seeds.select(F.col("node")).distinct().withColumn("hop", F.lit(0)).withColumn("status", F.lit("seed")))
     front, left = seen.select("node"), budget
     for hop in range(1, hops + 1):
         new = edges.join(front, edges["src"] == front["node"]).withColumn("_g", gate).groupBy("dst").agg(F.max(F.coalesce("_g", F.lit(False))).alias("ok"))
@@ -38,10 +25,10 @@ def snowball(edges: DataFrame, seeds: DataFrame, gate: Column, hops: int = 2, bu
             new = new.join(known.select("node").distinct().withColumn("_k", F.lit(True)), "node", "left")
         else:
             new = new.withColumn("_k", F.lit(None).cast("boolean"))
-        new = _cut(new.select("node", "hop", F.when(F.col("_k").isNotNull(), "known").when(F.col("ok"), "passed").otherwise("gated").alias("status")))
+        new = written(new.select("node", "hop", F.when(F.col("_k").isNotNull(), "known").when(F.col("ok"), "passed").otherwise("gated").alias("status")))
         passed = new.where("status = 'passed'")
         if left is not None:
-            taken = _cut(passed.orderBy("node").limit(left))
+            taken = written(passed.orderBy("node").limit(left))
             new = new.where("status <> 'passed'").unionByName(taken)
             left = left - taken.count()
             passed = taken

@@ -10,6 +10,7 @@ from lacuna.operators import features, retrieve, score
 from lacuna.plans import views
 from lacuna.plans.registry import query
 from lacuna.plans.search_queries import GRID, STOP, TF, TOKENS
+from lacuna.sources.tables import written
 
 TAX = views.TAXONOMY
 
@@ -163,16 +164,20 @@ def known_item_recall(spark, d):
 
 
 class Scored:
-    """The frames of one scoring run."""
+    """The frames of one scoring run. What several factors need (document features, the cases' own features, prior art,
+    matched records) is written once."""
 
-    def __init__(self, spark: SparkSession, d: str, shift: int = 0):
+    def __init__(self, spark: SparkSession, d: str, shift: int = 0, art: bool = True):
         self.cases = cases(spark, d, shift)
         self.records = views.rec(spark, d).withColumn("assignees", F.array("company_name"))
-        self.own = case_features(spark, d)
-        self.docs = features.document_features(self.records, TAX, "publication_date")
-        cut = self.cases.select("case_id", "cutoff")
-        self.art = retrieve.as_of(self.records, queries(spark, d), cut).select("case_id", "pos", F.col("rank").alias("place"))
-        self.matched = score.matched_set(self.own, self.cases, self.docs, self.records)
+        self.docs = written(features.document_features(self.records, TAX, "publication_date"), "features")
+        self.own = written(features.extract(self.cases, TAX, features.frequency(self.docs), self.records.agg(F.count("*").alias("N"))), "own")
+        if art:
+            _, df, n = frequencies(spark, d)
+            asked = retrieve.case_tokens(self.own, features.taxonomy_frame(spark, TAX), features.document_terms(self.cases, df, n))
+            hits = retrieve.as_of(self.records, written(asked, "asked"), self.cases.select("case_id", "cutoff"))
+            self.art = written(hits.select("case_id", "pos", F.col("rank").alias("place")), "art")
+        self.matched = written(score.matched_set(self.own, self.cases, self.docs, self.records), "matched")
         self.spark = spark
 
     def novelty(self) -> DataFrame:
@@ -180,10 +185,10 @@ class Scored:
 
     def background(self) -> DataFrame:
         """Pair counts at each distinct cutoff: pairs counted per day once, then joined with the cutoffs."""
-        per_day = features.pair_counts(self.records.where("publication_date is not null"), TAX, "publication_date").where("documents > 0")
+        per_day = features.pairs_among(self.docs.where("publication_date is not null"), TAX, "publication_date").select("n1", "n2", F.col("publication_date").alias("day"), "documents")
         cut = self.cases.select("cutoff").distinct()
         grid = cut.join(F.broadcast(features.pair_grid(self.spark, TAX)), F.lit(True))
-        n = per_day.join(F.broadcast(cut), F.col("publication_date") <= F.col("cutoff")).groupBy("cutoff", "n1", "n2").agg(F.sum("documents").alias("documents"))
+        n = retrieve.running_at(per_day, grid.select("n1", "n2", "cutoff"), ["n1", "n2"], ["documents"])
         return grid.join(n, ["cutoff", "n1", "n2"], "left").select("cutoff", F.coalesce("documents", F.lit(0)).alias("documents"))
 
     def crowding(self) -> DataFrame:
@@ -245,27 +250,27 @@ def novelty(spark, d):
 
 @query(f"WITH {CASES}, {MATCHED} SELECT case_id, pos FROM ms")
 def matched_set(spark, d):
-    return Scored(spark, d).matched
+    return Scored(spark, d, art=False).matched
 
 
 @query(f"WITH {CASES}, {MATCHED}, {CROWD} SELECT case_id, round(value, 6) AS value, hits, round(percentile, 6) AS percentile FROM cro")
 def crowding(spark, d):
-    return Scored(spark, d).crowding().withColumns({"value": F.round("value", 6), "percentile": F.round("percentile", 6)})
+    return Scored(spark, d, art=False).crowding().withColumns({"value": F.round("value", 6), "percentile": F.round("percentile", 6)})
 
 
 @query(f"WITH {CASES}, {MATCHED}, {REGIO} SELECT case_id, round(value, 6) AS value, target, target_hits, round(hhi, 6) AS hhi, total FROM reg")
 def regional(spark, d):
-    return Scored(spark, d).regional().withColumns({"value": F.round("value", 6), "hhi": F.round("hhi", 6)})
+    return Scored(spark, d, art=False).regional().withColumns({"value": F.round("value", 6), "hhi": F.round("hhi", 6)})
 
 
 @query(f"WITH {CASES}, {MATCHED}, {TEMPO} SELECT case_id, round(value, 6) AS value, is_fallback, evidence_count FROM tem")
 def temporal(spark, d):
-    return Scored(spark, d).temporal().withColumn("value", F.round("value", 6))
+    return Scored(spark, d, art=False).temporal().withColumn("value", F.round("value", 6))
 
 
 @query(f"WITH {CASES}, yc AS (SELECT case_id, year, count(*) AS n FROM (SELECT DISTINCT cf.case_id, df.pos, df.year FROM cf JOIN df ON df.feature_id = cf.feature_id) GROUP BY 1, 2) SELECT case_id, year, n FROM yc")
 def year_counts(spark, d):
-    s = Scored(spark, d)
+    s = Scored(spark, d, art=False)
     return score.year_counts(s.docs, s.own, s.records)
 
 

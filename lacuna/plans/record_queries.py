@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +12,7 @@ from lacuna.operators import snowball as snow
 from lacuna.plans import views
 from lacuna.plans.registry import query
 from lacuna.sources import ingest, sinks
+from lacuna.sources.tables import shared_dir
 from lacuna.streaming import writeback
 
 
@@ -20,8 +20,7 @@ def scratch(spark: SparkSession) -> str:
     """A new folder that driver and executors share."""
     import uuid
 
-    at = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lacuna-")
-    return f"{at}/scratch-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
 
 
 # --- what a text says of its year -------------------------------------------------------------------------

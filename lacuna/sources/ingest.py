@@ -50,6 +50,7 @@ def digits_date(c: Column) -> Column:
     return F.when(c.rlike(r"^\d{8}$"), F.concat_ws("-", F.substring(c, 1, 4), F.substring(c, 5, 2), F.substring(c, 7, 2)))
 
 
+#: The response schemas of the sources.
 SCHOLAR = "data array<struct<paperId:string,title:string,year:int,venue:string,url:string,abstract:string,publicationDate:string,externalIds:struct<DOI:string>,authors:array<struct<name:string>>>>"
 CROSSREF = "message struct<items:array<struct<title:array<string>,`container-title`:array<string>,URL:string,DOI:string,abstract:string,`is-referenced-by-count`:int,issued:struct<`date-parts`:array<array<int>>>,author:array<struct<given:string,family:string>>>>>"
 OPENALEX = "results array<struct<id:string,doi:string,title:string,publication_year:int,publication_date:string,cited_by_count:int,abstract_inverted_index:map<string,array<int>>,authorships:array<struct<author:struct<display_name:string>>>,primary_location:struct<source:struct<display_name:string>>>>"
@@ -145,6 +146,7 @@ def patent_pages(pages: DataFrame) -> DataFrame:
     return out.where("title is not null and abstract is not null and publication_date is not null")
 
 
+#: The relations that page markup names; the patterns in these functions are the markup's, too.
 RELATIONS = ["backwardReferences", "backwardReferencesOrig", "backwardReferencesFamily", "forwardReferences", "forwardReferencesOrig", "forwardReferencesFamily", "similarDocuments"]
 
 
