@@ -14,31 +14,42 @@ HEX = "[0-9a-f]{24,}"
 # weak parts: telling nothing alone
 WEAK_ID = r"""(?<![A-Za-z0-9_])(?i:access_?key_?id|access_?key|client_?id|user_?name|account_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@-]{4,}"""
 WEAK_SECRET = r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z0-9+/]*[0-9])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[a-z])[A-Za-z0-9+/]{32,88}={0,2}(?![A-Za-z0-9+/=_-])"
-ENDPOINT = r"""https?://[A-Za-z0-9.-]+(?::[0-9]+)?(?:/[^\s"'<>]*)?|(?i:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"""
+#: The groups are possessive: Java follows repeated groups by recursion else, and a long name ends the executor.
+ENDPOINT = r"""https?://[A-Za-z0-9.-]++(?::[0-9]++)?+(?:/[^\s"'<>]*+)?+|(?i:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"""
 KINDS = ["assign", "access", "hex", "weak_id", "weak_secret", "endpoint"]
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
+#: Matches that are placed together; appending to an array copies it, so runs of this length are placed each by itself.
+RUN = 256
+
+
 def spans(text: Column, pattern: str, kind: int, keep: Column | None = None) -> Column:
     """All leftmost, non-overlapping matches as (start, kind, end), in code points. Positions follow from the
     lengths of the matches and of the pieces between them. `keep`: an array of booleans, one per match."""
-    pat = F.lit(pattern)
+    pat, none = F.lit(pattern), F.expr(f"cast(array() as {SPAN})")
     hits = F.transform(F.regexp_extract_all(text, pat, F.lit(0)), F.length)
     gaps = F.transform(F.split(text, pattern), F.length)
     pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda g, h: F.struct(g.alias("g"), h.alias("h")))
-    start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {SPAN})").alias("out"))
-    run = F.aggregate(
-        pairs,
-        start,
-        lambda acc, p: F.struct(
-            (acc["at"] + p["g"] + p["h"]).alias("at"),
-            F.array_append(acc["out"], F.struct((acc["at"] + p["g"]).alias("start"), F.lit(kind).alias("kind"), (acc["at"] + p["g"] + p["h"]).alias("end"))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
+
+    def place(run: Column) -> Column:
+        """(at: length of the run's text, out: spans from the run's beginning)."""
+        begin = F.struct(F.lit(0).alias("at"), none.alias("out"))
+        span = lambda at, p: F.struct((at + p["g"]).alias("start"), F.lit(kind).alias("kind"), (at + p["g"] + p["h"]).alias("end"))
+        return F.aggregate(run, begin, lambda acc, p: F.struct((acc["at"] + p["g"] + p["h"]).alias("at"), F.array_append(acc["out"], span(acc["at"], p)).alias("out")))
+
+    def chained(pairs: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), (F.size(pairs) - 1).cast("int"), F.lit(RUN)), lambda i: place(F.slice(pairs, i + 1, RUN)))
+        begin = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
+        starts = lambda rs: F.aggregate(rs, begin, lambda acc, r: F.struct((acc["at"] + r["at"]).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")), lambda acc: acc["out"])
+        moved = lambda rs: F.flatten(F.zip_with(rs, starts(rs), lambda r, o: F.transform(r["out"], lambda s: F.struct((s["start"] + o).alias("start"), s["kind"].alias("kind"), (s["end"] + o).alias("end")))))
+        # one element arrays stand for variables, so that nothing is worked out twice
+        return F.flatten(F.transform(F.array(runs), moved))
+
+    run = F.flatten(F.transform(F.array(pairs), lambda p: F.when(F.size(p) > 0, chained(p)).otherwise(none)))
     if keep is not None:
         run = F.transform(F.filter(F.arrays_zip(run.alias("s"), keep.alias("k")), lambda x: x["k"]), lambda x: x["s"])
-    return F.when(text.rlike(pattern), run).otherwise(F.expr(f"cast(array() as {SPAN})"))
+    return F.when(text.rlike(pattern), run).otherwise(none)
 
 
 def scan(docs: DataFrame, scope: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -94,9 +105,9 @@ def scan(docs: DataFrame, scope: int = 400, id_col: str = "doc_id", text_col: st
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) of scan()'s rows."""
+    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_spans) of scan()'s rows."""
     names = F.array(*map(F.lit, KINDS))
     said = lambda c: F.concat_ws(",", F.transform(c, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
     both = F.array_sort(F.concat("base", "linked"))
-    return found.select("doc_id", *[count(k).alias(f"n_{KINDS[k]}") for k in range(3)], F.sha2(said(F.col("base")), 256).alias("base_sha256"), said(both).alias("spans"))
+    return found.select("doc_id", *[count(k).alias(f"n_{KINDS[k]}") for k in range(3)], F.sha2(said(F.col("base")), 256).alias("base_sha256"), said(both).alias("spans"), F.size(both).cast("long").alias("n_spans"))
