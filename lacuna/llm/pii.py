@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -75,14 +76,26 @@ def candidates(text: str) -> list[tuple[int, int, int, bool, bool]]:
     for m in PHONE.finditer(text):
         ok = 10 <= sum(map(str.isdigit, m[0])) <= 15
         out.append((3, *m.span(), ok, ok))
-    base = [(a, b) for _, a, b, kept, _ in out if kept]
+    taken = covered([(a, b) for _, a, b, kept, _ in out if kept])
     for kind, pattern in WEAK:
         if kind == 0 and "at" not in text:
             continue
         for m in pattern.finditer(text):
-            if not any(a < m.end() and m.start() < b for a, b in base):
+            at = bisect_right(taken, (m.end() - 1, len(text))) - 1  # the last that begins before the match ends
+            if at < 0 or taken[at][1] <= m.start():
                 out.append((kind, *m.span(), False, True))
-                base.append(m.span())
+        taken = covered(taken + [(a, b) for k, a, b, kept, _ in out if k == kind and not kept])
+    return out
+
+
+def covered(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order, overlapping ones as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
     return out
 
 
@@ -187,7 +200,9 @@ def detect(docs: DataFrame, accept: float = 0.5, id_col: str = "doc_id", text_co
             out = []
             for spans in b["spans"]:
                 kept = [(s["start"], s["kind"], s["end"], s["base"], round(chance[s["kind"], s["cell"]], 6)) for s in spans]
-                kept = sorted(x for x in kept if x[3] or x[4] >= accept and failed_nothing(x, spans))
+                # a candidate that failed its own pattern's check (digits, range, Luhn) never comes back
+                passed = {(s["start"], s["kind"]) for s in spans if s["cell"] // 972 == 2}
+                kept = sorted(x for x in kept if x[3] or x[4] >= accept and x[:2] in passed)
                 out.append([{"kind": KINDS[k], "start": a, "end": e, "base": base, "probability": q} for a, k, e, base, q in kept])
             yield pd.DataFrame({"doc_id": b["doc_id"], "found": out})
 
@@ -195,13 +210,8 @@ def detect(docs: DataFrame, accept: float = 0.5, id_col: str = "doc_id", text_co
     return spans.mapInPandas(run, f"doc_id {kind}, found array<struct<kind:string,start:int,end:int,base:boolean,probability:double>>")
 
 
-def failed_nothing(x: tuple, spans) -> bool:
-    """A candidate that failed its own pattern's check (digits, range, Luhn) never comes back."""
-    return any(s["start"] == x[0] and s["kind"] == x[1] and s["cell"] // 972 == 2 for s in spans)
-
-
 def digest(found: DataFrame) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) of detect()'s rows."""
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans) of detect()'s rows."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -209,8 +219,9 @@ def digest(found: DataFrame) -> DataFrame:
             for spans in b["found"]:
                 said = [(s["base"], s["kind"], f"{s['kind']}:{s['start']}:{s['end']}") for s in spans]
                 base = ",".join(x for kept, _, x in said if kept)
-                rows.append([*[sum(kept and k == kind for kept, k, _ in said) for kind in KINDS], hashlib.sha256(base.encode()).hexdigest(), ",".join(x for *_, x in said)])
-            yield pd.DataFrame(rows, columns=[*[f"n_{k}" for k in KINDS], "base_sha256", "spans"]).assign(doc_id=b["doc_id"].to_numpy())[["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans"]]
+                rows.append([*[sum(kept and k == kind for kept, k, _ in said) for kind in KINDS], hashlib.sha256(base.encode()).hexdigest(), ",".join(x for *_, x in said), len(said)])
+            yield pd.DataFrame(rows, columns=names).assign(doc_id=b["doc_id"].to_numpy())[["doc_id", *names]]
 
+    names = [*[f"n_{k}" for k in KINDS], "base_sha256", "spans", "n_spans"]
     kind = found.schema["doc_id"].dataType.simpleString()
-    return found.mapInPandas(run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return found.mapInPandas(run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long")
