@@ -40,6 +40,13 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(conf).delete(path, True)
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """`name`, with underscores before it until no column of `taken` has it (case aside)."""
+    while name.lower() in {c.lower() for c in taken}:
+        name = f"_{name}"
+    return name
+
+
 def crc_fold(id_col) -> F.Column:
     """crc32 of the id written as text, modulo 4."""
     return F.crc32(id_col.cast("string").cast("binary")) % 4

@@ -22,7 +22,7 @@ CHUNK = 1 << 21
 def letters() -> np.ndarray:
     """For each code point: itself in lower case if a letter (the first code point of it), else 0."""
     low = np.zeros(0x110000, dtype=np.int32)
-    for i in range(0x30000):
+    for i in range(0x110000):
         c = chr(i)
         if c.isalpha():
             low[i] = ord(c.lower()[0])

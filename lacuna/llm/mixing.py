@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lacuna.llm.common import cut, join_keys
+from lacuna.llm.common import cut, free_name, join_keys
 
 #: A word: a maximal run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Primes above any number of blocks of a shard, far from its fractions.
+STRIDES = [2147483647, 1101904333, 1523545981, 1536484109, 1964747209, 1799369821, 2106134243, 1751902367, 1973166469, 1462263463, 1744723873, 1420623697, 1791399277, 1977071851, 1460547229, 1693992043]
 
 
 def apportion(df: DataFrame, group: list[str], weight: str, seats: str, out: str, most: str | None = None) -> DataFrame:
@@ -37,9 +39,14 @@ def apportion(df: DataFrame, group: list[str], weight: str, seats: str, out: str
     cand = cand.withColumn("_r", F.row_number().over(order.orderBy(F.desc("_q"), *[F.asc_nulls_last(k) for k in keys], "_j")))
     moved = cand.where(F.col("_r") <= F.abs("_d")).groupBy(*keys).agg(F.sum(F.signum("_d")).cast("long").alias("_m"))
     got = F.col("_s") + F.coalesce(F.col("_m"), F.lit(0))
+    df = join_keys(df, moved, keys, "left").withColumn(out, got)
     if most:
-        got = F.least(got, F.col(most))
-    return join_keys(df, moved, keys, "left").withColumn(out, got).drop("_t", "_n", "_s", "_d", "_m", seats)
+        # what a row may not take goes to the group's others, in the order of their keys, as far as they have room
+        room = F.greatest(F.col(most) - F.col(out), F.lit(0)).cast("long")
+        over = F.sum(F.greatest(F.col(out) - F.col(most), F.lit(0))).over(w)
+        before = F.coalesce(F.sum(room).over(w.orderBy(*[F.asc_nulls_last(k) for k in keys]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        df = df.withColumn("_more", F.greatest(F.least(room, over - before), F.lit(0))).withColumn(out, (F.least(F.col(out), F.col(most)) + F.col("_more")).cast("long")).drop("_more")
+    return df.drop("_t", "_n", "_s", "_d", "_m", seats)
 
 
 def targets(sources: DataFrame, share: float, cap: float, weights: list[int]) -> DataFrame:
@@ -79,7 +86,7 @@ def mix(
 ) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken) of every row of docs.
 
-    Sources fall into shards of about `shard` words by a seeded hash of the id, and shards into groups, so
+    Sources fall into shards of about `shard` words by a seeded hash of id and text, and shards into groups, so
     that one source may hold any part of the corpus. All targets together make a number of blocks of `block`
     words; Sainte-Laguë gives them to sources, then to groups, then to shards (integer quotas). A shard's
     documents, in seeded order, form one line of words, cut into equal blocks; each block is taken quota div
@@ -92,7 +99,7 @@ def mix(
     """
     hashed = lambda *c: F.xxhash64(F.lit(seed), *c)
     base = docs.select(
-        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.size(F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0))), F.lit(0)).cast("long").alias("size")
+        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.size(F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0))), F.lit(0)).cast("long").alias("size"), F.xxhash64(text_col).alias("_x")
     )
     base = cut(base.withColumn("size", F.greatest("size", F.lit(0))))
     sources = base.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -102,7 +109,7 @@ def mix(
     plan = cut(plan.withColumn("groups", F.ceil(F.sqrt("shards")).cast("long")).select("source", "source_size", "target", "quota", "shards", "groups"))
 
     placed = join_keys(base, plan, ["source"])
-    placed = placed.withColumn("_g", F.pmod(hashed("doc_id"), F.col("shards"))).withColumn("_o", hashed("doc_id", F.lit(1)))
+    placed = placed.withColumn("_g", F.pmod(hashed("doc_id", "_x"), F.col("shards"))).withColumn("_o", hashed("doc_id", "_x", F.lit(1)))
     sizes = cut(placed.groupBy("source", "_g").agg(F.sum("size").alias("shard_size"), F.first("quota").alias("quota"), F.first("groups").alias("groups")))
     sizes = sizes.withColumn("grp", F.pmod("_g", F.col("groups")))
     groups = sizes.groupBy("source", "grp").agg(F.sum("shard_size").alias("group_size"), F.first("quota").alias("quota"))
@@ -112,13 +119,14 @@ def mix(
     shards = apportion(shards.withColumnRenamed("_g", "shard"), ["source", "grp"], "shard_size", "group_quota", "shard_quota", "most")
     shards = cut(shards.select("source", "shard", "shard_size", "blocks", "shard_quota"))
 
-    line = Window.partitionBy("source", "_g").orderBy("_o", F.asc_nulls_last("doc_id"), "size").rowsBetween(Window.unboundedPreceding, 0)
+    line = Window.partitionBy("source", "_g").orderBy("_o", F.asc_nulls_last("doc_id"), "_x", "size").rowsBetween(Window.unboundedPreceding, 0)
     placed = placed.withColumn("_end", F.sum("size").over(line))
     rows = join_keys(placed, shards.withColumnRenamed("shard", "_g"), ["source", "_g"])
     # block i covers words [i * size div blocks, (i + 1) * size div blocks); i -> (a * i + b) mod blocks is a
-    # permutation, since a is a prime above any number of blocks
+    # permutation, since a is a prime of which no number of blocks is a multiple; which prime and b are drawn by the seed
     turn = F.pmod(hashed("source", "_g"), F.col("blocks"))
-    rows = rows.withColumn("_b", turn).withColumn("_a", F.pmod(F.lit(2147483647), F.col("blocks")))
+    stride = F.array(*[F.lit(p).cast("long") for p in STRIDES])[F.pmod(hashed("source", "_g", F.lit(2)), F.lit(len(STRIDES))).cast("int")]
+    rows = rows.withColumn("_b", turn).withColumn("_a", F.pmod(stride, F.col("blocks")))
     taken = F.expr(
         """aggregate(
              sequence(((_end - size) * blocks) div shard_size, ((_end - 1) * blocks) div shard_size + 1), 0L,
@@ -133,9 +141,10 @@ def take(docs: DataFrame, seed: int = 42, **settings) -> DataFrame:
     """The mixed corpus: rows of docs, each as often as the mix takes it. A document taken for part of its
     words comes once more with that part as probability, decided by a seeded hash of its id; one without
     words (null or empty text) takes no part in the mix and comes once. Columns are those of docs."""
-    m = mix(docs, seed, **settings).groupBy("doc_id").agg(F.max("size").alias("_size"), F.max("taken").alias("_taken"))
-    part = F.pmod(F.xxhash64(F.lit(seed), F.lit(2), "_id"), F.lit(1 << 20)) / float(1 << 20)
-    times = F.when(F.col("_size") > 0, F.floor(F.col("_taken") / F.col("_size") + part)).otherwise(1).cast("int")
-    m = m.select(F.col("doc_id").alias("_id"), "_size", "_taken").withColumn("_times", times).select("_id", "_times")
-    rows = docs.join(m, docs["doc_id"].eqNullSafe(m["_id"]))
-    return rows.withColumn("_copy", F.explode(F.expr("if(_times > 0, sequence(1, _times), array())"))).select(*[docs[c] for c in docs.columns])
+    own, times, copy = free_name("id", docs.columns), free_name("times", docs.columns), free_name("copy", docs.columns)
+    m = mix(docs, seed, **settings).groupBy(F.col("doc_id").alias(own)).agg(F.max("size").alias("size"), F.max("taken").alias("taken"))
+    part = F.pmod(F.xxhash64(F.lit(seed), F.lit(2), own), F.lit(1 << 20)) / float(1 << 20)
+    often = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + part)).otherwise(1).cast("int")
+    m = m.select(own, often.alias(times))
+    rows = docs.join(m, docs["doc_id"].eqNullSafe(m[own]))
+    return rows.withColumn(copy, F.explode(F.expr(f"if(`{times}` > 0, sequence(1, `{times}`), array())"))).select(*[docs[c] for c in docs.columns])
