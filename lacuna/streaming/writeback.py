@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import deque
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -64,24 +65,28 @@ def arrivals(stream: DataFrame, watermark: str = "1 day") -> DataFrame:
 def sliding_limit(log: DataFrame, most: int, seconds: int = 600) -> DataFrame:
     """(client, ts, seq, allowed): replay of a sliding-window limit; a request is turned away if `most`
     allowed ones lie in the window before it, strictly newer than its start (STR4). Whether one counts
-    depends on those before it, so it is sequential per client: a grouped map that keeps at most `most`
-    instants, over arrivals in order."""
-
-    def replay(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["ts", "seq"])
-        ring: list = []
-        ok = []
-        span = pd.Timedelta(seconds=seconds)
-        for t in rows["ts"]:
-            while ring and ring[0] <= t - span:
-                ring.pop(0)
-            ok.append(len(ring) < most)
-            if ok[-1]:
-                ring.append(t)
-        return rows.assign(allowed=ok)[["client", "ts", "seq", "allowed"]]
+    depends on those before it, so it is sequential per client: rows come sorted, and from batch to batch only the
+    client at hand and at most `most` instants are kept, so a client of any size takes bounded memory. Null
+    clients are one."""
+
+    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        span, now, ring = pd.Timedelta(seconds=seconds), None, None
+        for rows in batches:
+            ok = []
+            for client, t in zip(rows["client"].astype(object), rows["ts"], strict=True):
+                client = None if pd.isna(client) else client
+                if ring is None or client != now:
+                    now, ring = client, deque()
+                while ring and ring[0] <= t - span:
+                    ring.popleft()
+                ok.append(len(ring) < most)
+                if ok[-1]:
+                    ring.append(t)
+            yield rows.assign(allowed=pd.Series(ok, dtype=bool, index=rows.index))
 
     kind = log.schema["client"].dataType.simpleString()
-    return log.select("client", "ts", "seq").groupBy("client").applyInPandas(replay, f"client {kind}, ts timestamp, seq long, allowed boolean")
+    rows = log.select("client", "ts", "seq").repartition("client").sortWithinPartitions("client", "ts", "seq")
+    return rows.mapInPandas(replay, f"client {kind}, ts timestamp, seq long, allowed boolean")
 
 
 def daily_cap(log: DataFrame, most: int) -> DataFrame:
