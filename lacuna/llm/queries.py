@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.llm import bpe, covertree, hamming, jaccard, language, linededup, mixing, pii, secrets
+from lacuna.llm import align, bpe, covertree, hamming, jaccard, language, licenses, linededup, mixing, pii, secrets
 
 
 def tokenizer(name: str) -> str:
@@ -69,7 +69,15 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return covertree.near_links(embeddings(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_pii_weak_supervision, op3_line_dedup, op4_language_id, op5_token_counts, op6_hamming_top_k, op7_secret_scan, op8_bpe_streaming, op9_ngram_jaccard, op10_embedding_near_dedup)}
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(licenses.scan(documents(spark, sf_dir)))
+
+
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align_tokens(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_pii_weak_supervision, op3_line_dedup, op4_language_id, op5_token_counts, op6_hamming_top_k, op7_secret_scan, op8_bpe_streaming, op9_ngram_jaccard, op10_embedding_near_dedup, op11_license_scan, op12_tokenizer_alignment)}
 
 ORACLE_SQL = {
     "op6_hamming_top_k": """
