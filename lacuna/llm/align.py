@@ -20,14 +20,23 @@ from lacuna.llm.common import cut
 
 #: A text falls into units before each run of spaces between other characters: no token of either kind crosses there.
 UNIT = re.compile(r"(?<=\S)(?= +\S)")
+#: White space besides the space.
+OTHER = [c for c in map(chr, range(0x3001)) if c.isspace() and c != " "]
 #: A worker remembers units in two generations of at most so many units and characters; what is met again stays.
-UNITS_KEPT, CHARS_KEPT = 120_000, 3_000_000
+UNITS_KEPT, CHARS_KEPT = 200_000, 4_000_000
 #: Different links of documents that are numbered together; a chunk's numbers and counts are held in memory.
 CHUNK_LINKS = 3_000_000
 #: Link numbers in one row.
 SLICE = 1 << 15
 
 
+def units_of(text: str) -> list[str]:
+    """The units of space+text, each without the space with which it begins."""
+    if text[0] == " " or text[-1] == " " or "  " in text or any(c in text and (" " + c in text or c + " " in text or text[0] == c) for c in OTHER):
+        return [u[1:] for u in UNIT.split(" " + text)]
+    return text.split(" ")
+
+
 def expand(ids_a: list[int], ids_b: list[int], ends_a: list[int], ends_b: list[int]) -> list[int]:
     """Links of one group's slices, as numbers: all pairs of occurrences whose byte ranges overlap, in order of place."""
     if len(ids_a) == 1:
@@ -63,7 +72,7 @@ def align(ids_a: list[int], ids_b: list[int], sizes_a: list[int], sizes_b: list[
 class Pair:
     """The two tokenizers of a worker, and what is known of units."""
 
-    def __init__(self, path_a: str, path_b: str):
+    def __init__(self, path_a: str, path_b: str, kept: int = UNITS_KEPT):
         import sentencepiece
         from tokenizers import Tokenizer
 
@@ -84,21 +93,17 @@ class Pair:
         self.name = list(map(str, range(max(size, len(pieces)))))
         self.known: dict[str, tuple | None] = {}
         self.before: dict[str, tuple | None] = {}
-        self.chars = 0
-
-    def ids(self, texts: list[str]) -> Iterator[tuple[str, list[int], list[int]]]:
-        """(space+text, A's ids, B's ids) of texts that begin with a space; B adds its own."""
-        for s, e, b in zip(texts, self.a.encode_batch_fast(texts, add_special_tokens=False), self.b.encode([s[1:] for s in texts], num_threads=1), strict=True):
-            yield s, e.ids, b
+        self.chars, self.kept = 0, kept
 
     def learn(self, units: list[str]) -> bool:
         """Remember units that stand one behind the other in a text, as (n_a, n_b, n_groups, groups, links); False if
         its tokens' bytes aren't the text's."""
-        [(s, a, b)] = self.ids(["".join(units)])
-        raw = s.encode()
+        text = " ".join(units)
+        a, b = self.a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids, self.b.encode(text, num_threads=1)
+        raw = (" " + text).encode()
         if b"".join(map(self.bytes_a.__getitem__, a)) != raw or b"".join(map(self.bytes_b.__getitem__, b)) != raw:
             return False
-        name, each, ends = self.name, iter(units), accumulate([len(u.encode()) for u in units])
+        name, each, ends = self.name, iter(units), accumulate([len(u.encode()) + 1 for u in units])
         end, said, links, i0, j0, i, j = next(ends), [], [], 0, 0, 0, 0
         for e, p, q, some in align(a, b, self.sizes_a, self.sizes_b):
             said.append(f"{name[a[i]]}|{name[b[j]]}" if p - i == 1 == q - j else f"{','.join([name[x] for x in a[i:p]])}|{','.join([name[x] for x in b[j:q]])}")
@@ -111,9 +116,9 @@ class Pair:
 
     def units(self, texts: list[str]) -> list[list[tuple]]:
         """What is known of each text's units, in order; no units for a null or empty text, or one whose bytes differ."""
-        if len(self.known) > UNITS_KEPT or self.chars > CHARS_KEPT:
+        if len(self.known) > self.kept or self.chars > CHARS_KEPT:
             self.known, self.before, self.chars = {}, self.known, 0
-        parts = [(UNIT.split(" " + t) if self.splits else [" " + t]) if t else [] for t in texts]
+        parts = [(units_of(t) if self.splits else [t]) if t else [] for t in texts]
         known = self.known
         new = set().union(*parts).difference(known)
         self.chars += sum(map(len, new))
@@ -121,7 +126,7 @@ class Pair:
             known[u] = self.before[u]
         new.difference_update(known)
         # units that don't end in white space can stand one behind the other
-        joint = [u for u in new if self.splits and not u[-1].isspace()]
+        joint = [u for u in new if self.splits and u and not u[-1].isspace() and not u[0].isspace()]
         for run in [joint, *[[u] for u in new.difference(joint)]]:
             if run and not self.learn(run):
                 for u in run:
@@ -132,7 +137,7 @@ class Pair:
             rows = [known[u] for u in p]
             if None in rows:
                 # some unit's bytes differ: the whole text decides
-                rows = [known[" " + t]] if self.learn([" " + t]) else []
+                rows = [known[t]] if self.learn([t]) else []
             out.append(rows)
         return out
 
@@ -155,7 +160,7 @@ def batches(texts: list[str | None], size: int = 1 << 20) -> Iterator[list[str |
         yield run
 
 
-def numbered(docs: DataFrame, path_a: str, path_b: str, groups: bool) -> DataFrame:
+def numbered(docs: DataFrame, path_a: str, path_b: str, groups: bool, chunk_links: int) -> DataFrame:
     """One row a document: counts, digest and its different links as numbers within the chunk (`at`, with `times`); and rows that
     say which link has which number in how many of the chunk's documents (`base`, `link`, `docs`)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -214,7 +219,7 @@ def numbered(docs: DataFrame, path_a: str, path_b: str, groups: bool) -> DataFra
                     held.append((ids[at], *[sum([r[k] for r in rows]) for k in range(3)], int(times.sum()), digest, *([text] if groups else []), (links, times.astype(np.int32))))
                     at += 1
                     size += len(links)
-                    if size >= CHUNK_LINKS:
+                    if size >= chunk_links:
                         yield from flush()
                         seq, held, size = seq + 1, [], 0
         if held:
@@ -231,7 +236,7 @@ def link_counts(rows: DataFrame) -> DataFrame:
     return n.withColumn("a", a).join(top, "a").select("link", "n", (F.col("n") == F.col("most")).alias("is_best"))
 
 
-def align_tokens(docs: DataFrame, path_a: str, path_b: str, groups: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def align_tokens(docs: DataFrame, path_a: str, path_b: str, groups: bool = False, chunk_links: int = CHUNK_LINKS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256[, groups]) of every text.
 
     A reads space+text, B adds that space itself. Ends that both share cut both id lists into groups `a1,a2|b1;...`; links are the
@@ -241,13 +246,13 @@ def align_tokens(docs: DataFrame, path_a: str, path_b: str, groups: bool = False
     Units between spaces are aligned once and remembered by a worker; a text of a unit whose bytes differ is read as a
     whole. Counting deals no document's links: a chunk of documents numbers its different links, only the numbers'
     table (with documents a link) is summed over the corpus, and the sums come back to the chunk. So a link that
-    every document holds is one row a chunk.
+    every document holds is one row a chunk. `chunk_links` bounds what a task holds and changes no result.
 
     Null and empty texts, and those whose tokens' bytes differ from space+text, have no tokens: zeros and ''. Null
     ids pass through, repeated rows count as documents of their own, other columns are ignored, an empty table
     gives no rows. A text is never cut; the longest has to fit into memory.
     """
-    rows = numbered(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), path_a, path_b, groups)
+    rows = numbered(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), path_a, path_b, groups, chunk_links)
     table = rows.where("not is_doc").select("chunk", "base", F.posexplode(F.arrays_zip("link", "docs")).alias("i", "x")).select(F.col("chunk").alias("of"), (F.col("base") + F.col("i")).alias("i"), F.col("x.link").alias("link"))
     back = table.join(link_counts(rows), "link").select("of", "i", "n", "is_best")
     own = rows.where("is_doc").select("chunk", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", *(["groups"] if groups else []), "at", "times")
