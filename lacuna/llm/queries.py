@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.llm import align, bpe, covertree, hamming, jaccard, language, licenses, linededup, mixing, pii, secrets
+from lacuna.llm import align, bpe, covertree, hamming, jaccard, language, licenses, linededup, mixing, phrases, pii, secrets
 
 
 def tokenizer(name: str) -> str:
@@ -77,7 +77,11 @@ def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.align_tokens(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_pii_weak_supervision, op3_line_dedup, op4_language_id, op5_token_counts, op6_hamming_top_k, op7_secret_scan, op8_bpe_streaming, op9_ngram_jaccard, op10_embedding_near_dedup, op11_license_scan, op12_tokenizer_alignment)}
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_pii_weak_supervision, op3_line_dedup, op4_language_id, op5_token_counts, op6_hamming_top_k, op7_secret_scan, op8_bpe_streaming, op9_ngram_jaccard, op10_embedding_near_dedup, op11_license_scan, op12_tokenizer_alignment, op13_phrase_collocations)}
 
 ORACLE_SQL = {
     "op6_hamming_top_k": """
@@ -116,4 +120,26 @@ ORACLE_SQL = {
         k AS (SELECT n, min(c) AS component_id FROM r GROUP BY 1)
         SELECT x.vec_id, (SELECT count(*) FROM l WHERE l.a = x.vec_id) AS n_links, k.component_id, k.component_id = x.vec_id AS kept
         FROM embeddings x JOIN k ON k.n = x.vec_id""",
+    "op13_phrase_collocations": r"""
+        WITH t AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n\x0B\f\r]')) AS piece
+            FROM documents),
+        p AS (SELECT lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda w: w <> '') AS ws FROM t),
+        i AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM p),
+        g AS (SELECT lang, k, array_to_string(ws[i : i + k - 1], ' ') AS phrase FROM i, (SELECT unnest([1, 2, 3]) AS k) WHERE i + k - 1 <= len(ws)),
+        f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL),
+        c AS (SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND a >= 10),
+        parts AS (
+            SELECT c.lang, c.k, c.phrase, c.a, c.ws, cut, array_to_string(ws[1 : cut], ' ') AS head, array_to_string(ws[cut + 1 :], ' ') AS rest
+            FROM c, (SELECT unnest([1, 2]) AS cut) WHERE cut < c.k),
+        s AS (
+            SELECT parts.*, x.a AS l, y.a AS r, CAST(1000000::HUGEINT * parts.a * parts.a // (x.a::HUGEINT * y.a) AS BIGINT) AS score
+            FROM parts JOIN f x ON x.lang = parts.lang AND x.phrase = head AND x.k = cut JOIN f y ON y.lang = parts.lang AND y.phrase = rest AND y.k = parts.k - cut
+            QUALIFY row_number() OVER (PARTITION BY parts.lang, parts.phrase ORDER BY score, cut) = 1),
+        inner_ AS (SELECT lang, unnest([array_to_string(ws[1:2], ' '), array_to_string(ws[2:3], ' ')]) AS phrase, a FROM c WHERE k = 3),
+        gone AS (SELECT DISTINCT s.lang, s.phrase FROM s JOIN inner_ ON inner_.lang = s.lang AND inner_.phrase = s.phrase WHERE s.k = 2 AND 100 * inner_.a >= 50 * s.a),
+        n AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY 1)
+        SELECT s.lang, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, s.a DESC, s.phrase) AS rank, s.phrase, s.a, l, r, n.n, score
+        FROM s JOIN n ON n.lang = s.lang WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.lang = s.lang AND gone.phrase = s.phrase)
+        QUALIFY rank <= 2000""",
 }
