@@ -18,8 +18,12 @@ from lacuna.llm.common import cut
 SPLIT = bytes.maketrans(b",;:!?\n\x0b\x0c\r\t", b"......... ")
 #: A text is taken apart in slices of about so many bytes, which end where pieces end.
 SLICE = 1 << 22
-#: Words of a shard's block; bytes of text for each prefix range; parts over which the last words of a longer path are dealt.
-BLOCK_WORDS, RANGE_BYTES, SPREAD = 1 << 21, 1 << 23, 16
+#: Words of a shard's block; bytes of text for each prefix range.
+BLOCK_WORDS, RANGE_BYTES = 1 << 21, 1 << 23
+#: Hot prefixes are looked for in about so many bytes of text, are met so often there at least, and are dealt over so many places.
+SAMPLE_BYTES, SAMPLE_LEAST, SPREAD = 1 << 25, 50, 64
+#: No prefix is hot.
+NONE = np.zeros(0, np.uint64)
 
 
 class Transducer:
@@ -114,28 +118,29 @@ class Transducer:
             out.append(np.where(hit, self.weight[d][at], 0) if len(own) else np.zeros(len(code), np.int64))
         return out
 
-    def spread(self) -> list[np.ndarray]:
-        """Where each path lies, from 0 to 2**32: paths are ordered by the mixed hash of their first two words; what
-        goes on from there is dealt over SPREAD places by its last word, so no prefix is one task's."""
+    def spread(self, hot: np.ndarray) -> list[np.ndarray]:
+        """Where each path lies, from 0 to 2**32: paths are ordered by the mixed hash of their first two words, so what begins alike
+        lies together; from the hot ones of these places, longer paths are dealt over SPREAD others by their last word."""
         crc = np.array([zlib.crc32(w) for w in self.words], np.uint64)
         out, mixed = [], np.zeros(1, np.uint64)
         for d, (p, label) in enumerate(zip(self.parent, self.label, strict=True)):
+            mixed = mixed[p]
             if d < 2:
-                mixed = ((mixed[p] * np.uint64(0x9E3779B1)) ^ crc[label]) * np.uint64(0x85EBCA6B) & np.uint64(0xFFFFFFFF)
+                mixed = ((mixed * np.uint64(0x9E3779B1)) ^ crc[label]) * np.uint64(0x85EBCA6B) & np.uint64(0xFFFFFFFF)
                 mixed ^= mixed >> np.uint64(15)
                 out.append(mixed)
             else:
-                mixed = mixed[p]
-                out.append((mixed + crc[label] % np.uint64(SPREAD) * np.uint64(2**32 // SPREAD)) & np.uint64(0xFFFFFFFF))
+                dealt = (mixed + crc[label] % np.uint64(SPREAD) * np.uint64(2**32 // SPREAD)) & np.uint64(0xFFFFFFFF)
+                out.append(np.where(np.isin(mixed, hot), dealt, mixed))
         return out
 
-    def ranges(self, n: int) -> list[np.ndarray]:
+    def ranges(self, n: int, hot: np.ndarray = NONE) -> list[np.ndarray]:
         """The prefix range, of n, in which each path is counted."""
-        return [(at * np.uint64(n) >> np.uint64(32)).astype(np.int64) for at in self.spread()]
+        return [(at * np.uint64(n) >> np.uint64(32)).astype(np.int64) for at in self.spread(hot)]
 
-    def divided(self, n: int) -> Iterator[tuple[int, Transducer]]:
+    def divided(self, n: int, hot: np.ndarray = NONE) -> Iterator[tuple[int, Transducer]]:
         """The automaton of each range's own paths."""
-        ranges = self.ranges(n)
+        ranges = self.ranges(n, hot)
         sorted_ = [np.argsort(r, kind="stable") for r in ranges]
         bounds = [np.searchsorted(r, np.arange(n + 1), sorter=o) for r, o in zip(ranges, sorted_, strict=True)]
         for i in range(n):
@@ -209,34 +214,56 @@ def tokens(text: bytes) -> Iterator[list[bytes]]:
         at = end
 
 
-def shards(rows: DataFrame, longest: int, n_ranges: int, block_words: int) -> DataFrame:
-    """(lang, range, counts): the automaton of each block of words of a task, divided by prefix range."""
+def blocks(frames: Iterator[pa.RecordBatch], longest: int, block_words: int) -> Iterator[tuple[str, Transducer]]:
+    """(lang, automaton) of each language's text in each block of words of a task."""
+    number, held, size = Numbers({b".": 0}), {}, 0
+
+    def flush() -> Iterator[tuple[str, Transducer]]:
+        words = sorted(number.keys() - {b"."})
+        place = np.full(len(number), -1, np.int64)
+        place[[number[w] for w in words]] = np.arange(len(words))
+        for lang, runs in held.items():
+            yield lang, Transducer.from_text(words, place[np.concatenate(runs)], longest)
+
+    for frame in frames:
+        for lang, text in zip(frame.column("lang").to_pylist(), frame.column("text"), strict=True):
+            for some in tokens(text.as_py()):
+                ids = np.fromiter(map(number.__getitem__, some), np.int32, len(some))
+                held.setdefault(lang, []).append(ids)
+                size += len(ids)
+            held.setdefault(lang, []).append(np.zeros(1, np.int32))
+            if size >= block_words:
+                yield from flush()
+                number, held, size = Numbers({b".": 0}), {}, 0
+    if held:
+        yield from flush()
+
+
+def hot_prefixes(rows: DataFrame, size: int, n_ranges: int) -> np.ndarray:
+    """Places of prefixes of two words that are so frequent that what follows them would fill an eighth of a range, as far as a sample of
+    bounded size shows them, the most frequent 4,096 at most. They only lay out the work; no count depends on them."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, held, size = Numbers({b".": 0}), {}, 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            words = sorted(number.keys() - {b"."})
-            place = np.full(len(number), -1, np.int64)
-            place[[number[w] for w in words]] = np.arange(len(words))
-            for lang, runs in held.items():
-                counts = Transducer.from_text(words, place[np.concatenate(runs)], longest)
-                got = [(i, t.to_bytes()) for i, t in counts.divided(n_ranges)]
-                if got:
-                    yield pa.RecordBatch.from_pydict({"lang": [lang] * len(got), "range": pa.array([i for i, _ in got], pa.int32()), "counts": [b for _, b in got]})
+        for _, t in blocks(frames, 2, BLOCK_WORDS):
+            if len(t.words):
+                some = t.weight[1] > 1
+                yield pa.RecordBatch.from_pydict({"at": t.spread(NONE)[1][some].astype(np.int64), "n": t.weight[1][some]})
 
-        for frame in frames:
-            for lang, text in zip(frame.column("lang").to_pylist(), frame.column("text"), strict=True):
-                for some in tokens(text.as_py()):
-                    ids = np.fromiter(map(number.__getitem__, some), np.int32, len(some))
-                    held.setdefault(lang, []).append(ids)
-                    size += len(ids)
-                held.setdefault(lang, []).append(np.zeros(1, np.int32))
-                if size >= block_words:
-                    yield from flush()
-                    number, held, size = Numbers({b".": 0}), {}, 0
-        if size:
-            yield from flush()
+    share = min(1.0, SAMPLE_BYTES / max(size, 1))
+    # a word takes about six bytes
+    least = max(SAMPLE_LEAST, int(size * share / 6 / n_ranges / 8))
+    found = rows.sample(share, 1).mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    return np.array([r["at"] for r in found.orderBy(F.desc("n"), "at").limit(4096).collect()], np.uint64)
+
+
+def shards(rows: DataFrame, longest: int, n_ranges: int, hot: np.ndarray, block_words: int) -> DataFrame:
+    """(lang, range, counts): the automaton of each block of words of a task, divided by prefix range."""
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, counts in blocks(frames, longest, block_words):
+            got = [(i, t.to_bytes()) for i, t in counts.divided(n_ranges, hot)]
+            if got:
+                yield pa.RecordBatch.from_pydict({"lang": [lang] * len(got), "range": pa.array([i for i, _ in got], pa.int32()), "counts": [b for _, b in got]})
 
     return rows.mapInArrow(run, "lang string, range int, counts binary")
 
@@ -254,14 +281,14 @@ def united(shard_rows: DataFrame, least: int) -> DataFrame:
     return cut(shard_rows.groupBy("lang", "range").applyInArrow(run, "lang string, range int, words long, counts binary"))
 
 
-def candidates(ranges: DataFrame, longest: int, n_ranges: int) -> DataFrame:
+def candidates(ranges: DataFrame, n_ranges: int, hot: np.ndarray) -> DataFrame:
     """(lang, phrase, size, a, cuts, inner): phrases of 2 words or more, with each cut's parts and their ranges, and the shorter phrases
     of 2 words or more inside."""
 
     def range_of(parts: list[tuple[bytes, ...]]) -> dict[tuple[bytes, ...], int]:
         parts = sorted(set(parts))
         asked = Transducer.from_sorted(parts, [1] * len(parts))
-        where = asked.ranges(n_ranges)
+        where = asked.ranges(n_ranges, hot)
         return {p: int(r) for d in range(len(asked.parent)) for p, r, w in zip(asked.paths(d + 1), where[d], asked.weight[d], strict=True) if w}
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,7 +353,7 @@ def collocations(docs: DataFrame, least: int = 10, longest: int = 3, share: int
     Each task turns blocks of text into automata of all n-grams, sorted, and divides them by prefix range; a range's
     automata are united and their weights added; parts are looked up by composing a range's asked paths with its counts.
     Parts of a candidate are as frequent as itself, so nothing rarer than `least` is kept behind the union.
-    A range holds about `range_bytes` of text, a hot prefix is dealt over several; ranges only lay out the work.
+    A range holds about `range_bytes` of text; what follows a hot prefix is dealt over several; ranges only lay out the work.
 
     Null text is empty, a null language `und`. Repeated rows count each. Ids are not read; other columns are
     ignored; an empty table gives no rows. One piece of text has to fit into memory.
@@ -334,8 +361,9 @@ def collocations(docs: DataFrame, least: int = 10, longest: int = 3, share: int
     rows = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_ranges = max(1, -(-size // range_bytes))
-    ranges = united(shards(rows, longest, n_ranges, block_words), least)
-    found = candidates(ranges, longest, n_ranges)
+    hot = hot_prefixes(rows, size, n_ranges)
+    ranges = united(shards(rows, longest, n_ranges, hot, block_words), least)
+    found = candidates(ranges, n_ranges, hot)
 
     cuts = found.select("lang", "phrase", "a", F.inline("cuts"))
     asked = cuts.select("lang", F.inline(F.array(*[F.struct(F.col(f"{p}_range").alias("range"), F.col(p).alias("part")) for p in ("first", "rest")]))).distinct()

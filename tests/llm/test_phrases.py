@@ -47,6 +47,14 @@ def test_equals_plain_counts(spark, rows, longest, block, size):
     assert got == plain(rows, 4, longest, 50, 25)
 
 
+def test_hot_prefixes_change_nothing(spark, rows):
+    df = spark.createDataFrame(rows, "lang string, text string").repartition(4)
+    plain_rows = df.selectExpr("coalesce(lang, 'und') as lang", "cast(coalesce(text, '') as binary) as text")
+    assert len(phrases.hot_prefixes(plain_rows, 30000, 9)) > 0
+    got = [sorted(tuple(r) for r in phrases.collocations(df, least=4, top=25, block_words=300, range_bytes=size).collect()) for size in (1 << 23, 3000)]
+    assert got[0] == got[1]
+
+
 def test_slices_lose_nothing(spark, rows, monkeypatch):
     text = ". ".join(t or "" for _, t in rows).encode()
     whole = [x for s in phrases.tokens(text) for x in s]
@@ -82,16 +90,18 @@ def test_transducers():
     assert told(Transducer.from_bytes(big.to_bytes())) == {(b"w",): 1 << 40}
 
 
-def test_ranges_divide_the_paths():
+@pytest.mark.parametrize("hot", [False, True])
+def test_ranges_divide_the_paths(hot):
     a = some_paths(4)
     t = Transducer.from_sorted(sorted(a), [a[p] for p in sorted(a)])
-    parts = dict(t.divided(7))
+    hot = t.spread(phrases.NONE)[1][:5] if hot else phrases.NONE
+    parts = dict(t.divided(7, hot))
     assert sum((Counter(told(p)) for p in parts.values()), Counter()) == a
     # a path's range depends on the path alone
     for i, p in parts.items():
         own = told(p)
         again = Transducer.from_sorted(sorted(own), [1] * len(own))
-        assert all(int(r) == i for d, rs in enumerate(again.ranges(7)) for r, w in zip(rs, again.weight[d], strict=True) if w)
+        assert all(int(r) == i for d, rs in enumerate(again.ranges(7, hot)) for r, w in zip(rs, again.weight[d], strict=True) if w)
 
 
 def test_scores_are_exact(spark):
