@@ -1,38 +1,35 @@
 """Document features by a small taxonomy, co-occurrence, lift, and what a case document says.
 
-A taxonomy is a list of (id, label, phrases, acronyms); it is an argument of the plan, one Column per term,
-so documents are scanned once and never joined with terms.
+A taxonomy is a list of (id, label, phrases, acronyms), an argument of the plan; all its terms are looked up in one pass.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lacuna.functions import text
+from lacuna.operators import lookup
 
 Taxonomy = list[tuple[str, str, list[str], list[str]]]
 
 
-def term_count(c: Column, phrases: list[str], acronyms: list[str]) -> Column:
-    """Matches of all terms; overlapping terms count each (JN1, SCL4)."""
-    total = F.lit(0)
-    for terms, case in ((phrases, False), (acronyms, True)):
-        for t in terms:
-            total = total + F.regexp_count(c, F.lit(text.term_pattern(t, case)))
-    return total
+def terms_of(taxonomy: Taxonomy) -> list[lookup.Term]:
+    """All terms; phrases whatever their case, acronyms as they are. The key is the feature's place in the taxonomy."""
+    return [lookup.Term(n, t, case) for n, (_, _, phrases, acronyms) in enumerate(taxonomy) for ts, case in ((phrases, False), (acronyms, True)) for t in ts]
 
 
-def features_of(c: Column, taxonomy: Taxonomy) -> Column:
-    """array of (id, tf, n): features with matches; n is the feature's place in the taxonomy."""
-    found = [F.struct(F.lit(i).alias("feature_id"), term_count(c, p, a).alias("tf"), F.lit(n).alias("n")) for n, (i, _, p, a) in enumerate(taxonomy)]
-    return F.filter(F.array(*found), lambda x: x["tf"] > 0)
+def features_in(rows: DataFrame, taxonomy: Taxonomy, text: str, *ids: str) -> DataFrame:
+    """(ids..., feature_id, tf, n) of every row with matches; all terms are matched in one pass, and overlapping terms count
+    each (JN1, SCL4). n is the feature's place in the taxonomy; `ids` name one row each."""
+    names = F.array(*[F.lit(i) for i, *_ in taxonomy])
+    hits = lookup.found(rows.select(*ids, text), list(ids), text, terms_of(taxonomy))
+    return hits.select(*ids, F.get(names, F.col("key")).alias("feature_id"), F.col("n").cast("int").alias("tf"), F.col("key").alias("n"))
 
 
 def document_features(records: DataFrame, taxonomy: Taxonomy, *keep: str) -> DataFrame:
     """(pos, keep..., feature_id, tf, n), one row per document and feature (JN1b)."""
-    body = F.concat_ws(" ", "title", "abstract")
-    return records.select("pos", *keep, F.explode(features_of(body, taxonomy)).alias("f")).select("pos", *keep, "f.*")
+    return features_in(records.withColumn("_body", F.concat_ws(" ", "title", "abstract")), taxonomy, "_body", "pos", *keep)
 
 
 def taxonomy_frame(spark: SparkSession, taxonomy: Taxonomy) -> DataFrame:
@@ -48,10 +45,7 @@ def pair_counts(records: DataFrame, taxonomy: Taxonomy, *by: str) -> DataFrame:
     """Documents with both features for every unordered pair, zeros kept (JN2). Pairs come from each
     document's own short array; the grid has a row per pair of the taxonomy. With `by`, for each value, the pairs
     that occur."""
-    body = F.concat_ws(" ", "title", "abstract")
-    # places stand in a column of their own, so that terms are matched once a document
-    own = records.select(*by, F.transform(features_of(body, taxonomy), lambda x: x["n"]).alias("ns"))
-    return counted(own, pair_grid(records.sparkSession, taxonomy), *by)
+    return pairs_among(document_features(records, taxonomy, *by), taxonomy, *by)
 
 
 def pairs_among(doc_features: DataFrame, taxonomy: Taxonomy, *by: str) -> DataFrame:
@@ -63,7 +57,7 @@ def pairs_among(doc_features: DataFrame, taxonomy: Taxonomy, *by: str) -> DataFr
 def counted(own: DataFrame, grid: DataFrame, *by: str) -> DataFrame:
     """Pair counts of (by..., ns: ascending places)."""
     pairs = F.flatten(F.transform("ns", lambda a: F.transform(F.filter("ns", lambda b: b > a), lambda b: F.struct(a.alias("n1"), b.alias("n2")))))
-    counts = own.where(F.size("ns") > 1).select(*by, F.explode(pairs).alias("p")).groupBy(*by, "p.n1", "p.n2").agg(F.count("*").alias("c"))
+    counts = own.select(*by, F.explode(pairs).alias("p")).groupBy(*by, "p.n1", "p.n2").agg(F.count("*").alias("c"))
     out = counts.join(grid, ["n1", "n2"]) if by else grid.join(counts, ["n1", "n2"], "left")
     return out.select(*by, "f1", "f2", F.coalesce("c", F.lit(0)).alias("documents"), "n1", "n2")
 
@@ -94,7 +88,7 @@ def base_rates(records: DataFrame) -> DataFrame:
 def extract(cases: DataFrame, taxonomy: Taxonomy, df: DataFrame, total: DataFrame, lift: DataFrame | None = None, most: int = 8) -> DataFrame:
     """Features of case texts by tf * (ln(N / (1 + df)) + 1), the first `most` as F1, F2, ... (AGG11); ties in
     the taxonomy's order. cases has case_id and text; total one row with n; lift is optional."""
-    f = cases.select("case_id", F.explode(features_of(F.col("text"), taxonomy)).alias("f")).select("case_id", "f.*")
+    f = features_in(cases, taxonomy, "text", "case_id")
     f = f.join(df, "feature_id", "left").join(F.broadcast(total.toDF("_all")), F.lit(True))
     f = f.withColumn("score", F.col("tf") * (F.log(F.col("_all") / (1 + F.coalesce("df", F.lit(0)))) + 1))
     w = Window.partitionBy("case_id").orderBy(F.desc(F.round("score", 9)), "n")

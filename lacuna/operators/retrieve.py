@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lacuna.functions import text
 from lacuna.functions.metrics import half_up
+from lacuna.operators.clean import exclude_known
 from lacuna.sources.tables import written
 
 K1, B = 1.5, 0.75
@@ -42,29 +43,113 @@ def running_at(rows: DataFrame, asked: DataFrame, keys: list[str], sums: list[st
     return out.where(f"_ask = 1 and {sums[0]} is not null").select(*keys, F.col("day").alias("cutoff"), *sums)
 
 
+class Index:
+    """The tokens of a corpus, taken out of its texts once and written: searches as of any cutoff, frequencies and sizes all
+    read the same table. docs: pos, title, abstract, publication_date."""
+
+    def __init__(self, docs: DataFrame):
+        body = F.concat_ws(" ", "title", "abstract")
+        self.listed = written(docs.select("pos", F.col("publication_date").alias("day"), text.tokens(body).alias("t")), "tokens")
+        self.dated = self.listed.where("day is not null")
+
+    def frequencies(self) -> DataFrame:
+        """(token, df) over all records, dated or not."""
+        return self.listed.select(F.explode(F.array_distinct("t")).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+
+    def size(self) -> DataFrame:
+        return self.listed.agg(F.count("*").alias("N"))
+
+    def postings(self, queries: DataFrame) -> DataFrame:
+        """(pos, day, len, token, tf) of the tokens that some query asks for."""
+        post = self.dated.select("pos", "day", F.size("t").alias("len"), F.explode("t").alias("token")).join(queries.select("token").distinct(), "token", "left_semi")
+        return post.groupBy("pos", "day", "token", "len").agg(F.count("*").alias("tf"))
+
+    def statistics(self, queries: DataFrame, cutoffs: DataFrame, post: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(case_id, token, cutoff, df) of what is asked, df null where no record has the token yet, and (cutoff, N, L): records
+        and tokens up to each cutoff. Sums per day and running sums over days give them for every cutoff at once (`running_at`)."""
+        asked = queries.join(cutoffs, "case_id")
+        per_day = self.dated.groupBy("day").agg(F.count("*").alias("N"), F.sum(F.size("t")).alias("L"))
+        at = running_at(per_day, cutoffs.select("cutoff").distinct(), [], ["N", "L"])
+        df = running_at(post.groupBy("token", "day").agg(F.count("*").alias("df")), asked.select("token", "cutoff").distinct(), ["token"], ["df"])
+        return asked.join(df, ["token", "cutoff"], "left"), at
+
+    def as_of(self, queries: DataFrame, cutoffs: DataFrame, k: int | None = 5) -> DataFrame:
+        """(case_id, pos, score, rank, similarity): BM25 in which N, df and mean length count only records
+        published by the case's cutoff (AGG13, JN4, JN5).
+
+        queries: distinct (case_id, token); cutoffs: (case_id, cutoff). Only tokens of some query are kept, by a semi
+        join, before anything is counted. No loop over cases, and no case meets all records: a case joins only the
+        postings of its own tokens. Nothing is broadcast by force.
+        """
+        post = self.postings(queries)
+        asked, at = self.statistics(queries, cutoffs, post)
+        q = asked.where("df is not null").join(at, "cutoff")
+        hits = post.join(q, "token").where(F.col("day") <= F.col("cutoff"))
+        part = weight(F.col("N"), F.col("df"), F.col("tf"), F.col("len"), F.col("L") / F.col("N"))
+        return ranked(hits.groupBy("case_id", "pos").agg(F.sum(part).alias("score")).where("score > 0"), k)
+
+    def beside(self, extra: DataFrame, queries: DataFrame, cutoffs: DataFrame, k: int = 5) -> DataFrame:
+        """(case_id, pos, score, place): a case's own extra records as they rank in one pool with the corpus, the first k (AGG13,
+        second stage). extra: case_id, pos, seq, title, abstract, publication_date; ties in the order of seq.
+
+        The pool's N, df and lengths are the corpus's up to the cutoff plus those of the case's own extra records up to
+        it; only extra records are scored, since only their order is asked for."""
+        body = F.concat_ws(" ", "title", "abstract")
+        x = extra.join(cutoffs, "case_id").where(F.col("publication_date") <= F.col("cutoff")).select("case_id", "cutoff", "pos", "seq", text.tokens(body).alias("t"))
+        own = x.groupBy("case_id", "cutoff").agg(F.count("*").alias("xN"), F.sum(F.size("t")).alias("xL"))
+        x = x.select("case_id", "pos", "seq", F.size("t").alias("len"), F.explode("t").alias("token")).join(queries, ["case_id", "token"], "left_semi")
+        x = x.groupBy("case_id", "pos", "seq", "len", "token").agg(F.count("*").alias("tf"))
+        near = queries.join(x.select("case_id", "token").distinct(), ["case_id", "token"], "left_semi")
+        asked, at = self.statistics(near, cutoffs, self.postings(near))
+        pool = own.join(at, "cutoff", "left").select("case_id", (F.col("xN") + F.coalesce("N", F.lit(0))).alias("N"), (F.col("xL") + F.coalesce("L", F.lit(0))).alias("L"))
+        q = asked.join(x.groupBy("case_id", "token").agg(F.count("*").alias("xdf")), ["case_id", "token"]).select("case_id", "token", (F.col("xdf") + F.coalesce("df", F.lit(0))).alias("df"))
+        part = weight(F.col("N"), F.col("df"), F.col("tf"), F.col("len"), F.col("L") / F.col("N"))
+        hits = x.join(q, ["case_id", "token"]).join(pool, "case_id").groupBy("case_id", "pos", "seq").agg(F.sum(part).alias("score")).where("score > 0")
+        w = Window.partitionBy("case_id").orderBy(F.desc(F.round("score", 9)), "seq")
+        return hits.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).select("case_id", "pos", "score", "place")
+
+
+def weight(n, df, tf, length, mean):
+    """A token's part of a BM25 score."""
+    return F.log(1 + (n - df + 0.5) / (df + 0.5)) * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * length / mean))
+
+
 def as_of(docs: DataFrame, queries: DataFrame, cutoffs: DataFrame, k: int | None = 5) -> DataFrame:
-    """(case_id, pos, score, rank, similarity): BM25 in which N, df and mean length count only records
-    published by the case's cutoff (AGG13, JN4, JN5).
-
-    docs: pos, title, abstract, publication_date; queries: distinct (case_id, token); cutoffs: (case_id,
-    cutoff). Documents are tokenised once, into one list of tokens each. Statistics per day and running sums over
-    days give them for every cutoff at once (`running_at`). Only tokens of some query are kept, by a semi join,
-    before anything is counted. No loop over cases, and no case meets all records: a case joins only the
-    postings of its own tokens. Nothing is broadcast by force.
-    """
-    body = F.concat_ws(" ", "title", "abstract")
-    listed = written(docs.where("publication_date is not null").select("pos", F.col("publication_date").alias("day"), text.tokens(body, text.TOKEN_A, text.STOP_A, True).alias("t")), "tokens")
-    post = listed.select("pos", "day", F.size("t").alias("len"), F.explode("t").alias("token")).join(queries.select("token").distinct(), "token", "left_semi")
-    post = post.groupBy("pos", "day", "token", "len").agg(F.count("*").alias("tf"))
-    asked = queries.join(cutoffs, "case_id")
-    per_day = listed.groupBy("day").agg(F.count("*").alias("N"), F.sum(F.size("t")).alias("L"))
-    at = running_at(per_day, cutoffs.select("cutoff").distinct(), [], ["N", "L"]).select("cutoff", "N", (F.col("L") / F.col("N")).alias("avgdl"))
-    df = running_at(post.groupBy("token", "day").agg(F.count("*").alias("df")), asked.select("token", "cutoff").distinct(), ["token"], ["df"])
-    q = asked.join(at, "cutoff").join(df, ["token", "cutoff"])
-    hits = post.join(q, "token").where(F.col("day") <= F.col("cutoff"))
-    idf = F.log(1 + (F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
-    return ranked(hits.groupBy("case_id", "pos").agg(F.sum(part).alias("score")).where("score > 0"), k)
+    """Index.as_of over records that are searched once."""
+    return Index(docs).as_of(queries, cutoffs, k)
+
+
+def stored_patents(store: DataFrame, queries: DataFrame, cutoffs: DataFrame, known: DataFrame, k: int = 15, pad: str = "none") -> DataFrame:
+    """(case_id, pos, seq, title, abstract, publication_date): a case's patents of the store as extra prior art (JN12): the first k by the
+    store's own search, of these the dated ones up to the cutoff whose number isn't known. `known` has publication_number.
+
+    store: pos, type, title, abstract, date, year, publication_number; queries in the store's tokens (`store_tokens`)."""
+    hits = in_store(store, queries, cutoffs, k, "patent").select("case_id", "pos", F.col("rank").alias("seq"))
+    hits = hits.join(store.select("pos", "title", "abstract", F.col("date").alias("publication_date"), "publication_number"), "pos").join(cutoffs, "case_id")
+    return exclude_known(hits.where(F.col("publication_date") <= F.col("cutoff")), known, pad).select("case_id", "pos", "seq", "title", "abstract", "publication_date")
+
+
+def store_tokens(case_features: DataFrame, taxonomy: DataFrame, terms: DataFrame) -> DataFrame:
+    """(case_id, token), distinct, as the store reads them: the labels of a case's features and its document terms."""
+    words = taxonomy.select("feature_id", F.explode(text.tokens(F.col("label"), text.TOKEN_B, STOP_B, False)).alias("token"))
+    own = case_features.join(F.broadcast(words), "feature_id").select("case_id", "token")
+    said = terms.select("case_id", F.explode(text.tokens(F.col("token"), text.TOKEN_B, STOP_B, False)).alias("token"))
+    return own.unionByName(said).distinct()
+
+
+def prior_art(corpus: DataFrame, external: DataFrame, most: int = 5) -> DataFrame:
+    """(case_id, pos, place): evidence in order, the corpus's own first `most`, then the first external ones (AGG15); more external
+    records can only add evidence."""
+    own = corpus.where(F.col("rank") <= most).select("case_id", "pos", F.col("rank").alias("place"))
+    return own.unionByName(external.where(F.col("place") <= most).select("case_id", "pos", (F.col("place") + most).alias("place")))
+
+
+def at_dates(cases: DataFrame, shifts: list[int]) -> DataFrame:
+    """Cases at several cutoffs, each `shift` months before their own, as cases of one run: `run` is the shift, `of` the case's
+    id, and case_id one for both, so that one index and one set of features serve all dates."""
+    runs = F.explode(F.array(*map(F.lit, shifts))).alias("run")
+    out = cases.select("*", runs).withColumn("of", F.col("case_id")).withColumn("case_id", F.concat_ws("@", F.col("of").cast("string"), F.col("run").cast("string")))
+    return out.withColumn("cutoff", F.add_months("cutoff", -F.col("run"))).withColumn("cutoff_year", F.year("cutoff"))
 
 
 def in_store(docs: DataFrame, queries: DataFrame, cutoffs: DataFrame, k: int, kind: str | None = None) -> DataFrame:
@@ -106,3 +191,12 @@ def recall(hits: DataFrame, truth: DataFrame) -> DataFrame:
     """One row: cases, found among their own hits, recall (AGG42). truth: (case_id, pos)."""
     got = truth.join(hits.select("case_id", "pos").distinct().withColumn("hit", F.lit(1)), ["case_id", "pos"], "left")
     return got.agg(F.count("*").alias("cases"), F.coalesce(F.sum("hit"), F.lit(0)).alias("found")).withColumn("recall", F.when(F.col("cases") > 0, F.col("found") / F.col("cases")))
+
+
+def leaks(now: DataFrame, before: DataFrame, cutoffs: DataFrame, dates: DataFrame) -> DataFrame:
+    """One row: hits before an earlier cutoff, how many of them the later one still has, and how many are published behind
+    the earlier cutoff, which must be none (AGG42). now, before: (case_id, pos); cutoffs: (case_id, cutoff); dates: (pos, publication_date)."""
+    kept = now.select("case_id", "pos").withColumn("_now", F.lit(1))
+    rows = before.join(kept, ["case_id", "pos"], "left").join(cutoffs, "case_id").join(dates, "pos")
+    late = F.col("publication_date").isNull() | (F.col("publication_date") > F.col("cutoff"))
+    return rows.agg(F.count("*").alias("hits_before"), F.count("_now").alias("still_hits"), F.count_if(late).alias("leaked"))

@@ -147,11 +147,23 @@ def sensitivity(breakdown: DataFrame) -> DataFrame:
     return out.withColumn("robust", ~F.max("grade_changed").over(Window.partitionBy("case_id"))).drop("base")
 
 
-def back_test(now: DataFrame, then: DataFrame) -> DataFrame:
-    """Factor by factor, the same cases at two cutoffs (JN10)."""
-    a = now.select("case_id", "factor", F.col("value").alias("value_now"))
-    b = then.select("case_id", "factor", F.col("value").alias("value_then"))
-    return a.join(b, ["case_id", "factor"], "full").withColumn("change", half_up(F.col("value_now") - F.col("value_then"), 2))
+def matched_features(case_features: DataFrame, art: DataFrame, doc_features: DataFrame) -> DataFrame:
+    """(case_id, pos, place, matched): which of the case's features (F1, ...) each record of the evidence has, in order
+    (AGG14); features without a known id never match."""
+    known = case_features.where("feature_id is not null").select("case_id", "feature_id", "id", F.regexp_extract("id", "([0-9]+)", 1).cast("int").alias("_n"))
+    has = art.select("case_id", "pos", "place").join(doc_features.select("pos", "feature_id").distinct(), "pos").join(known, ["case_id", "feature_id"])
+    listed = has.groupBy("case_id", "pos").agg(F.transform(F.array_sort(F.collect_set(F.struct("_n", "id"))), lambda x: x["id"]).alias("matched"))
+    return art.select("case_id", "pos", "place").join(listed, ["case_id", "pos"], "left").withColumn("matched", F.coalesce("matched", F.expr("cast(array() as array<string>)")))
+
+
+def back_test(breakdown: DataFrame, scores: DataFrame, runs: DataFrame, now: int, then: int) -> DataFrame:
+    """(case_id, factor, value_now, value_then, change, score_now, score_then, grade_now, grade_then): the same cases at two cutoffs of one
+    run (JN10). runs: (case_id, of, run); a case that has no value at one date keeps nulls there."""
+    rows = breakdown.join(scores, "case_id").join(runs, "case_id")
+    at = lambda run, name: rows.where(F.col("run") == run).select(F.col("of").alias("case_id"), "factor", *[F.col(c).alias(f"{c}_{name}") for c in ("value", "score", "grade")])
+    out = at(now, "now").join(at(then, "then"), ["case_id", "factor"], "full")
+    out = out.withColumn("change", half_up(F.col("value_now") - F.col("value_then"), 2))
+    return out.select("case_id", "factor", "value_now", "value_then", "change", "score_now", "score_then", "grade_now", "grade_then")
 
 
 def ordinal(n: Column) -> Column:

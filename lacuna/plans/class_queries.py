@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.operators import classes, features, landscape
+from lacuna.operators import classes, features, landscape, schemes
 from lacuna.plans import views
 from lacuna.plans.registry import query
 
@@ -118,12 +118,39 @@ def default_matrix_status(spark, d):
     return classes.matrix(*base(spark, d, True))
 
 
-@query(f"""WITH {views.CLS}, n AS (SELECT x.rank AS ra, y.rank AS rb, count(*) AS n FROM touch x JOIN touch y ON x.pos = y.pos AND x.pos % 10 = 0 WHERE x.rank <= 4 AND y.rank BETWEEN 5 AND 8 GROUP BY 1, 2)
-  SELECT a.g AS row, b.g AS col, n.n FROM n JOIN top a ON a.rank = n.ra JOIN top b ON b.rank = n.rb""")
+@query(f"""WITH {views.CODED}, pair AS (SELECT x.rank AS ra, y.rank AS rb, count(*) AS patents, count(*) FILTER (WHERE x.origin = 'corpus') AS corpus FROM touch x JOIN touch y ON x.pos = y.pos AND x.origin = y.origin AND x.rank < y.rank GROUP BY 1, 2),
+  side AS (SELECT g, rank, (SELECT count(*) FROM touch WHERE touch.rank = top.rank) AS side FROM top), note AS (SELECT g, 'reclassified: ' || g || ' is now ' || moved_to AS caveat FROM moved)
+  SELECT a.g AS a, b.g AS b, coalesce(patents, 0) AS patents, coalesce(corpus, 0) AS corpus, coalesce(patents, 0) - coalesce(corpus, 0) AS knowledge_base, a.side AS side_a_patents, b.side AS side_b_patents,
+         floor(a.side * b.side / people.n::DOUBLE * 10 + 0.5) / 10 AS expected, CASE WHEN a.side * b.side > 0 THEN floor(coalesce(patents, 0) / (a.side * b.side / people.n::DOUBLE) * 100 + 0.5) / 100 END AS lift,
+         coalesce(na.caveat, nb.caveat) AS caveat, a.rank AS ra, b.rank AS rb
+  FROM side a JOIN side b ON a.rank < b.rank LEFT JOIN pair ON pair.ra = a.rank AND pair.rb = b.rank LEFT JOIN note na ON na.g = a.g LEFT JOIN note nb ON nb.g = b.g, people""")
+def whitespace_with_external(spark, d):
+    return schemes.scan(views.coded_corpus(spark, d), views.coded_store(spark, d))
+
+
+@query(f"WITH {views.CODED} SELECT people.n AS population, (SELECT count(*) FROM corp) AS corpus, (SELECT count(*) FROM ext) AS kb_patents, (SELECT count(*) FROM ext WHERE classified) AS kb_classified FROM people")
+def whitespace_population(spark, d):
+    corpus = views.coded_corpus(spark, d)
+    return schemes.sizes(corpus, schemes.external_patents(views.coded_store(spark, d), corpus))
+
+
+@query(f"WITH {views.CODED} SELECT ipc, cpc, n, records, round(n / records::DOUBLE, 6) AS share FROM walk")
+def class_crosswalk(spark, d):
+    return schemes.crosswalk(views.coded_corpus(spark, d), views.coded_store(spark, d)).withColumn("share", F.round("share", 6))
+
+
+@query(f"WITH {views.CODED} SELECT g, moved_to, records, round(kept_share, 6) AS kept_share, 'reclassified: ' || g || ' is now ' || moved_to AS caveat FROM moved")
+def reclassified_groups(spark, d):
+    walk = schemes.crosswalk(views.coded_corpus(spark, d), views.coded_store(spark, d))
+    return schemes.reclassified(walk).withColumn("kept_share", F.round("kept_share", 6))
+
+
+@query(f"""WITH {views.CODED}, e AS (SELECT DISTINCT pos, g, rank FROM touch WHERE origin = 'knowledge_base')
+  SELECT a.g AS row, b.g AS col, (SELECT count(*) FROM e x JOIN e y ON x.pos = y.pos WHERE x.rank = a.rank AND y.rank = b.rank) AS n FROM top a, top b WHERE a.rank <= 4 AND b.rank BETWEEN 5 AND 8""")
 def external_matrix_counts(spark, d):
-    r, top = base(spark, d)
-    n = classes.matrix(r.where("origin = 'kb'"), top)
-    return n.where("n > 0").select("row", "col", "n")
+    corpus = views.coded_corpus(spark, d)
+    top = classes.top_groups(classes.grouped(corpus))
+    return schemes.matrix_counts(schemes.external_patents(views.coded_store(spark, d), corpus), top.where("rank <= 4"), top.where("rank between 5 and 8"))
 
 
 @query(f"WITH {views.CLS} SELECT subtech, count(*) FILTER (WHERE publication_date <= DATE '{CUTOFF}') AS n, count(*) FILTER (WHERE publication_date <= DATE '{CUTOFF}' AND jurisdiction = 'ASIA') AS n_asia FROM sub GROUP BY 1")

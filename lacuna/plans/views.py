@@ -91,7 +91,7 @@ def kb(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("page_id").alias("pos"),
         F.when(F.col("page_id") % 2 == 0, "paper").otherwise("patent").alias("type"),
         F.trim(F.regexp_extract(html, "<title>([^<]*)</title>", 1)).alias("title"),
-        F.substring(text.strip_tags(html), 1, 2000).alias("abstract"),
+        text.strip_tags(html).alias("abstract"),
         year.alias("year"),
         F.col("url"),
         F.concat(F.lit("K"), F.col("page_id").cast("string")).alias("publication_number"),
@@ -104,7 +104,7 @@ def kb(spark: SparkSession, sf_dir: str) -> DataFrame:
 KB = r"""kb AS (
     SELECT page_id AS pos, CASE WHEN page_id % 2 = 0 THEN 'paper' ELSE 'patent' END AS type,
            trim(regexp_extract(coalesce(html, ''), '<title>([^<]*)</title>', 1)) AS title,
-           substr(trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(coalesce(html, ''), '<[^>]+>', ' ', 'g'), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '[ \t\n\r\f\v]+', ' ', 'g')), 1, 2000) AS abstract,
+           trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(coalesce(html, ''), '<[^>]+>', ' ', 'g'), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '[ \t\n\r\f\v]+', ' ', 'g')) AS abstract,
            CAST(2005 + (page_id * 3) % 20 AS INTEGER) AS year, url, 'K' || page_id AS publication_number,
            CASE page_id % 3 WHEN 0 THEN 'US' WHEN 1 THEN 'EP' ELSE 'JP' END AS jurisdiction,
            CASE WHEN page_id % 5 > 0 THEN 'owner ' || (page_id % 7) END AS assignee, CAST((page_id * 37) % 101 AS INTEGER) AS cited_by
@@ -125,3 +125,61 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 EDGES = "edges AS (SELECT DISTINCT l_orderkey % 2000 AS src, l_partkey AS dst FROM lineitem)"
+
+
+def coded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as patents with codes under both schemes: `ipc` ("H01L 30/25(2022.01)") and `cpc` ("H01L30/25"), of brand and size.
+    CPC has moved the group of Brand#13 to H01L 99; parts of size 50 have a malformed CPC code; orders still open have none."""
+    t = lambda n: table(spark, sf_dir, n)
+    d1, d2, size = F.substring("p_brand", 7, 1), F.substring("p_brand", 8, 1), F.col("p_size").cast("string")
+    ipc = F.concat(F.lit("H0"), d1, F.lit("L "), d2, F.lit("0/"), size, F.lit("(2022.01)"))
+    moved = F.when(F.col("p_brand") == "Brand#13", "99").otherwise(F.concat(d2, F.lit("0")))
+    cpc = F.when(F.col("p_size") == 50, F.concat(F.lit("X"), size)).otherwise(F.concat(F.lit("H0"), d1, F.lit("L"), moved, F.lit("/"), size))
+    codes = t("lineitem").join(t("part"), F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", F.struct("l_linenumber", "l_partkey", ipc.alias("ipc"), cpc.alias("cpc")).alias("c"))
+    codes = codes.groupBy("l_orderkey").agg(F.sort_array(F.collect_list("c")).alias("c"))  # lines of one order
+    none = F.expr("cast(array() as array<string>)")
+    of = lambda name: F.coalesce(F.transform("c", lambda x: x[name]), none)
+    rows = t("orders").join(codes, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    return rows.select(
+        F.col("o_orderkey").alias("pos"),
+        F.lit("patent").alias("type"),
+        F.concat(F.lit("US"), F.col("o_orderkey").cast("string"), F.lit("B1")).alias("publication_number"),
+        F.to_date("o_orderdate").alias("publication_date"),
+        of("ipc").alias("ipc"),
+        F.when(F.col("o_orderstatus") == "O", none).otherwise(of("cpc")).alias("cpc"),
+        F.col("o_orderpriority").alias("category"),
+    )
+
+
+def coded_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus: all but urgent orders, by IPC."""
+    return coded(spark, sf_dir).where("category <> '1-URGENT'").drop("cpc", "type", "category")
+
+
+def coded_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The store: urgent and high orders, by CPC; the high ones are in the corpus as well."""
+    return coded(spark, sf_dir).where("category in ('1-URGENT', '2-HIGH')").drop("ipc", "category").withColumn("publication_number", F.regexp_replace("publication_number", "B1$", "A1"))
+
+
+CODED = """cl AS (
+    SELECT l_orderkey AS pos, l_linenumber AS ln, l_partkey AS pk, 'H0' || substr(p_brand, 7, 1) || 'L ' || substr(p_brand, 8, 1) || '0' AS ipc,
+           CASE WHEN p_size <> 50 THEN 'H0' || substr(p_brand, 7, 1) || 'L ' || CASE WHEN p_brand = 'Brand#13' THEN '99' ELSE substr(p_brand, 8, 1) || '0' END END AS cpc
+    FROM lineitem JOIN part ON l_partkey = p_partkey),
+  corp AS (SELECT o_orderkey AS pos FROM orders WHERE o_orderpriority <> '1-URGENT'),
+  stor AS (SELECT o_orderkey AS pos, o_orderstatus <> 'O' AND o_orderkey IN (SELECT pos FROM cl) AS classified FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')),
+  ext AS (SELECT * FROM stor WHERE pos NOT IN (SELECT pos FROM corp)),
+  top AS (
+    SELECT g, n, CAST(row_number() OVER (ORDER BY n DESC, first_pos) AS INTEGER) AS rank
+    FROM (SELECT g, count(*) AS n, min(pos) AS first_pos FROM (SELECT pos, arg_min(ipc, (ln, pk)) AS g FROM cl WHERE pos IN (SELECT pos FROM corp) GROUP BY pos) GROUP BY g)
+    QUALIFY row_number() OVER (ORDER BY n DESC, first_pos) <= 12),
+  own AS (
+    SELECT DISTINCT pos, ipc AS g, 'corpus' AS origin FROM cl WHERE pos IN (SELECT pos FROM corp)
+    UNION ALL SELECT DISTINCT pos, cpc, 'knowledge_base' FROM cl WHERE cpc IS NOT NULL AND pos IN (SELECT pos FROM ext WHERE classified)),
+  people AS (SELECT (SELECT count(*) FROM corp) + (SELECT count(*) FROM ext WHERE classified) AS n),
+  touch AS (SELECT own.*, top.rank FROM own JOIN top ON top.g = own.g),
+  both_ AS (SELECT DISTINCT cl.pos, cl.ipc, c2.cpc FROM cl JOIN cl c2 ON c2.pos = cl.pos AND c2.cpc IS NOT NULL WHERE cl.pos IN (SELECT pos FROM corp) AND cl.pos IN (SELECT pos FROM stor WHERE classified)),
+  walk AS (SELECT ipc, cpc, count(*) AS n, (SELECT count(DISTINCT pos) FROM both_ z WHERE z.ipc = both_.ipc) AS records FROM both_ GROUP BY 1, 2),
+  moved AS (
+    SELECT w.ipc AS g, first.cpc AS moved_to, max(records) AS records, coalesce(max(n / records::DOUBLE) FILTER (WHERE w.ipc = w.cpc), 0) AS kept_share
+    FROM walk w JOIN (SELECT ipc, cpc FROM (SELECT *, sum(n) OVER (PARTITION BY cpc) AS everywhere FROM walk) WHERE ipc <> cpc QUALIFY row_number() OVER (PARTITION BY ipc ORDER BY n / everywhere::DOUBLE DESC, n DESC, cpc) = 1) first ON first.ipc = w.ipc
+    GROUP BY 1, 2 HAVING max(records) >= 5 AND coalesce(max(n / records::DOUBLE) FILTER (WHERE w.ipc = w.cpc), 0) < 0.5)"""
