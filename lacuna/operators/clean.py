@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lacuna.functions import text
+from lacuna.sources.tables import written
 
 #: Features of which one is enough for the domain gate.
 CORE = ["sdn", "nfv", "sfc", "network_slicing", "oran", "openflow", "5g_core"]
@@ -92,6 +95,26 @@ def exclude_known(records: DataFrame, corpus: DataFrame, pad: str = "all") -> Da
     return records.join(k, base_number(F.col("publication_number"), pad) == F.col("_k"), "left_anti")
 
 
+def tolerant_union(sources: list[tuple[str, Callable[[], DataFrame]]], columns: list[str]) -> tuple[DataFrame | None, DataFrame]:
+    """(rows, notes) of several landed sources (SET6): a source that can't be read, or whose rows can't be made, gives a note (source, note) in
+    place of an error, the others all their rows, with `source`; rows is None if none can be read. Nothing is de-duplicated here.
+
+    A source counts as read once all its rows are: they are written to a table of their own, so that a file which is broken
+    in the middle leaves none of its rows behind."""
+    from pyspark.sql import SparkSession
+
+    rows, notes = None, []
+    for name, read in sources:
+        try:
+            got = written(read().select(*columns).withColumn("source", F.lit(name)), "source")
+        except Exception as e:  # whatever a source fails with is said in its note
+            notes.append((name, f"{name} failed: {type(e).__name__}"))
+            continue
+        rows = got if rows is None else rows.unionByName(got)
+    spark = SparkSession.active()
+    return rows, spark.createDataFrame(notes, "source string, note string")
+
+
 def shape_literature(live: DataFrame, stored: DataFrame, first: int | None = None, last: int | None = None) -> DataFrame:
     """Live rows first, then stored: no figure titles, year bounds (no year fails the start, passes the end),
     one row per title key (FLT11, SET6)."""
@@ -113,6 +136,30 @@ def longest_prefix(codes: DataFrame, titles: DataFrame) -> DataFrame:
     return codes.join(best, "code", "left")
 
 
+def class_titles(codes: DataFrame, titles: DataFrame, suffix: bool = False) -> DataFrame:
+    """(code, title, level): what a class code is called (CLN16): the title of the longest prefix, else of its class (a code of three characters), its
+    subclass or its section; level says which, null without any.
+
+    titles: (level, prefix, title), level one of prefix, class, subclass, section. A code's blanks and case don't count. With `suffix`, for a
+    code with a sub-group: no section, and the sub-group stands behind a title that covers more than it (its prefix is shorter and ends in another
+    sub-group, or none). Every code looks its own beginnings up, so it is an equi join with the titles."""
+    form = F.upper(F.regexp_replace("code", r"\s+", ""))
+    c = codes.select("code").distinct().withColumn("_form", form)
+    begins = F.transform(F.sequence(F.lit(1), F.length("_form")), lambda n: F.struct(F.lit("prefix").alias("level"), F.substring("_form", F.lit(1), n).alias("prefix"), (n + 10).alias("weight")))
+    step = lambda level, pattern, weight: F.when(F.col("_form").rlike(pattern), F.array(F.struct(F.lit(level).alias("level"), F.regexp_extract("_form", pattern, 1).alias("prefix"), F.lit(weight).alias("weight")))).otherwise(F.expr("cast(array() as array<struct<level:string,prefix:string,weight:int>>)"))
+    falls = [] if suffix else [step("class", "^([A-HY][0-9]{2})$", 3), step("section", "^([A-Z])", 1)]
+    ways = F.concat(begins, step("subclass", "^([A-H][0-9]{2}[A-Z])", 2), *falls)
+    tried = c.where("_form <> ''").select("code", "_form", F.explode(ways).alias("_w")).select("code", "_form", "_w.*").join(titles, ["level", "prefix"])
+    best = tried.groupBy("code", "_form").agg(F.max(F.struct("weight", "level", "prefix", "title")).alias("b")).select("code", "_form", "b.level", "b.prefix", "b.title")
+    if suffix:
+        group = F.regexp_extract("code", "([0-9]+/[0-9]+)", 1)
+        own = F.when(F.col("level") == "prefix", F.regexp_extract("prefix", "([0-9]+/[0-9]+)", 1)).otherwise("")
+        covered = F.when(F.col("level") == "prefix", F.length("prefix")).otherwise(0)
+        more = (group != "") & (F.length("_form") > covered) & (group != own)
+        best = best.withColumn("title", F.when(more, F.concat("title", F.lit(" ("), group, F.lit(")"))).otherwise(F.col("title")))
+    return codes.select("code").distinct().join(best.select("code", "title", "level"), "code", "left")
+
+
 def class_label(groups: DataFrame, curated: dict[str, str], words: DataFrame) -> DataFrame:
     """(g, label): curated, else distinctive words, else 'IPC g' (CLN15)."""
     m = F.create_map(*[F.lit(x) for kv in (curated or {"": ""}).items() for x in kv])

@@ -170,11 +170,3 @@ def ordinal(n: Column) -> Column:
     n = n.cast("int")
     ending = F.when((n % 100).between(11, 13), "th").when(n % 10 == 1, "st").when(n % 10 == 2, "nd").when(n % 10 == 3, "rd").otherwise("th")
     return F.concat(n.cast("string"), ending)
-
-
-def crowding_note(hits: Column, percentile: Column, pairs: Column, lang: str = "en") -> Column:
-    """SCL16 for the crowding factor."""
-    pct = half_up(percentile * 100)
-    if lang == "zh":
-        return F.format_string("基準日前命中 %s 件，擁擠度百分位 %s（共 %s 組特徵配對）。", hits.cast("string"), pct.cast("int").cast("string"), pairs.cast("string"))
-    return F.format_string("%s records before the cutoff hold at least 2 of the case's features: the %s percentile among %s feature pairs.", hits.cast("string"), ordinal(pct), pairs.cast("string"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lacuna.functions import text
-from lacuna.operators import clean, features, retrieve, score
+from lacuna.operators import clean, features, notes, retrieve, score
 from lacuna.plans import views
 from lacuna.plans.registry import query
 from lacuna.plans.search_queries import GRID, STOP, TF, TOKENS, sql_term
@@ -308,6 +308,11 @@ def novelty(spark, d):
     return Scored(spark, d).novelty().withColumn("value", F.round("value", 6))
 
 
+def note_facts(s: Scored) -> DataFrame:
+    pairs = len(TAX) * (len(TAX) - 1) // 2
+    return notes.facts(s.novelty(), s.crowding(), s.regional(), s.temporal(), s.cases, pairs)
+
+
 @query(f"WITH {BM25}, {ART} SELECT case_id, pos, place FROM art")
 def evidence(spark, d):
     return Scored(spark, d).art
@@ -411,3 +416,27 @@ def grouped_features(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {ALL_CASES}, g AS (SELECT case_id, r.jurisdiction AS ipc, count(*) AS c, min(rank) AS first FROM cf JOIN rec r ON r.pos = (cf.case_id + cf.rank) GROUP BY 1, 2) SELECT case_id, arg_max(ipc, (c, -first)) AS subtech FROM g GROUP BY 1")
 def case_group(spark, d):
     return features.dominant_group(grouped_features(spark, d).where("ipc is not null"))
+
+
+NOTES = f"""{BM25}, {ART}, {NOV}, {MATCHED}, {CROWD}, {REGIO}, {TEMPO},
+  nt AS (
+    SELECT case_id, 'novelty' AS factor, 'en' AS lang, CASE WHEN is_fallback THEN 'Nothing comparable was found before the cutoff, so novelty stays neutral at 0.5.'
+      ELSE closest || ' is the closest prior art: it shares ' || CAST(overlap_pct AS BIGINT) || '% of the features. ' || unmatched || ' of ' || total || ' features are in none of the ' || evidence_count || ' records compared.' END AS note FROM nov
+    UNION ALL SELECT case_id, 'novelty', 'zh', CASE WHEN is_fallback THEN '基準日前查無可比對的前案，新穎性取中性值 0.5。' ELSE '最接近的前案為 ' || closest || '，特徵重疊 ' || CAST(overlap_pct AS BIGINT) || '%；' || total || ' 項特徵中 ' || unmatched || ' 項不見於所比對的 ' || evidence_count || ' 件資料。' END FROM nov
+    UNION ALL SELECT case_id, 'crowding', 'en', hits || ' records before the cutoff have two or more of the features, the ' || p || CASE WHEN p % 100 BETWEEN 11 AND 13 THEN 'th' WHEN p % 10 = 1 THEN 'st' WHEN p % 10 = 2 THEN 'nd' WHEN p % 10 = 3 THEN 'rd' ELSE 'th' END || ' percentile among 120 pairs of features.'
+      FROM (SELECT *, CAST(floor(percentile * 100 + 0.5) AS BIGINT) AS p FROM cro)
+    UNION ALL SELECT case_id, 'crowding', 'zh', '基準日前有 ' || hits || ' 件資料具備兩項以上特徵，於 120 組特徵配對中位居第 ' || CAST(floor(percentile * 100 + 0.5) AS BIGINT) || ' 百分位。' FROM cro
+    UNION ALL SELECT case_id, 'regional', 'en', CASE WHEN total = 0 THEN 'No record matches before the cutoff, so concentration stays neutral at 0.5.' WHEN target_hits = 0 THEN 'No matching record in ' || target || ': a regional gap. Concentration of applicants over ' || total || ' records is ' || CAST(floor(hhi + 0.5) AS BIGINT) || '.'
+      ELSE target_hits || ' matching records in ' || target || '. Concentration of applicants over ' || total || ' records is ' || CAST(floor(hhi + 0.5) AS BIGINT) || '.' END FROM reg
+    UNION ALL SELECT case_id, 'regional', 'zh', CASE WHEN total = 0 THEN '基準日前沒有相符資料，集中度取中性值 0.5。' WHEN target_hits = 0 THEN target || ' 沒有相符資料，為區域缺口；' || total || ' 件資料的申請人集中度為 ' || CAST(floor(hhi + 0.5) AS BIGINT) || '。'
+      ELSE target || ' 有 ' || target_hits || ' 件相符資料；' || total || ' 件資料的申請人集中度為 ' || CAST(floor(hhi + 0.5) AS BIGINT) || '。' END FROM reg
+    UNION ALL SELECT tem.case_id, 'temporal', 'en', CASE WHEN is_fallback THEN 'Only ' || evidence_count || ' publications match from ' || (cutoff_year - 4) || ' to ' || cutoff_year || ', fewer than 20, so the trend stays neutral at 0.5.'
+      ELSE evidence_count || ' publications match from ' || (cutoff_year - 4) || ' to ' || cutoff_year || '; the trend against the field gives ' || printf('%.2f', value) || '.' END FROM tem JOIN cs ON cs.case_id = tem.case_id
+    UNION ALL SELECT tem.case_id, 'temporal', 'zh', CASE WHEN is_fallback THEN (cutoff_year - 4) || ' 至 ' || cutoff_year || ' 年僅 ' || evidence_count || ' 篇文獻相符，少於 20 篇，趨勢取中性值 0.5。'
+      ELSE (cutoff_year - 4) || ' 至 ' || cutoff_year || ' 年有 ' || evidence_count || ' 篇文獻相符；相對於整個領域的趨勢值為 ' || printf('%.2f', value) || '。' END FROM tem JOIN cs ON cs.case_id = tem.case_id)"""
+
+
+@query(f"WITH {NOTES} SELECT case_id, factor, lang, note FROM nt")
+def factor_notes(spark, d):
+    """What each factor of each case says, in two languages (SCL16)."""
+    return notes.told(note_facts(Scored(spark, d)), ["en", "zh"])

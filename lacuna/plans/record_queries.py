@@ -11,9 +11,10 @@ from lacuna.operators import classes, clean
 from lacuna.operators import snowball as snow
 from lacuna.plans import views
 from lacuna.plans.registry import query
-from lacuna.sources import ingest, sinks
+from lacuna.plans.search_queries import LABEL_TOKENS
+from lacuna.sources import commits, ingest, sinks
 from lacuna.sources.tables import shared_dir
-from lacuna.streaming import writeback
+from lacuna.streaming import keyed, writeback
 
 
 def scratch(spark: SparkSession) -> str:
@@ -27,7 +28,7 @@ def scratch(spark: SparkSession) -> str:
 
 SAYS = [
     "'Copyright ' || {y} || ' by its authors. ' || {t}",
-    "{t} || ' Accepted ' || {y} || '. As in (Smith, 2022) and et al., 2021.'",
+    "'Accepted ' || {y} || '. As in (Smith, 2022) and et al., 2021. ' || {t}",
     "'Proceedings of the ' || {y} || ' Symposium. ' || {t}",
     "'arXiv:' || substr({y}, 3, 2) || '04.12345 ' || {t}",
     "{t} || ' in ' || {y} || ', 1999 and ' || {y} || {n} || 'References' || {n} || 'Someone 2011, 2011, 2011'",
@@ -41,7 +42,7 @@ def sayings(y: str, t: str, n: str) -> str:
 
 def dated_texts(spark: SparkSession, d: str) -> DataFrame:
     r = views.rec(spark, d).where("title is not null")
-    return r.select("pos", F.expr(sayings("cast(year as string)", "substring(title, 1, 80)", "'\\n'")).alias("text"))
+    return r.select("pos", F.expr(sayings("cast(year as string)", "concat_ws(' ', title, abstract)", "'\\n'")).alias("text"))
 
 
 @query(f"""WITH {views.REC} SELECT pos, CASE WHEN pos % 6 = 5 THEN NULL ELSE year END AS year, CASE WHEN pos % 6 = 5 THEN NULL WHEN pos % 6 = 4 THEN 'low' ELSE 'high' END AS confidence,
@@ -50,7 +51,7 @@ def cutoff_year(spark, d):
     return dated_texts(spark, d).select("pos", text.cutoff_year(F.col("text")).alias("c")).select("pos", "c.*")
 
 
-@query(f"""WITH {views.REC}, t AS (SELECT pos, {sayings('CAST(year AS VARCHAR)', 'substr(title, 1, 80)', 'chr(10)')} AS text FROM rec WHERE title IS NOT NULL),
+@query(f"""WITH {views.REC}, t AS (SELECT pos, {sayings('CAST(year AS VARCHAR)', "(title || ' ' || abstract)", 'chr(10)')} AS text FROM rec WHERE title IS NOT NULL),
   y AS (SELECT DISTINCT pos, CAST(unnest(regexp_extract_all(text, '\\b(19[89]\\d|20[0-2]\\d|2030)\\b', 1)) AS INTEGER) AS y FROM t)
   SELECT t.pos, coalesce((SELECT list(y ORDER BY y DESC) FROM y WHERE y.pos = t.pos), CAST([] AS INTEGER[])) AS years FROM t""")
 def year_candidates(spark, d):
@@ -104,13 +105,12 @@ def parse_pages(spark, d):
 
 @query("SELECT page_id AS src, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS dst FROM pages")
 def page_links(spark, d):
-    p = views.table(spark, d, "pages")
-    return p.select(F.col("page_id").alias("src"), F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("dst"))
+    return ingest.page_links(views.table(spark, d, "pages").withColumnRenamed("page_id", "src"))
 
 
 @query(f"WITH {views.REC} SELECT pos, ['EP' || (1000000 + pos) || 'B1', 'US' || (8000000 + pos) || 'B2'] AS numbers FROM rec WHERE title IS NOT NULL")
 def candidate_numbers(spark, d):
-    said = F.expr("'See US ' || (8000000 + pos) || 'B2, also https://patents.google.com/patent/EP' || (1000000 + pos) || 'B1/en. ' || substring(title, 1, 20)")
+    said = F.expr("'See US ' || (8000000 + pos) || 'B2, also https://patents.google.com/patent/EP' || (1000000 + pos) || 'B1/en. ' || title || ' ' || abstract")
     return views.rec(spark, d).where("title is not null").select("pos", ingest.candidate_numbers(said).alias("numbers"))
 
 
@@ -275,6 +275,99 @@ def write_back_stream(spark, d):
     return spark.read.parquet(f"{at}/store").select("id", "seq")
 
 
+@query(f"WITH {CAPPED}, o AS (SELECT id, seq, origin, sum(CASE WHEN origin <> 'view' THEN 1 ELSE 0 END) OVER (PARTITION BY CAST(added_at AS DATE) ORDER BY added_at, seq) AS n FROM a) SELECT id, seq FROM o WHERE origin = 'view' OR n <= 20")
+def write_back_keyed(spark, d):
+    """Events in three batches, the stream stopped and started again between them, the bounds in the middle of a day; ids and
+    day counts are kept in the state store (STR1, STR2)."""
+    at = scratch(spark)
+    rows = views.attempts(spark, d).select("id", "added_at", "seq", "origin")
+    for first, last in (("0001-01-01", "2024-01-10 12:00"), ("2024-01-10 12:00", "2024-01-20 12:00"), ("2024-01-20 12:00", "9999-01-01")):
+        part = rows.where((F.col("added_at") >= F.lit(first).cast("timestamp")) & (F.col("added_at") < F.lit(last).cast("timestamp")))
+        part.write.mode("append").parquet(f"{at}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{at}/in")
+        keyed.write_back(stream, f"{at}/store", f"{at}/checkpoint", lambda x: x, ["added_at", "seq"], 20, "view", 8).awaitTermination()
+    return spark.read.parquet(f"{at}/store").select("id", "seq")
+
+
+@query(f"WITH {views.KB} SELECT type, count(*) AS n, count(DISTINCT pos) AS ids, 2 AS batches FROM kb GROUP BY 1")
+def appended_batches(spark, d):
+    """Records appended in two batches, each twice, as a job that is run again does (SNK1)."""
+    at, k = scratch(spark), views.kb(spark, d).select("pos", "type", "title")
+    for name, half in (("first", "year < 2015"), ("second", "year >= 2015")):
+        for _ in range(2):
+            commits.append(views.kb(spark, d).where(half).select("pos", "type", "title"), at, name)
+    out = commits.read_appended(spark, at).select(*k.columns, "batch")
+    both = out.agg(F.count_distinct("batch").cast("int").alias("batches"))
+    return out.groupBy("type").agg(F.count("*").alias("n"), F.count_distinct("pos").alias("ids")).join(both, F.lit(True))
+
+
+@query(f"WITH {views.KB} SELECT pos, title, year FROM kb WHERE year >= 2010")
+def snapshot_newest(spark, d):
+    """Two versions of a snapshot; the newest is read (SNK2)."""
+    at, k = scratch(spark), views.kb(spark, d).select("pos", "title", "year")
+    commits.write_version(k, at)
+    commits.write_version(k.where("year >= 2010"), at)
+    return commits.read_version(spark, at)
+
+
+@query(f"WITH {views.REC} SELECT publication_number, title, substr(abstract, 1, 400) AS abstract, jurisdiction, company_name, company_name AS assignees, jurisdiction AS ipc, publication_date FROM rec")
+def public_records(spark, d):
+    """The public projection (SNK3)."""
+    r = views.rec(spark, d).withColumns({"assignees": F.array("company_name"), "ipc": F.array("jurisdiction")})
+    return sinks.public(r).withColumns({"assignees": F.array_join("assignees", ";"), "ipc": F.array_join("ipc", ";")})
+
+
+@query(f"WITH {views.KB} SELECT count(*) AS n, (SELECT 'broken failed: ' || 'FileNotFoundError') AS note FROM kb")
+def literature_sources(spark, d):
+    """Papers and patents as two landed sources, and a third that can't be read (SET6)."""
+    k = views.kb(spark, d)
+    missing = lambda: commits.read_version(spark, scratch(spark))
+    rows, notes = clean.tolerant_union([("papers", lambda: k.where("type = 'paper'")), ("broken", missing), ("patents", lambda: k.where("type = 'patent'"))], ["pos", "title", "year"])
+    return rows.agg(F.count("*").alias("n")).join(notes.select("note"), F.lit(True))
+
+
+#: Titles for each step down: brands and sizes as prefixes, classes of three characters, subclasses and sections.
+TITLES = [("prefix", "H01L20/1", "a sub-group"), ("prefix", "H01L20", "a group"), ("prefix", "H03L", "a long name"), ("class", "H01", "a class"), ("subclass", "H02L", "a subclass"), ("section", "H", "a section"), ("section", "B", "another section")]
+CODES = "SELECT DISTINCT CASE WHEN p_size % 10 = 1 THEN 'H0' || substr(p_brand, 7, 1) WHEN p_size % 10 = 2 THEN p_brand WHEN p_size % 10 = 3 THEN 'h0' || substr(p_brand, 7, 1) || 'l ' || substr(p_brand, 8, 1) || '0' WHEN p_size % 10 = 4 THEN '' ELSE 'H0' || substr(p_brand, 7, 1) || 'L ' || substr(p_brand, 8, 1) || '0/' || p_size END AS code FROM part"
+
+
+def sql_titles(suffix: bool) -> str:
+    falls = ["(2, 'subclass', regexp_extract(f, '^([A-H][0-9]{2}[A-Z])', 1))"] + ([] if suffix else ["(3, 'class', regexp_extract(f, '^([A-HY][0-9]{2})$', 1))", "(1, 'section', f[1])"])
+    shown = "CASE WHEN tail <> '' AND tail <> own AND length(f) > covered THEN title || ' (' || tail || ')' ELSE title END" if suffix else "title"
+    return f"""WITH t AS (SELECT * FROM (VALUES {', '.join(map(str, TITLES))}) AS v(level, prefix, title)), c AS (SELECT code, upper(regexp_replace(code, '\\s+', '', 'g')) AS f, regexp_extract(code, '([0-9]+/[0-9]+)', 1) AS tail FROM ({CODES})),
+      w AS (SELECT code, length(t.prefix) + 10 AS weight, t.level, title, prefix FROM c JOIN t ON t.level = 'prefix' AND starts_with(f, t.prefix)
+            UNION ALL SELECT code, v.weight, t.level, title, t.prefix FROM c, LATERAL (VALUES {', '.join(falls)}) AS v(weight, level, prefix) JOIN t ON t.level = v.level AND t.prefix = v.prefix WHERE f <> ''),
+      b AS (SELECT code, arg_max(title, weight) AS title, arg_max(level, weight) AS level, CASE WHEN arg_max(level, weight) = 'prefix' THEN length(arg_max(prefix, weight)) ELSE 0 END AS covered,
+                   CASE WHEN arg_max(level, weight) = 'prefix' THEN regexp_extract(arg_max(prefix, weight), '([0-9]+/[0-9]+)', 1) ELSE '' END AS own FROM w GROUP BY 1)
+      SELECT c.code, {shown} AS title, level FROM c LEFT JOIN b ON b.code = c.code"""
+
+
+def class_codes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    codes = views.table(spark, d, "part").selectExpr(CODES.removeprefix("SELECT DISTINCT ").removesuffix(" FROM part")).distinct()
+    return codes, spark.createDataFrame(TITLES, "level string, prefix string, title string")
+
+
+@query(sql_titles(False))
+def class_titles(spark, d):
+    return clean.class_titles(*class_codes(spark, d))
+
+
+@query(sql_titles(True))
+def subgroup_titles(spark, d):
+    return clean.class_titles(*class_codes(spark, d), suffix=True)
+
+
+@query(f"""WITH {views.REC}, g AS (SELECT DISTINCT jurisdiction AS g FROM rec WHERE jurisdiction IS NOT NULL UNION SELECT 'H04L 12'), w AS (SELECT DISTINCT jurisdiction AS subtech, pos, unnest({LABEL_TOKENS}) AS word FROM rec),
+  c AS (SELECT subtech, word, count(*) AS c, min(pos) AS first FROM w GROUP BY 1, 2), a AS (SELECT *, sum(c) OVER (PARTITION BY word) AS total FROM c),
+  r AS (SELECT *, row_number() OVER (PARTITION BY subtech ORDER BY c DESC, first, word) AS r FROM a WHERE c >= 4 AND c / total::DOUBLE >= 0.3), l AS (SELECT subtech, string_agg(upper(word[1]) || word[2:], ' ' ORDER BY r) AS label FROM r WHERE r <= 2 GROUP BY 1)
+  SELECT g, CASE WHEN g = 'H04L 12' THEN 'Packet Switching & Network Services' WHEN g = 'DE' THEN 'German' ELSE coalesce(label, 'IPC ' || g) END AS label FROM g LEFT JOIN l ON l.subtech = g""")
+def class_labels(spark, d):
+    """Curated labels first, then distinctive words, then the plain group (CLN15)."""
+    r = views.rec(spark, d).withColumn("subtech", F.col("jurisdiction"))
+    groups = r.where("subtech is not null").select(F.col("subtech").alias("g")).unionByName(spark.createDataFrame([("H04L 12",)], "g string")).distinct()
+    return clean.class_label(groups, {**classes.LABELS, "DE": "German"}, classes.distinctive_words(r))
+
+
 @query()
 def sliding_limit_replay(spark, d):
     """At most 2 allowed requests of a client in six hours; sequential per client, so tests compare with a

@@ -9,6 +9,7 @@ from lacuna.functions import text
 from lacuna.operators import features, landscape, match
 from lacuna.plans import views
 from lacuna.plans.registry import query
+from lacuna.sources.tables import written
 
 #: Synonym groups whose terms occur in the tables.
 GROUPS = [["erin", "erin", "erines"], ["thble", "thble", "th ble"], ["under", "under"], ["thor", "thor", "thorre"], ["nden", "nden"]]
@@ -55,6 +56,21 @@ def faceted_search_page(spark, d):
     return match.page(match.relevance(hits), 2).select("pos", "score")
 
 
+@query(f"WITH {HITS} SELECT page, pos, score FROM (SELECT pos, score, CAST((row_number() OVER (ORDER BY score DESC, publication_date DESC NULLS LAST, pos) - 1) // 20 + 1 AS INTEGER) AS page FROM hit) WHERE page <= 4")
+def keyset_pages(spark, d):
+    """The first four pages of 20, each asked for by the last row of the one before (SRT3)."""
+    hits = written(match.search(searchable(spark, d), QUERY, GROUPS).select("pos", "score", "publication_date"), "hits")
+    out, last = None, None
+    for number in range(1, 5):
+        page = match.page_after(hits, last, 20)
+        rows = page.select(F.lit(number).alias("page"), "pos", "score")
+        out = rows if out is None else out.unionByName(rows)
+        last = match.cursor(page)
+        if last is None:
+            break
+    return out
+
+
 @query(f"WITH {HITS} SELECT pos, publication_date FROM hit ORDER BY publication_date ASC NULLS FIRST, pos LIMIT 20")
 def search_resort(spark, d):
     return match.by_date(match.search(searchable(spark, d), QUERY, GROUPS), newest=False).limit(20).select("pos", "publication_date")
@@ -205,7 +221,10 @@ TOKENS = "list_filter(regexp_extract_all(lower({0}), '[a-z][a-z0-9-]{{2,}}'), la
 STOP = ", ".join(f"'{w}'" for w in text.STOP_A)
 
 
-@query(f"""WITH {views.REC}, w AS (SELECT DISTINCT jurisdiction AS subtech, pos, unnest({TOKENS.format('title', ', '.join(f"'{w}'" for w in text.STOP_LABEL))}) AS word FROM rec),
+LABEL_TOKENS = TOKENS.format("title", ", ".join(f"'{w}'" for w in text.STOP_LABEL))
+
+
+@query(f"""WITH {views.REC}, w AS (SELECT DISTINCT jurisdiction AS subtech, pos, unnest({LABEL_TOKENS}) AS word FROM rec),
   c AS (SELECT subtech, word, count(*) AS c, min(pos) AS first FROM w GROUP BY 1, 2), a AS (SELECT *, sum(c) OVER (PARTITION BY word) AS total FROM c),
   r AS (SELECT *, row_number() OVER (PARTITION BY subtech ORDER BY c DESC, first, word) AS r FROM a WHERE c >= 4 AND c / total::DOUBLE >= 0.3)
   SELECT subtech, string_agg(upper(word[1]) || word[2:], ' ' ORDER BY r) AS label FROM r WHERE r <= 2 GROUP BY 1""")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.functions import text
+from lacuna.sources import ingest
 
 #: A small taxonomy whose terms occur in the tables: (id, label, phrases, acronyms).
 TAXONOMY = [(w, w.title(), [w], []) for w in ("erin", "thble", "rehe", "ster", "nden", "esing", "thndly", "ntly", "under", "thor", "thea", "thin")] + [
@@ -86,12 +86,13 @@ def kb(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as knowledge records: even ids are papers, odd ones patents."""
     p = table(spark, sf_dir, "pages")
     html = F.coalesce("html", F.lit(""))
+    title, body = ingest.page_text(html)
     year = (F.lit(2005) + (F.col("page_id") * 3) % 20).cast("int")
     return p.select(
         F.col("page_id").alias("pos"),
         F.when(F.col("page_id") % 2 == 0, "paper").otherwise("patent").alias("type"),
-        F.trim(F.regexp_extract(html, "<title>([^<]*)</title>", 1)).alias("title"),
-        text.strip_tags(html).alias("abstract"),
+        title.alias("title"),
+        body.alias("abstract"),
         year.alias("year"),
         F.col("url"),
         F.concat(F.lit("K"), F.col("page_id").cast("string")).alias("publication_number"),

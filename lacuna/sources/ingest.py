@@ -14,31 +14,37 @@ origin string, query string, added_at string"""
 
 
 def corpus(spark: SparkSession, path: str) -> DataFrame:
-    """SRC1: a JSON array of records, with defaults; assignees fall back to the company. pos follows file and
-    row order."""
-    raw = spark.read.schema(CORPUS).json(path, multiLine=True)
+    """SRC1: JSON arrays of records, with defaults; assignees fall back to the company. pos follows the files' paths and the
+    rows within them, however the read is split: a file's number and the row's place in it."""
+    raw = spark.read.schema(CORPUS).json(path, multiLine=True).select("*", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_i"))
+    # a file of one array is read by one task, in order
+    files = raw.groupBy("_file").agg(F.min("_i").alias("_first")).withColumn("_n", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_file")) - 1)
+    raw = raw.join(files, "_file").withColumn("pos", F.shiftleft(F.col("_n").cast("long"), 40) + F.col("_i") - F.col("_first"))
     blank = F.expr("cast(array() as array<string>)")
     has = F.size(F.coalesce("assignees", blank)) > 0
     company = F.coalesce("company_name", F.lit(""))
     return raw.select(
-        F.monotonically_increasing_id().alias("pos"), "publication_number", *[F.coalesce(c, F.lit("")).alias(c) for c in ("title", "abstract")], "jurisdiction", company.alias("company_name"),
+        "pos", "publication_number", *[F.coalesce(c, F.lit("")).alias(c) for c in ("title", "abstract")], "jurisdiction", company.alias("company_name"),
         F.when(has, F.col("assignees")).when(company != "", F.array(company)).otherwise(blank).alias("assignees"), F.coalesce("ipc", blank).alias("ipc"), F.coalesce("cpc", blank).alias("cpc"),
         *[F.try_to_date(c, "yyyy-MM-dd").alias(c) for c in ("publication_date", "filing_date")], "category",
     )
 
 
 def knowledge(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """SRC2: JSON lines (gzip is read as it is), earlier paths first; corrupt lines skipped; first id wins."""
+    """SRC2: JSON lines (gzip is read as it is), earlier paths first; corrupt lines skipped; first id wins.
+
+    First means: by path in the order given, then by file name, by the block of the file, by the row in the block. Rows of a block are
+    read in order by one task, so the winner is the same however files are split and dealt."""
     frames = []
     for n, p in enumerate(paths):
         d = spark.read.schema(KNOWLEDGE + ", _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(p)
-        frames.append(d.withColumn("_n", F.lit(n)).withColumn("_i", F.monotonically_increasing_id()))
+        frames.append(d.select("*", F.lit(n).alias("_n"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_i")))
     rows = frames[0]
     for d in frames[1:]:
         rows = rows.unionByName(d)
     rows = rows.where("_corrupt is null and id is not null")
-    first = F.row_number().over(Window.partitionBy("id").orderBy("_n", "_i"))
-    return rows.withColumn("_r", first).where("_r = 1").drop("_r", "_n", "_i", "_corrupt")
+    first = F.row_number().over(Window.partitionBy("id").orderBy("_n", "_file", "_block", "_i"))
+    return rows.withColumn("_r", first).where("_r = 1").drop("_r", "_n", "_file", "_block", "_i", "_corrupt")
 
 
 def full_date(c: Column) -> Column:
@@ -159,6 +165,16 @@ def citation_edges(pages: DataFrame) -> DataFrame:
     return out.where("dst <> ''")
 
 
+def page_links(pages: DataFrame) -> DataFrame:
+    """(src, dst): what any page (id in `src`, html) links to, in the page's order, repeats kept (SRC9)."""
+    return pages.select("src", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("dst"))
+
+
+def page_text(html: Column) -> tuple[Column, Column]:
+    """(title, text) of any page: what its title element says, and all text outside tags."""
+    return F.trim(F.regexp_extract(html, "<title>([^<]*)</title>", 1)), text.strip_tags(html)
+
+
 def page_extras(pages: DataFrame) -> DataFrame:
     """SRC9: assignee, up to 12 CPC codes, priority date."""
     h = F.col("html")

@@ -1,4 +1,4 @@
-"""Writers: append, snapshot, public projection, CSV export, audit counts."""
+"""Public projection, CSV export, audit counts; appends and snapshots are in `commits`."""
 
 from __future__ import annotations
 
@@ -6,16 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def append(records: DataFrame, path: str, by: str = "type") -> None:
-    """SNK1."""
-    records.write.mode("append").partitionBy(by).parquet(path)
-
-
-def snapshot(records: DataFrame, path: str) -> None:
-    """SNK2: gzip JSON lines; the commit protocol makes the swap."""
-    records.write.mode("overwrite").option("compression", "gzip").json(path)
-
-
 def public(records: DataFrame) -> DataFrame:
     """SNK3: eight public columns, abstracts up to 400 characters."""
     return records.select("publication_number", "title", F.substring("abstract", 1, 400).alias("abstract"), "jurisdiction", "company_name", "assignees", "ipc", "publication_date")
@@ -35,7 +25,7 @@ def funnel(records: DataFrame, *by: str) -> DataFrame:
     return records.groupBy("status", *by).agg(F.count("*").alias("n"))
 
 
-def store_stats(records: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
+def store_stats(records: DataFrame) -> DataFrame:
     """AGG34: totals by type, origin, source and year in one pass of grouping sets; null means not grouped."""
     g = records.groupingSets([[], ["type"], ["origin"], ["source"], ["year"]], "type", "origin", "source", "year").agg(F.count("*").alias("n"), F.grouping_id().cast("int").alias("levels"))
     return g
