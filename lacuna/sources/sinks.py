@@ -1,4 +1,4 @@
-"""Public projection, CSV export, audit counts; appends and snapshots are in `commits`."""
+"""Snapshot, public projection, CSV export, audit counts; appends and versions are in `commits`."""
 
 from __future__ import annotations
 
@@ -6,6 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def snapshot(records: DataFrame, path: str) -> None:
+    """A folder of gzip JSON lines in place of what is there. Not at once: `commits.write_version` is for tables that are read meanwhile."""
+    records.write.mode("overwrite").option("compression", "gzip").json(path)
+
+
 def public(records: DataFrame) -> DataFrame:
     """SNK3: eight public columns, abstracts up to 400 characters."""
     return records.select("publication_number", "title", F.substring("abstract", 1, 400).alias("abstract"), "jurisdiction", "company_name", "assignees", "ipc", "publication_date")

@@ -1,14 +1,19 @@
-"""The record store as an append-only stream, its daily cap, counters, and limiter replays."""
+"""The record store as an append-only stream, its daily cap, counters, and limiter replays.
+
+`write_back` keeps what it knows of the store in keyed state (`keyed`).
+"""
 
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lacuna.streaming.keyed import write_back as write_back
+
 
 def cap_per_day(added: DataFrame, stored: DataFrame | None, cap: int, order: list[Column | str], at: str = "added_at", exempt: str = "seed") -> DataFrame:
     """added rows with `over_cap`: those beyond `cap` a UTC day, counting what the store holds of that day;
@@ -29,33 +34,6 @@ def cap_per_day(added: DataFrame, stored: DataFrame | None, cap: int, order: lis
     return out.withColumn("over_cap", F.col("_c") & (place > cap)).drop("_day", "_hour", "_c", "_i", "_b", "_s")
 
 
-def write_back(source: DataFrame, store: str, checkpoint: str, prepare: Callable[[DataFrame], DataFrame], order: list[str], cap: int | None = None):
-    """STR1: a stream of candidates -> validated, de-duplicated against all that is stored, appended.
-
-    Each batch goes to its own partition (batch_id), written with overwrite of that partition, so a batch
-    that is run again after a failure leaves the same rows. De-duplication is against all history, which a
-    watermark could not keep, so it is an anti join with the stored ids. Returns the running query.
-    """
-    from lacuna.operators.clean import first_arrivals
-
-    def put(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        try:
-            known = spark.read.parquet(store).where(F.col("batch_id") != batch_id)
-        except Exception as e:  # the first batch finds no store
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-            known = None
-        rows = first_arrivals(prepare(batch), order, known)
-        if cap is not None:
-            ok = cap_per_day(rows.where("status = 'added'"), known, cap, [F.col(c) for c in order])
-            rows = ok.where("not over_cap").drop("over_cap")
-        rows = rows.where("status = 'added'").drop("status").withColumn("batch_id", F.lit(batch_id).cast("long"))
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(store)
-
-    return source.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 def arrivals(stream: DataFrame, watermark: str = "1 day") -> DataFrame:
     """STR3: records per day and origin, and the latest instant. Late rows count within the watermark."""
     w = stream.withWatermark("added_at", watermark).groupBy(F.window("added_at", "1 day").alias("w"), "origin")
