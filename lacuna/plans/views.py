@@ -95,7 +95,7 @@ def kb(spark: SparkSession, sf_dir: str) -> DataFrame:
         body.alias("abstract"),
         year.alias("year"),
         F.col("url"),
-        F.concat(F.lit("K"), F.col("page_id").cast("string")).alias("publication_number"),
+        F.concat(F.lit("K"), (F.col("page_id") + 100000).cast("string")).alias("publication_number"),
         F.when(F.col("page_id") % 3 == 0, "US").when(F.col("page_id") % 3 == 1, "EP").otherwise("JP").alias("jurisdiction"),
         F.when(F.col("page_id") % 5 > 0, F.concat(F.lit("owner "), (F.col("page_id") % 7).cast("string"))).alias("assignee"),
         ((F.col("page_id") * 37) % 101).cast("int").alias("cited_by"),
@@ -106,7 +106,7 @@ KB = r"""kb AS (
     SELECT page_id AS pos, CASE WHEN page_id % 2 = 0 THEN 'paper' ELSE 'patent' END AS type,
            trim(regexp_extract(coalesce(html, ''), '<title>([^<]*)</title>', 1)) AS title,
            trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(coalesce(html, ''), '<[^>]+>', ' ', 'g'), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '[ \t\n\r\f\v]+', ' ', 'g')) AS abstract,
-           CAST(2005 + (page_id * 3) % 20 AS INTEGER) AS year, url, 'K' || page_id AS publication_number,
+           CAST(2005 + (page_id * 3) % 20 AS INTEGER) AS year, url, 'K' || (page_id + 100000) AS publication_number,
            CASE page_id % 3 WHEN 0 THEN 'US' WHEN 1 THEN 'EP' ELSE 'JP' END AS jurisdiction,
            CASE WHEN page_id % 5 > 0 THEN 'owner ' || (page_id % 7) END AS assignee, CAST((page_id * 37) % 101 AS INTEGER) AS cited_by
     FROM pages)"""
