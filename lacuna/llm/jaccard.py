@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.llm.common import components, cut
+from lacuna.llm.common import components, cut, free_name
 
 BANDS, ROWS = 32, 5
 HASHES = BANDS * ROWS
@@ -303,12 +303,13 @@ def near_rows(docs: DataFrame, threshold: float = 0.8, n: int = 5, tolerance: fl
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """docs with one row of each group of near duplicates: the one with the smallest id, or if all ids of the
     group are null, the one with the smallest digest of the text. Rows without words stay, those with an id once
-    for each id and text."""
+    for each id and text. Columns may have any names and come back as they are; an empty table gives no rows."""
+    by, at, every, md5 = (free_name(n, docs.columns) for n in ("by", "at", "every", "md5"))
     found = near_rows(docs, id_col=id_col, text_col=text_col, digest=True, **settings)
     first = found.where("grp is not null").groupBy("grp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at")).alias("k"))
-    stay = first.select(F.col("k.doc_id").alias("_id"), F.col("k.at").alias("_at"), F.lit(False).alias("_all"))
-    bare = found.where("grp is null").select(F.col("doc_id").alias("_id"), F.col("at").alias("_at"), F.col("doc_id").isNull().alias("_all")).distinct()
+    stay = first.select(F.col("k.doc_id").alias(by), F.col("k.at").alias(at), F.lit(False).alias(every))
+    bare = found.where("grp is null").select(F.col("doc_id").alias(by), F.col("at").alias(at), F.col("doc_id").isNull().alias(every)).distinct()
     stay = cut(stay.unionByName(bare))
-    keyed = docs.withColumn("_md5", F.md5(text_col))
-    out = keyed.join(stay, F.col(id_col).eqNullSafe(F.col("_id")) & F.col("_md5").eqNullSafe(F.col("_at")))
-    return out.where("not _all").dropDuplicates([id_col, "_md5"]).unionByName(out.where("_all")).select(*docs.columns)
+    keyed = docs.withColumn(md5, F.md5(text_col))
+    out = keyed.join(stay, F.col(id_col).eqNullSafe(F.col(by)) & F.col(md5).eqNullSafe(F.col(at)))
+    return out.where(~F.col(every)).dropDuplicates([id_col, md5]).unionByName(out.where(every)).select(*docs.columns)

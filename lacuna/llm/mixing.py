@@ -83,8 +83,9 @@ def mix(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    digest: bool = False,
 ) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken) of every row of docs.
+    """(doc_id, source, size, source_size, target, taken[, digest]) of every row of docs; digest is that of the text.
 
     Sources fall into shards of about `shard` words by a seeded hash of id and text, and shards into groups, so
     that one source may hold any part of the corpus. All targets together make a number of blocks of `block`
@@ -134,17 +135,21 @@ def mix(
                                             - greatest(_end - size, -((-i * shard_size) div blocks) + if(i * shard_size % blocks > 0, 1L, 0L)))
                        * if(i >= blocks, 0L, shard_quota div blocks + if((_a * i + _b) % blocks < shard_quota % blocks, 1L, 0L)))"""
     )
-    return rows.select("doc_id", "source", "size", "source_size", "target", F.when(F.col("size") > 0, taken).otherwise(0).cast("long").alias("taken"))
+    more = [F.col("_x").alias("digest")] if digest else []
+    return rows.select("doc_id", "source", "size", "source_size", "target", F.when(F.col("size") > 0, taken).otherwise(0).cast("long").alias("taken"), *more)
 
 
 def take(docs: DataFrame, seed: int = 42, **settings) -> DataFrame:
     """The mixed corpus: rows of docs, each as often as the mix takes it. A document taken for part of its
-    words comes once more with that part as probability, decided by a seeded hash of its id; one without
-    words (null or empty text) takes no part in the mix and comes once. Columns are those of docs."""
-    own, times, copy = free_name("id", docs.columns), free_name("times", docs.columns), free_name("copy", docs.columns)
-    m = mix(docs, seed, **settings).groupBy(F.col("doc_id").alias(own)).agg(F.max("size").alias("size"), F.max("taken").alias("taken"))
-    part = F.pmod(F.xxhash64(F.lit(seed), F.lit(2), own), F.lit(1 << 20)) / float(1 << 20)
+    words comes once more with that part as probability, decided by a seeded hash of its id and text; one without
+    words (null or empty text) takes no part in the mix and comes once. A document is an id, a source and a text, so rows
+    of one id, or of none, that differ are decided each by itself; rows alike in all three share what the mix takes of
+    them. Columns are those of docs, whatever their names; an empty table gives no rows."""
+    own, of, text, times, copy = (free_name(n, docs.columns) for n in ("id", "of", "digest_of_text", "times", "copy"))
+    m = mix(docs, seed, digest=True, **settings).groupBy(F.col("doc_id").alias(own), F.col("source").alias(of), F.col("digest").alias(text)).agg(F.max("size").alias("size"), F.avg("taken").alias("taken"))
+    part = F.pmod(F.xxhash64(F.lit(seed), F.lit(2), own, text), F.lit(1 << 20)) / float(1 << 20)
     often = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + part)).otherwise(1).cast("int")
-    m = m.select(own, often.alias(times))
-    rows = docs.join(m, docs["doc_id"].eqNullSafe(m[own]))
+    m = m.select(own, of, text, often.alias(times))
+    same = docs["doc_id"].eqNullSafe(m[own]) & docs["source"].eqNullSafe(m[of]) & (F.xxhash64(docs["text"]) == m[text])
+    rows = docs.join(m, same)
     return rows.withColumn(copy, F.explode(F.expr(f"if(`{times}` > 0, sequence(1, `{times}`), array())"))).select(*[docs[c] for c in docs.columns])

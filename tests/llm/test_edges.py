@@ -6,7 +6,7 @@ import time
 import numpy as np
 import pytest
 
-from lacuna.llm import covertree, language, mixing, pii, secrets
+from lacuna.llm import covertree, jaccard, language, mixing, pii, secrets
 
 
 def test_every_pattern_on_a_long_text(spark):
@@ -96,3 +96,27 @@ def test_reliabilities_by_brute_force(seed):
     patterns, at, n = np.unique(rows, axis=0, return_inverse=True, return_counts=True)
     assert np.allclose(pii.reliabilities(patterns, n.astype(float))[at.ravel()], each, atol=1e-6)
     assert ((each > 0.5) == np.array(truth)).mean() > 0.95
+
+
+def test_stages_with_names_of_their_own(spark):
+    rows = [(i, f"some words of text number {i // 2} that stand here for all to read again", i % 3, "x", True, "keep") for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _id long, _at string, _all boolean, _md5 string")
+    out = jaccard.dedup(df)
+    assert out.columns == df.columns
+    got = sorted((r["doc_id"], r["_id"], r["_md5"], r["_all"]) for r in out.collect())
+    assert got == [(0, 0, "keep", True), (2, 2, "keep", True), (4, 1, "keep", True)]
+
+
+def test_take_tells_rows_of_one_id_apart(spark):
+    long = "word " * 5000
+    rows = [(7, long, "a", "x"), (7, "one", "a", "x"), (None, long + "more", "a", "x"), (None, "two", "b", "x"), (None, None, "b", "x"), (8, "same text", "a", "1"), (8, "same text", "a", "2")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, digest string")
+    m = {(r["doc_id"], r["size"]): r["taken"] for r in mixing.mix(df).where("size > 2").collect()}
+    out = mixing.take(df).collect()
+    assert mixing.take(df).columns == df.columns
+    for i, n, text in ((7, 5000, long), (None, 5001, long + "more")):
+        times = sum(r["doc_id"] == i and r["text"] == text for r in out)
+        assert m[i, n] // n <= times <= -(-m[i, n] // n)
+    assert all(sum(r["doc_id"] == i and r["text"] == t for r in out) <= 2 for i, t in ((7, "one"), (None, "two")))
+    assert sum(r["text"] is None for r in out) == 1
+    assert mixing.take(df.limit(0)).count() == 0
