@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lacuna.functions import text
-from lacuna.operators import clean
+from lacuna.operators import clean, score
 from lacuna.plans import views
 from lacuna.plans.registry import query
 from lacuna.sources import ingest
+from lacuna.sources.tables import shared_dir
 
 
 def marked_pages(spark: SparkSession, d: str) -> DataFrame:
@@ -62,3 +65,80 @@ def feature_pair_queries(spark, d):
     """Flags of an order's lines as the labels of a case."""
     lines = views.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_returnflag", "l_linestatus"))).alias("a"))  # lines of one order
     return lines.select("k", F.array_join(text.pair_queries(F.transform("a", lambda x: F.concat(x["l_returnflag"], x["l_linestatus"]))), "|").alias("queries"))
+
+
+# --- responses of literature and patent sources, landed as JSON text ----------------------------------------
+
+
+def responses(spark: SparkSession, d: str, body: Column, where: str, schema: str, wrap: str) -> DataFrame:
+    """Pages of a kind as one landed response a jurisdiction, written as JSON text and read by a source's schema."""
+    at = f"{shared_dir(spark)}/landed-{uuid.uuid4().hex}"
+    k = views.kb(spark, d).where(where)
+    k.groupBy("jurisdiction").agg(F.to_json(F.struct(F.collect_list(body).alias("x"))).alias("j")).select(F.regexp_replace("j", r'^\{"x":', wrap).alias("value")).write.text(at)  # some hundred pages each
+    return spark.read.schema(schema).json(at)
+
+
+def scholar_rows(spark: SparkSession, d: str) -> DataFrame:
+    body = F.struct(F.col("publication_number").alias("paperId"), "title", "year", F.when(F.col("pos") % 3 > 0, "Journal").otherwise("").alias("venue"), F.when(F.col("pos") % 8 > 0, F.col("url")).alias("url"), F.substring("abstract", 1, 50).alias("abstract"),
+                    F.when(F.col("pos") % 4 == 0, F.concat(F.col("year").cast("string"), F.lit("-05-06"))).otherwise("unknown").alias("publicationDate"), F.array(F.struct(F.lit("A. Writer").alias("name")), F.struct(F.lit("").alias("name"))).alias("authors"))
+    return ingest.scholar(responses(spark, d, body, "type = 'paper'", ingest.SCHOLAR, '{"data":'))
+
+
+@query(f"WITH {views.KB} SELECT title, year, CASE WHEN pos % 3 > 0 THEN 'Journal' END AS venue, CASE WHEN pos % 8 > 0 THEN url ELSE 'https://www.semanticscholar.org/paper/' || publication_number END AS url, CASE WHEN pos % 4 = 0 THEN year || '-05-06' END AS date, 1 AS n_authors FROM kb WHERE type = 'paper'")
+def scholar_records(spark, d):
+    """Semantic Scholar responses (SRC3)."""
+    return scholar_rows(spark, d).select("title", "year", "venue", "url", "date", F.size("authors").alias("n_authors"))
+
+
+@query(f"""WITH {views.KB} SELECT publication_number, title, date, CAST(substr(date, 1, 4) AS INTEGER) AS year, jurisdiction, cpc FROM (
+    SELECT CASE WHEN pos % 3 = 0 THEN 'US' || (1000000 + pos) || 'B2' ELSE 'EP' || (2000000 + pos) || 'A1' END AS publication_number, title, year || '-03-04' AS date, CASE WHEN pos % 3 = 0 THEN 'US' ELSE 'EP' END AS jurisdiction,
+           CASE WHEN pos % 2 = 1 THEN 'H04L41/08' ELSE '' END || CASE WHEN pos % 2 = 1 THEN ';' ELSE '' END || 'H04W' || (pos % 9 + 1) || '/10' AS cpc FROM kb WHERE type = 'patent' AND pos % 7 > 0)""")
+def api_records(spark, d):
+    """Responses of a patent service (SRC7): zero padding of US numbers goes, rows without a number are left out."""
+    number = F.when(F.col("pos") % 7 == 0, F.lit("")).when(F.col("pos") % 3 == 0, F.concat(F.lit("US0"), (F.col("pos") + 1000000).cast("string"), F.lit("B2"))).otherwise(F.concat(F.lit("EP"), (F.col("pos") + 2000000).cast("string"), F.lit("A1")))
+    code = lambda c: F.struct(c.alias("keyValue"))
+    cpc = F.array(code(F.when(F.col("pos") % 2 == 1, F.lit(" H04L41/08 ")).otherwise("")), code(F.concat(F.lit("H04W"), (F.col("pos") % 9 + 1).cast("string"), F.lit("/10"))))
+    body = F.struct(F.struct(number.alias("doc-number"), F.concat(F.col("year").cast("string"), F.lit("0304")).alias("date")).alias("publication-reference"), F.struct(F.col("title").alias("title")).alias("patent-title"), F.struct(cpc.alias("cpc")).alias("classifications-cpc"))
+    out = ingest.patent_api(responses(spark, d, body, "type = 'patent'", ingest.PATENT_API, '{"hits":'))
+    return out.select("publication_number", "title", "date", "year", "jurisdiction", F.concat_ws(";", "cpc").alias("cpc"))
+
+
+@query("""SELECT 'EP' || o_orderkey || 'A1' AS publication_number, 'Title & ' || o_custkey AS title, 'Text of ' || o_orderpriority AS abstract, strftime(o_orderdate, '%Y-%m-%d') AS publication_date, 'EP' AS jurisdiction
+  FROM orders WHERE o_orderpriority <> '1-URGENT' AND o_orderstatus <> 'P'""")
+def patent_page_records(spark, d):
+    """Orders as landed pages of patents (SRC8); pages without an abstract or a date are left out."""
+    o = views.table(spark, d, "orders")
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    date = F.when(F.col("o_orderstatus") == "P", "").when(F.col("o_orderstatus") == "F", F.concat(F.lit('<time itemprop="publicationDate" datetime="'), day, F.lit('">x</time>'))).otherwise(F.concat(F.lit('<meta name="DC.date" content="'), day, F.lit('" scheme="issue">')))
+    text_ = F.when(F.col("o_orderpriority") == "1-URGENT", "").otherwise(F.concat(F.lit("<abstract lang='en'><p>Text of\n "), "o_orderpriority", F.lit("</p></abstract>")))
+    html = F.concat(F.lit('<html><meta name="DC.title" content="Title &amp; '), F.col("o_custkey").cast("string"), F.lit('">'), date, text_, F.lit("</html>"))
+    return ingest.patent_pages(o.select(F.concat(F.lit("EP"), F.col("o_orderkey").cast("string"), F.lit("A1")).alias("publication_number"), html.alias("html")))
+
+
+# --- cases as they come in ----------------------------------------------------------------------------------
+
+
+@query(f"""WITH {views.CODED}, c AS (SELECT p_partkey AS case_id, CASE WHEN p_size % 10 > 0 THEN 'US' || p_partkey || 'B1' END AS patent_id FROM part), n AS (SELECT pos, count(*) AS codes FROM cl GROUP BY 1)
+  SELECT case_id, patent_id, CASE WHEN patent_id IS NULL THEN 'missing reference' WHEN corp.pos IS NULL THEN 'unknown reference' END AS error, CASE WHEN patent_id IS NOT NULL AND corp.pos IS NOT NULL THEN CAST(o_orderdate AS DATE) END AS cutoff,
+         CASE WHEN patent_id IS NOT NULL AND corp.pos IS NOT NULL THEN coalesce(codes, 0) END AS n_features
+  FROM c LEFT JOIN corp ON corp.pos = case_id LEFT JOIN orders ON o_orderkey = corp.pos LEFT JOIN n ON n.pos = corp.pos""")
+def reference_cases(spark, d):
+    """Cases that name a record: its date as the cutoff and its codes as features, or what is wrong (JN11, FLT12)."""
+    c = views.table(spark, d, "part").select(F.col("p_partkey").alias("case_id"), F.when(F.col("p_size") % 10 > 0, F.concat(F.lit("US"), F.col("p_partkey").cast("string"), F.lit("B1"))).alias("patent_id"))
+    r = views.coded_corpus(spark, d).withColumns({"title": F.lit("t"), "abstract": F.lit("a"), "filing_date": F.lit(None).cast("date")})
+    out = score.reference_cases(c, r)
+    return out.select("case_id", "patent_id", "error", F.col("ref_date").alias("cutoff"), F.when(F.col("error").isNull(), F.size("code_features")).cast("long").alias("n_features"))
+
+
+@query("""WITH l AS (SELECT l_orderkey AS k, l_linenumber AS n, l_partkey AS p, l_returnflag || l_linestatus AS f FROM lineitem),
+  ok AS (SELECT k, n, p, row_number() OVER (PARTITION BY k ORDER BY n, p, f) AS r, least(16, n * 4) AS idlen, least(120, 50 * n) AS textlen, f FROM l WHERE n % 5 > 0 AND f <> 'RF')
+  SELECT o_orderkey AS case_id, CAST(count(ok.k) AS BIGINT) AS n_features, CAST(coalesce(sum(idlen), 0) AS BIGINT) AS id_chars, CAST(coalesce(sum(textlen), 0) AS BIGINT) AS text_chars
+  FROM orders LEFT JOIN ok ON ok.k = o_orderkey AND r <= 3 WHERE o_orderkey IN (SELECT k FROM l) GROUP BY 1""")
+def case_input_clean(spark, d):
+    """Features that callers send, of an order's lines: malformed ones go, then the first three stay, ids and texts cut (CLN14)."""
+    f = F.concat("l_returnflag", "l_linestatus")
+    sent = F.struct(F.when(F.col("l_linenumber") % 5 > 0, F.expr("repeat('F', cast(l_linenumber * 4 as int))")).alias("id"), F.when(f == "RF", "").otherwise(F.rpad(F.lit("x"), (50 * F.col("l_linenumber")).cast("int"), F.lit("y"))).alias("text"), F.lit(None).cast("string").alias("feature_id"))
+    rows = views.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("case_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", f.alias("f"), sent.alias("s")))), lambda x: x["s"]).alias("features"))  # lines of one order
+    out = score.clean_features(rows, 3)
+    chars = lambda name: F.aggregate("features", F.lit(0).cast("long"), lambda n, x: n + F.length(x[name]))
+    return out.select("case_id", F.size("features").cast("long").alias("n_features"), chars("id").alias("id_chars"), chars("text").alias("text_chars"))
