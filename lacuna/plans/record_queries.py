@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lacuna.functions import text
-from lacuna.operators import classes, clean
+from lacuna.operators import classes, clean, features, match
 from lacuna.operators import snowball as snow
 from lacuna.plans import views
 from lacuna.plans.registry import query
@@ -77,12 +77,20 @@ def page_urls(spark, d):
     return views.rec(spark, d).select("publication_number", text.page_url(F.col("publication_number")).alias("url"))
 
 
-@query(f"WITH {views.REC}, s AS (SELECT DISTINCT company_name AS label FROM rec WHERE company_name IS NOT NULL), p AS (SELECT unnest(['erin', 'thor', 'under']) AS core) SELECT DISTINCT label || ' ' || core AS topic FROM s, p")
+@query(f"""WITH {views.REC}, s AS (SELECT DISTINCT lower(company_name) AS label FROM rec WHERE company_name IS NOT NULL UNION SELECT * FROM (VALUES {', '.join(f"('{label.lower()}')" for _, label, _, _ in views.TAXONOMY)}) AS v(label)), p AS (SELECT unnest(['erin search', 'thor', 'under']) AS core)
+  SELECT core || ' ' || label AS topic FROM s, p WHERE NOT contains(label, split_part(core, ' ', 1)) UNION SELECT * FROM (VALUES {', '.join(f"('{(p + a)[0]}')" for _, _, p, a in views.TAXONOMY)}) AS v(topic)""")
 def topic_plan(spark, d):
-    """Labels times core topics, distinct (SCL19)."""
-    core = spark.createDataFrame([("erin",), ("thor",), ("under",)], "core string")
-    labels = views.rec(spark, d).where("company_name is not null").select(F.col("company_name").alias("label")).distinct()
-    return labels.join(F.broadcast(core), F.lit(True)).select(F.concat_ws(" ", "label", "core").alias("topic")).distinct()
+    """Topics to ask for: owners and the taxonomy's labels with core topics, and the features' first terms (SCL19)."""
+    tax = features.taxonomy_frame(spark, views.TAXONOMY)
+    owners = views.rec(spark, d).where("company_name is not null").select(F.col("company_name").alias("label"))
+    return match.topic_plan(owners.unionByName(tax.select("label")).distinct(), ["erin search", "thor", "under"], tax)
+
+
+@query(f"WITH {views.REC}, m AS (SELECT pos, abstract AS a, strpos(lower(abstract), 'erin') AS p FROM rec) SELECT pos, p > 0 AS has_term FROM m")
+def abstract_snippets(spark, d):
+    """Whether the piece that is shown of each abstract holds the term searched for (SCL6): it does where the abstract does."""
+    piece = text.abstract_snippet(F.col("abstract"), "(?i)erin")
+    return views.rec(spark, d).select("pos", F.lower(piece).contains("erin").alias("has_term"))
 
 
 @query(f"WITH {views.REC} SELECT pos, CASE WHEN length(t) BETWEEN 1 AND 100 THEN t END AS query FROM (SELECT pos, trim(regexp_replace(regexp_replace(coalesce(title, ''), '[\\x00-\\x1f\\x7f]', ' ', 'g'), '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS t FROM rec)")

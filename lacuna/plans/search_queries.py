@@ -174,6 +174,15 @@ def external_search(spark, d):
     return match.search(k, KQUERY, GROUPS).orderBy(F.desc("score"), F.desc("year"), "pos").limit(20).select("pos", "country", "score")
 
 
+@query(f"""WITH {KNORM}, h AS (SELECT jurisdiction FROM khit WHERE type = 'patent' AND year BETWEEN 2006 AND 2022)
+  SELECT country, count(*) AS n, (SELECT count(*) FROM h) AS total, (SELECT count(*) FROM kb WHERE type = 'patent') AS population FROM (SELECT jurisdiction AS country FROM h) GROUP BY 1""")
+def external_search_facets(spark, d):
+    """What stands beside a page of the store's search: hits by country, all hits, all patents (AGG31)."""
+    k = match.searchable(views.kb(spark, d).where("type = 'patent'"))
+    hits = match.search(match.knowledge_facets(k, 2006, 2022), KQUERY, GROUPS)
+    return match.facet_counts(hits, k, "country")
+
+
 # --- features ---------------------------------------------------------------------------------------------
 
 TAX = views.TAXONOMY
