@@ -70,14 +70,19 @@ def feature_pair_queries(spark, d):
 # --- responses of literature and patent sources, landed as JSON text ----------------------------------------
 
 
-def responses(spark: SparkSession, d: str, body: Column, where: str, schema: str, wrap: str) -> DataFrame:
-    """Pages of a kind as one landed response a jurisdiction, written as JSON text and read by a source's schema."""
+def landed(spark: SparkSession, rows: DataFrame, body: Column, schema: str, wrap: str, end: str = "") -> DataFrame:
+    """Rows (pos, jurisdiction, ...) as responses of at most 500 each, written as JSON text and read by a source's schema."""
     at = f"{shared_dir(spark)}/landed-{uuid.uuid4().hex}"
-    k = views.kb(spark, d).where(where)
-    k.groupBy("jurisdiction").agg(F.to_json(F.struct(F.collect_list(body).alias("x"))).alias("j")).select(F.regexp_replace("j", r'^\{"x":', wrap).alias("value")).write.text(at)  # some hundred pages each
+    j = rows.groupBy("jurisdiction", F.expr("pos div 500")).agg(F.to_json(F.struct(F.collect_list(body).alias("x"))).alias("j"))  # a page of results
+    j.select(F.concat(F.regexp_replace("j", r'^\{"x":', wrap), F.lit(end)).alias("value")).write.text(at)
     return spark.read.schema(schema).json(at)
 
 
+def responses(spark: SparkSession, d: str, body: Column, where: str, schema: str, wrap: str, end: str = "") -> DataFrame:
+    """Pages of a kind as landed responses."""
+    return landed(spark, views.kb(spark, d).where(where), body, schema, wrap, end)
+
+
 def scholar_rows(spark: SparkSession, d: str) -> DataFrame:
     body = F.struct(F.col("publication_number").alias("paperId"), "title", "year", F.when(F.col("pos") % 3 > 0, "Journal").otherwise("").alias("venue"), F.when(F.col("pos") % 8 > 0, F.col("url")).alias("url"), F.substring("abstract", 1, 50).alias("abstract"),
                     F.when(F.col("pos") % 4 == 0, F.concat(F.col("year").cast("string"), F.lit("-05-06"))).otherwise("unknown").alias("publicationDate"), F.array(F.struct(F.lit("A. Writer").alias("name")), F.struct(F.lit("").alias("name"))).alias("authors"))
@@ -89,6 +94,56 @@ def scholar_records(spark, d):
     """Semantic Scholar responses (SRC3)."""
     return scholar_rows(spark, d).select("title", "year", "venue", "url", "date", F.size("authors").alias("n_authors"))
 
+@query(f"""WITH {views.KB} SELECT title, year, CASE WHEN pos % 4 > 0 THEN 'Proceedings' END AS venue, CASE WHEN pos % 8 > 0 THEN url ELSE 'https://doi.org/10.1/' || pos END AS url, '10.1/' || pos AS doi,
+    CASE WHEN pos % 3 = 0 THEN year || '-05-0' || (pos % 9 + 1) END AS date, CASE WHEN pos % 5 = 0 THEN 'A. Writer;Group' ELSE 'A. Writer' END AS authors
+  FROM kb WHERE type = 'paper' AND title <> '' AND pos % 14 > 0""")
+def crossref_records(spark, d):
+    """Crossref responses (SRC4): a date needs all three parts, rows without a title go, names are joined."""
+    part = lambda n: F.array(F.col("year"), F.lit(5), (F.col("pos") % 9 + 1).cast("int")) if n == 3 else F.slice(F.array(F.col("year"), F.lit(5)), 1, n)
+    issued = F.when(F.col("pos") % 3 == 0, part(3)).when(F.col("pos") % 3 == 1, part(2)).otherwise(part(1))
+    writer = F.struct(F.lit("A.").alias("given"), F.lit("Writer").alias("family"))
+    group = F.struct(F.lit(None).cast("string").alias("given"), F.lit("Group").alias("family"))
+    blank = F.expr("cast(array() as array<string>)")
+    body = F.struct(
+        F.when(F.col("pos") % 14 == 0, blank).otherwise(F.array("title")).alias("title"), F.when(F.col("pos") % 4 > 0, F.array(F.lit("Proceedings"))).otherwise(blank).alias("container-title"),
+        F.when(F.col("pos") % 8 > 0, F.col("url")).alias("URL"), F.concat(F.lit("10.1/"), F.col("pos").cast("string")).alias("DOI"), "abstract",
+        F.struct(F.array(issued).alias("date-parts")).alias("issued"), F.when(F.col("pos") % 5 == 0, F.array(writer, group)).otherwise(F.array(writer)).alias("author"),
+    )
+    out = ingest.crossref(responses(spark, d, body, "type = 'paper'", ingest.CROSSREF, '{"message":{"items":', "}"))
+    return out.select("title", "year", "venue", "url", "doi", "date", F.array_join("authors", ";").alias("authors"))
+
+
+@query(f"""WITH {views.KB} SELECT title, year, 'https://arxiv.org/abs/' || pos AS url, abstract, CASE WHEN pos % 3 > 0 THEN year || '-05-06' END AS date FROM kb WHERE type = 'paper' AND title <> ''""")
+def arxiv_records(spark, d):
+    """Atom feeds (SRC5): white space squeezed, ids under https, dates from the time of publication."""
+    at = f"{shared_dir(spark)}/landed-{uuid.uuid4().hex}"
+    safe = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    published = F.concat(F.col("year").cast("string"), F.when(F.col("pos") % 3 > 0, "-05-06T00:00:00Z").otherwise(""))
+    entry = F.concat(
+        F.lit("<entry><id> http://arxiv.org/abs/"), F.col("pos").cast("string"), F.lit("</id><title>  "), F.replace(safe(F.col("title")), F.lit(" "), F.lit("  ")), F.lit(" </title><summary> "),
+        F.replace(safe(F.col("abstract")), F.lit(" "), F.lit("\t ")), F.lit("</summary><published>"), published, F.lit("</published></entry>"),
+    )
+    feeds = views.kb(spark, d).where("type = 'paper'").groupBy(F.expr("pos div 500")).agg(F.concat(F.lit("<feed>"), F.array_join(F.collect_list(entry), ""), F.lit("</feed>")).alias("value"))
+    feeds.select("value").write.option("maxRecordsPerFile", 1).text(at)  # a file is one feed
+    return ingest.arxiv(spark, at).select("title", "year", "url", "abstract", "date")
+
+
+@query(f"""WITH {views.KB} SELECT title, year, CASE WHEN pos % 3 > 0 THEN 'Journal' END AS venue, CASE WHEN pos % 8 > 0 THEN 'https://doi.org/10.1/' || pos ELSE 'https://openalex.org/W' || pos END AS url, abstract,
+    CASE WHEN pos % 8 > 0 THEN 'https://doi.org/10.1/' || pos END AS doi, year || '-07-01' AS date, 'A. Writer' AS authors, cited_by FROM kb WHERE type = 'paper'""")
+def openalex_records(spark, d):
+    """OpenAlex responses (SRC6): abstracts come as words with their places and are put together again."""
+    k = views.kb(spark, d).where("type = 'paper'")
+    w = k.select("pos", F.posexplode(F.split("abstract", " ")).alias("p", "w")).groupBy("pos", "w").agg(F.collect_list("p").alias("ps"))
+    index = w.groupBy("pos").agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("inverted"))  # words of one page
+    person = lambda c: F.struct(F.struct(c.alias("display_name")).alias("author"))
+    body = F.struct(
+        F.concat(F.lit("https://openalex.org/W"), F.col("pos").cast("string")).alias("id"), F.when(F.col("pos") % 8 > 0, F.concat(F.lit("https://doi.org/10.1/"), F.col("pos").cast("string"))).alias("doi"), "title",
+        F.col("year").alias("publication_year"), F.concat(F.col("year").cast("string"), F.lit("-07-01")).alias("publication_date"), F.col("cited_by").alias("cited_by_count"), F.col("inverted").alias("abstract_inverted_index"),
+        F.array(person(F.lit("A. Writer")), person(F.lit(None).cast("string"))).alias("authorships"), F.when(F.col("pos") % 3 > 0, F.struct(F.struct(F.lit("Journal").alias("display_name")).alias("source"))).alias("primary_location"),
+    )
+    out = ingest.openalex(landed(spark, k.join(index, "pos"), body, ingest.OPENALEX, '{"results":'))
+    return out.select("title", "year", "venue", "url", "abstract", "doi", "date", F.array_join("authors", ";").alias("authors"), "cited_by")
+
 
 @query(f"""WITH {views.KB} SELECT publication_number, title, date, CAST(substr(date, 1, 4) AS INTEGER) AS year, jurisdiction, cpc FROM (
     SELECT CASE WHEN pos % 3 = 0 THEN 'US' || (1000000 + pos) || 'B2' ELSE 'EP' || (2000000 + pos) || 'A1' END AS publication_number, title, year || '-03-04' AS date, CASE WHEN pos % 3 = 0 THEN 'US' ELSE 'EP' END AS jurisdiction,
