@@ -87,3 +87,34 @@ def test_write_back_is_idempotent(spark, tmp_path):
     assert run() == ["a", "b"]
     put([("b", "2024-01-01 05:00", 4), ("c", "2024-01-01 06:00", 5), ("d", "2024-01-01 07:00", 6), ("e", "2024-01-02", 7)])
     assert run() == ["a", "b", "c", "e"]
+
+
+def test_cases_and_records_meet_as_classes(spark):
+    """Matches by classes are those of comparing all rows, for more features than a word of bits holds."""
+    import random
+
+    draw = random.Random(5)
+    own = {c: draw.sample(range(90), 8) for c in range(30)} | {30: [], 31: [3]}
+    docs = {p: draw.sample(range(90), draw.randrange(30)) for p in range(300)}
+    docs |= {p: docs[p % 7] for p in range(300, 340)}
+    day = lambda n: f"20{n % 20 + 10}-0{n % 9 + 1}-15"
+    f = spark.createDataFrame([(c, f"f{x}") for c in own for x in own[c]] + [(2, None)], "case_id long, feature_id string")
+    d = spark.createDataFrame([(p, f"f{x}") for p in docs for x in docs[p]], "pos long, feature_id string")
+    cases = spark.createDataFrame([(c, day(c)) for c in own], "case_id long, cutoff string").withColumn("cutoff", F.to_date("cutoff"))
+    records = spark.createDataFrame([(p, None if p % 50 == 0 else day(p), f"J{p % 3}", f"A{p % 4}", p % 6) for p in docs], "pos long, publication_date string, jurisdiction string, company_name string, year int")
+    records = records.withColumns({"publication_date": F.to_date("publication_date"), "assignees": F.array("company_name")})
+    want = {(c, p) for c in own for p in docs if len(set(own[c]) & set(docs[p])) >= 2 and p % 50 and day(p) <= day(c)}
+    s = score.Shared(f, d)
+    assert len(s.words) == 2
+    got = [tuple(r) for r in s.matched(cases, records).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    cells = {}
+    for c, p in want:
+        cells.setdefault((c, int(day(p)[:4]), f"J{p % 3}", f"A{p % 4}"), []).append(p)
+    assert {tuple(r) for r in s.matched_counts(cases, records).select("case_id", "year", "jurisdiction", "applicant", "n", "pos").collect()} == {(*k, len(v), min(v)) for k, v in cells.items()}
+    years = {}
+    for c in own:
+        for p in docs:
+            if set(own[c]) & set(docs[p]):
+                years[c, p % 6] = years.get((c, p % 6), 0) + 1
+    assert {tuple(r) for r in s.year_counts(records).collect()} == {(*k, n) for k, n in years.items()}
