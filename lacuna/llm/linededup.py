@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lacuna.llm.common import components, cut, join_keys
@@ -11,8 +11,10 @@ from lacuna.llm.common import components, cut, join_keys
 BLOCKS = 7
 #: Words of more characters than this are features, if there are three of them; else all words are.
 SHORT = 3
-#: Broadcast only up to this many rows of at most three longs; beyond it, the join shuffles.
-SMALL = 400_000
+#: Lines that occur so often are taken once before their keys are made.
+OFTEN = 1000
+#: Lines of a bucket that meet at once.
+TILE = 512
 
 
 #: Set in the features of words that aren't longer than SHORT; bits of a feature that tell words apart, below those of its order.
@@ -128,6 +130,40 @@ def similar(least: float) -> Column:
     return F.expr(f"least(a_n, b_n) >= {least} * greatest(a_n, b_n) - 1e-9 and case when greatest(a_n, b_n) > {LONG} and not (a_dense and b_dense and (a_densest or b_densest)) then {within('words')} when greatest(a_n, b_n) > {HUGE} then {within('pieces')} else {within('chars')} end")
 
 
+def once_if_often(lines: DataFrame) -> DataFrame:
+    """(h, norm) of lines, those that occur OFTEN times or more once, so that none of them fills a task further on."""
+    often = F.broadcast(lines.groupBy("h").agg(F.count("*").alias("_c")).where(F.col("_c") >= OFTEN).select("h"))  # at most one in OFTEN lines
+    return lines.join(often, "h", "left_anti").select("h", "norm").unionByName(lines.join(often, "h", "left_semi").groupBy("h").agg(F.first("norm").alias("norm")))
+
+
+def bucketed(keyed: DataFrame) -> DataFrame:
+    """(h, n, key) with repeats -> (key, h, n, head, head_n): each line of each bucket of two lines or more once, head the bucket's smallest.
+    One shuffle, whatever the size; a bucket is sorted, spilling if it must, never held whole."""
+    w = Window.partitionBy("key")
+    by = w.orderBy("h")
+    out = keyed.withColumns({"_before": F.lag("h").over(by), "head_n": F.first("n").over(by), "head": F.min("h").over(w), "_last": F.max("h").over(w)})
+    return out.where("head <> _last and (_before is null or _before <> h)").select("key", "h", "n", "head", "head_n")
+
+
+def apart(buckets: DataFrame, root: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """(a, b): of each bucket's lines all pairs that are in different components of root (node, root) and similar.
+
+    A bucket is dealt by length into tiles of TILE lines, and tiles whose lengths can't agree don't meet. Pairs are compared where
+    two tiles meet, with texts (h, forms...), so that only similar ones are rows: no task takes a bucket whole, what is shuffled are lines, and
+    lines that are connected already aren't compared."""
+    w = Window.partitionBy("key")
+    own = buckets.select("key", "h", "n").join(root, F.col("h") == F.col("node"), "left").select("key", "h", "n", F.coalesce("root", "h").alias("root"))
+    own = own.withColumns({"_lo": F.min("root").over(w), "_hi": F.max("root").over(w), "_no": F.row_number().over(w.orderBy("n", "h")) - 1}).where("_lo <> _hi")
+    own = cut(own.select("key", F.floor(F.col("_no") / TILE).alias("tile"), "h", "n", "root"))
+    tiles = own.groupBy("key", "tile").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    side = lambda df, k: df.select("key", *[F.col(c).alias(f"{k}_{c}") for c in df.columns if c != "key"])
+    meet = side(tiles, "a").join(side(tiles, "b"), "key").where((F.col("a_tile") == F.col("b_tile")) | (F.col("a_tile") < F.col("b_tile")) & comparable("a_hi", "b_lo", least))
+    full = own.drop("n").hint("shuffle_merge").join(texts, "h")
+    pairs = meet.select("key", "a_tile", "b_tile").hint("shuffle_merge").join(side(full, "a"), ["key", "a_tile"]).hint("shuffle_merge").join(side(full, "b"), ["key", "b_tile"])
+    pairs = pairs.where("a_root <> b_root and (a_tile < b_tile or a_h < b_h)").where(similar(least))
+    return pairs.select(F.col("a_h").alias("a"), F.col("b_h").alias("b")).distinct()
+
+
 def fuzzy_lines(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(rows, stay): rows has (o: the id, x: a digest of the text, text, more: the other columns), stay (o, x, pos): the
     one occurrence of each connected group of lines, the first by id, digest and place. See dedup_lines.
@@ -135,37 +171,19 @@ def fuzzy_lines(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", tex
     others = [F.col(c) for c in docs.columns if c not in (id_col, text_col)]
     rows = docs.select(F.col(id_col).alias("o"), F.xxhash64(text_col).alias("x"), F.col(text_col).alias("text"), F.struct(*others).alias("more") if others else F.lit(None).alias("more"))
     lines = cut(lines_of(rows.where("text is not null")))
-    # equal forms are one from here on: of each its least hash is all that the keys carry
-    keyed = cut(keys(lines.select("h", "norm")))
-    first_of = lambda df: df.groupBy("key").agg(F.min(F.struct("h", "n")).alias("m"), F.max("h").alias("last")).where("m.h <> last").select("key", F.col("m.h").alias("head"), F.col("m.n").alias("head_n"))
-    heads = cut(first_of(keyed))
-    small = F.broadcast if heads.count() <= SMALL else (lambda x: x)
-    members = cut(keyed.join(small(heads), "key").where("h <> head").distinct())
-
-    def check(pairs: DataFrame) -> DataFrame:
-        """(a, b) -> those whose edit similarity is enough. Only their lines are read again."""
-        ids = cut(pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h"))).distinct())
-        small = F.broadcast if ids.count() <= SMALL else (lambda x: x)
-        texts = lines.join(small(ids), "h", "left_semi").groupBy("h").agg(F.first("norm").alias("norm"))
-        texts = cut(texts.select("h", *forms(F.col("norm"))))
-        side = lambda k: texts.select(F.col("h").alias(k), *[F.col(c).alias(f"{k}_{c}") for c in ("n", "dense", "densest", "chars", "words", "pieces")])
-        return pairs.join(side("a"), "a").join(side("b"), "b").where(similar(least)).select("a", "b")
+    buckets = cut(bucketed(keys(once_if_often(lines))))
+    # the texts of lines that share a key with another, read once for both rounds
+    ids = buckets.select("h").distinct()
+    texts = lines.select("h", "norm").hint("shuffle_merge").join(ids, "h", "left_semi").groupBy("h").agg(F.first("norm").alias("norm"))
+    texts = cut(texts.select("h", *forms(F.col("norm"))))
 
+    side = lambda k: texts.select(F.col("h").alias(k), *[F.col(c).alias(f"{k}_{c}") for c in texts.columns if c != "h"])
     # every member against its bucket's smallest
-    # lengths tell most unlike ones apart before any text is read
-    pairs_of = lambda df: df.where(comparable("head_n", "n", least)).select(F.col("head").alias("a"), F.col("h").alias("b")).distinct()
-    like = cut(check(cut(pairs_of(members))))
-    # where these links, of whatever bucket, leave members unconnected with their smallest, the bucket is divided by
-    # what else its lines share: each two keys of a line are one, and again every member meets the smallest
-    root = cut(components(like.select(F.col("a").alias("u"), F.col("b").alias("v"))))
-    rooted = lambda df, h: df.join(root.select(F.col("node").alias(h), F.col("root").alias(f"_{h}")), h, "left").withColumn(f"{h}_root", F.coalesce(f"_{h}", h)).drop(f"_{h}")
-    mixed = rooted(rooted(members, "h"), "head").where("h_root <> head_root").select("key").distinct()
-    own = cut(keyed.join(mixed, "key", "left_semi").distinct())
-    finer = own.join(own.select("h", F.col("key").alias("key2")), "h").where("key < key2").select("h", "n", F.xxhash64("key", "key2").alias("key"))
-    finer = cut(finer)
-    found = finer.join(first_of(finer), "key").where("h <> head")
-    found = rooted(rooted(found, "h"), "head").where("h_root <> head_root")
-    like = like.unionByName(cut(check(cut(pairs_of(found)))))
+    stars = buckets.where("h <> head").where(comparable("head_n", "n", least)).select(F.col("head").alias("a"), F.col("h").alias("b")).distinct()
+    like = cut(stars.hint("shuffle_merge").join(side("a"), "a").hint("shuffle_merge").join(side("b"), "b").where(similar(least)).select("a", "b"))
+    # where these links, of whatever bucket, leave members of a bucket unconnected, all its pairs that are apart are compared
+    root = components(like.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    like = like.unionByName(cut(apart(buckets, root, texts, least)))
     group = components(like.select(F.col("a").alias("u"), F.col("b").alias("v")))
     group = cut(group.unionByName(group.select(F.col("root").alias("node"), "root").distinct()).distinct())
     first = lambda df, by: df.groupBy(by).agg(F.min(F.struct(F.col("o").isNull().alias("none"), "o", "x", "pos")).alias("k"))
@@ -184,10 +202,10 @@ def dedup_lines(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", tex
     words for lines over LONG characters, if they have spaces). Of each connected group the first occurrence stays, by doc_id, then text,
     then place.
 
-    A bucket of any size gives a comparison with its smallest member each; buckets whose members these links
-    leave unconnected are divided by a second key, with again one comparison each. So like and unlike lines that
-    share a key cost rows in proportion to their number, never pairs; a pair that shares one key only and
-    whose bucket's smallest is like neither is not found (part of the recall in the README). Smallest members are combined before the shuffle. Lines that
+    A bucket's lines are each compared with its smallest; where these links leave lines of a bucket unconnected, all pairs of it
+    that are apart are compared (`apart`). So no pair that shares a key is left out, and like lines that share one cost rows
+    in proportion to their number; of unlike ones the comparisons grow with the square of a bucket, in tiles, the rows don't. A pair
+    that shares no key is not found (part of the recall in the README). Lines that
     occur in very many documents are one row with one kept place and are never joined back by their hash.
 
     Null text stays null with 0 lines. Repeated rows (same id and text) come back alike, with the same kept

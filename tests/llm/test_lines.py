@@ -125,3 +125,40 @@ def test_log_lines(spark):
         tail = f"session {r.getrandbits(48):x} user {r.getrandbits(40):x} path {' '.join(long_words(r, 9, 6))}"
         pairs.append((f"{head} {tail} took 17ms", f"{head} {tail} took 18ms"))
     assert share_found(spark, pairs) >= 0.9
+
+
+def test_no_link_within_a_bucket_is_left_out(spark):
+    """Lines of templates, each pair with a letter changed in all its own words: what shares a key and is alike is connected,
+    whichever line is its bucket's smallest, in buckets of one tile and of many."""
+    r = random.Random(24)
+    form = [long_words(r, 5, 11) for _ in range(2)]
+    texts = []
+    for g in range(120):
+        own = long_words(r, 8, 5)
+        texts += [" ".join(form[g % 2] + [w[:3] + r.choice("0123456789") + w[4:] for w in own]) for _ in range(2)]
+    texts += texts[:10]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    lines = linededup.lines_of(df.selectExpr("doc_id as o", "0 as x", "text"))
+    buckets = {}
+    for x in linededup.keys(lines.select("h", "norm")).join(lines.select("h", "o"), "h").collect():
+        buckets.setdefault(x["key"], set()).add(x["o"])
+    pairs = {(a, b) for among in buckets.values() for a in among for b in among if a < b}
+    links = [(a, b) for a, b in pairs if edits(texts[a], texts[b]) <= 0.2 * max(len(texts[a]), len(texts[b]))]
+    assert len(links) > 50
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in links:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    want = {i for i in range(len(texts)) if find(i) == i}
+    for tile in (512, 7):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(linededup, "TILE", tile, raising=False)
+            m.setattr(linededup, "OFTEN", 2 if tile == 7 else 1000, raising=False)
+            out = linededup.dedup_lines(df).collect()
+        assert {x["doc_id"] for x in out if x["n_kept"]} == want
