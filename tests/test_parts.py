@@ -67,6 +67,27 @@ def test_only_words_of_terms_leave_their_row(spark):
     assert got == {0: ["network of", "network slicing", "slices", "under"], 1: [], 2: [], 3: ["under", "underneath"]}
 
 
+def test_document_terms_deal_texts_once(spark, monkeypatch):
+    texts = ["alpha alpha beta", "beta gamma delta delta delta", "", None, "omega alpha gamma"]
+    cases = spark.createDataFrame(list(enumerate(texts)), "case_id long, text string")
+    count = {"alpha": 2, "beta": 2, "gamma": 2, "delta": 1}
+    df = spark.createDataFrame(list(count.items()), "token string, df long")
+    total = spark.createDataFrame([(5,)], "N long")
+    got = {}
+    for few in (500_000, 0):
+        monkeypatch.setattr(features, "FEW_TOKENS", few, raising=False)
+        out = features.document_terms(cases, df, total, 2)
+        got[few] = sorted((r["case_id"], r["rank"], r["token"], round(r["weight"], 9)) for r in out.collect())
+        if few:
+            dealt = re.findall(r"hashpartitioning\(([^)]*)\)", out._jdf.queryExecution().executedPlan().toString())
+            assert dealt and not any("token" in d for d in dealt)  # by case alone
+    want = []
+    for case, t in enumerate(texts):
+        w = {x: (1 + math.log((t or "").split().count(x))) * math.log(5 / count[x]) for x in set((t or "").split()) & set(count)}
+        want += [(case, n, x, round(w[x], 9)) for n, x in enumerate(sorted(w, key=lambda x: (-round(w[x], 9), x))[:2], 1)]
+    assert got[0] == got[500_000] == sorted(want)
+
+
 def test_longest_phrase_first():
     groups = [["VNF", "virtualised network function", "vnf"], ["NFV", "network function virtualization", "nfv"], ["slicing", "slicing"]]
     labels = lambda q: [c.label for c in match.parse(q, groups)]
