@@ -11,8 +11,6 @@ from lacuna.llm.common import components, cut, join_keys
 BLOCKS = 7
 #: Words of more characters than this are features, if there are three of them; else all words are.
 SHORT = 3
-#: Lines that occur so often are taken once before their keys are made.
-OFTEN = 1000
 #: Lines of a bucket that meet at once.
 TILE = 512
 
@@ -59,15 +57,20 @@ def keys(lines: DataFrame) -> DataFrame:
     All this depends on the line alone.
     """
     # step by step, so that nothing is worked out twice; a feature is the word's place in its top bits, its hash below
-    def ranked(w: Column) -> Column:
+    def ranked(w: Column, low: int) -> Column:
         h = F.xxhash64(w)
         u = (F.shiftrightunsigned(h, 11) + 1) * (2.0**-53)
         place = F.least(F.floor(-F.log(u) / F.sqrt(F.length(w)) * float(1 << 16)), F.lit((1 << 22) - 1))
-        return F.when(F.length(w) > SHORT, F.lit(0)).otherwise(F.lit(LOW)).cast("long") + F.shiftleft(place, OWN) + F.pmod(h, F.lit(1 << OWN))
+        return F.shiftleft(place, OWN) + F.pmod(h, F.lit(1 << OWN)) + F.lit(low)
 
-    rows = lines.select("h", "norm", F.slice(F.sort_array(F.array_distinct(F.transform(F.split("norm", " "), ranked))), 1, BLOCKS + 2).alias("every"))
-    rows = rows.select("h", "norm", "every", F.filter("every", lambda v: v < F.lit(LOW)).alias("long"))
-    rows = rows.select("h", "norm", F.when(F.size("long") >= 3, F.col("long")).otherwise(F.col("every")).alias("f"))
+    def first(words: Column, rank) -> Column:
+        return F.slice(F.sort_array(F.array_distinct(F.transform(words, rank))), 1, BLOCKS + 2)
+
+    # short words get their places only in lines of fewer than three longer ones
+    words = F.split("norm", " ")
+    rows = lines.select("h", "norm", first(F.filter(words, lambda w: F.length(w) > SHORT), lambda w: ranked(w, 0)).alias("long"))
+    every = first(words, lambda w: F.when(F.length(w) > SHORT, ranked(w, 0)).otherwise(ranked(w, LOW)))
+    rows = rows.select("h", "norm", F.when(F.size("long") >= 3, F.col("long")).otherwise(every).alias("f"))
     rows = rows.select("h", F.length("norm").alias("n"), "f", F.when(F.size("f") < 5, F.split(F.concat(F.lit(" "), "norm", F.lit(" ")), "")).alias("c"))
 
     def grams(k: int) -> Column:
@@ -98,6 +101,10 @@ HUGE = 20_000
 ENDS = r"(?<=[aeo05\u0430\u043e\u0627\u0644\u0915\u0930\u0e01\u0e23\u3042-\u3046\u3099-\u309f\u30a2-\u30a6" + "".join(f"\\u{c:04x}-\\u{c + 20:04x}" for c in range(0x4E00, 0x9F80, 128)) + "".join(f"\\u{c:04x}-\\u{c + 20:04x}" for c in range(0xAC00, 0xD780, 128)) + "])"
 
 
+#: Characters left out of a line's core, the short form that is compared before the whole line.
+COMMON = " aeion"
+
+
 def forms(norm: Column) -> list[Column]:
     """What the comparison needs of a line: its length, whether it is dense; its characters if they may be compared; its words and,
     of long dense lines, its pieces, one character each, if these may be. A word's character is drawn by its hash
@@ -108,7 +115,7 @@ def forms(norm: Column) -> list[Column]:
     words = n - F.length(F.replace(norm, F.lit(" "), F.lit(""))) + 1
     dense = (n > LONG / 1.25) & (n > DENSE * words)
     return [
-        n.alias("n"), dense.alias("dense"), (dense & (n > DENSEST * words)).alias("densest"), F.when((n <= LONG * 1.25) | (dense & (n <= HUGE * 1.25)), norm).alias("chars"),
+        F.translate(norm, COMMON, "").alias("core"), n.alias("n"), dense.alias("dense"), (dense & (n > DENSEST * words)).alias("densest"), F.when((n <= LONG * 1.25) | (dense & (n <= HUGE * 1.25)), norm).alias("chars"),
         F.when(n > LONG / 1.25, coded(F.split(norm, " "))).alias("words"), F.when(dense & (n > HUGE / 1.25), coded(F.split(norm, ENDS))).alias("pieces"),
     ]
 
@@ -127,41 +134,46 @@ def similar(least: float) -> Column:
         most = f"cast(floor(greatest(length(a_{unit}), length(b_{unit})) * {round(1 - least, 6)} + 1e-9) as int)"
         return f"levenshtein(a_{unit}, b_{unit}, {most}) >= 0"
 
-    return F.expr(f"least(a_n, b_n) >= {least} * greatest(a_n, b_n) - 1e-9 and case when greatest(a_n, b_n) > {LONG} and not (a_dense and b_dense and (a_densest or b_densest)) then {within('words')} when greatest(a_n, b_n) > {HUGE} then {within('pieces')} else {within('chars')} end")
+    # each edit of the lines is at most one of their cores, so these, shorter, can't be further apart
+    most = f"cast(floor(greatest(a_n, b_n) * {round(1 - least, 6)} + 1e-9) as int)"
+    chars = f"(levenshtein(a_core, b_core, {most}) >= 0 and {within('chars')})"
+    return F.expr(f"least(a_n, b_n) >= {least} * greatest(a_n, b_n) - 1e-9 and case when greatest(a_n, b_n) > {LONG} and not (a_dense and b_dense and (a_densest or b_densest)) then {within('words')} when greatest(a_n, b_n) > {HUGE} then {within('pieces')} else {chars} end")
 
 
-def once_if_often(lines: DataFrame) -> DataFrame:
-    """(h, norm) of lines, those that occur OFTEN times or more once, so that none of them fills a task further on."""
-    often = F.broadcast(lines.groupBy("h").agg(F.count("*").alias("_c")).where(F.col("_c") >= OFTEN).select("h"))  # at most one in OFTEN lines
-    return lines.join(often, "h", "left_anti").select("h", "norm").unionByName(lines.join(often, "h", "left_semi").groupBy("h").agg(F.first("norm").alias("norm")))
+def each_once(lines: DataFrame) -> DataFrame:
+    """lines_of -> (h, norm, k): each normal form once, k where it occurs first. Repeats meet in their own task before anything
+    is dealt, so a line that is in very many documents fills no task."""
+    return lines.groupBy("h").agg(F.first("norm").alias("norm"), F.min(F.struct(F.col("o").isNull().alias("none"), "o", "x", "pos")).alias("k"))
 
 
 def bucketed(keyed: DataFrame) -> DataFrame:
-    """(h, n, key) with repeats -> (key, h, n, head, head_n): each line of each bucket of two lines or more once, head the bucket's smallest.
+    """(h, n, key), each once -> (key, h, n, head, head_n): the lines of each bucket of two or more, head the bucket's smallest.
     One shuffle, whatever the size; a bucket is sorted, spilling if it must, never held whole."""
-    w = Window.partitionBy("key")
-    by = w.orderBy("h")
-    out = keyed.withColumns({"_before": F.lag("h").over(by), "head_n": F.first("n").over(by), "head": F.min("h").over(w), "_last": F.max("h").over(w)})
-    return out.where("head <> _last and (_before is null or _before <> h)").select("key", "h", "n", "head", "head_n")
+    by = Window.partitionBy("key").orderBy("h")
+    out = keyed.withColumns({"_before": F.lag("h").over(by), "_after": F.lead("h").over(by), "head": F.first("h").over(by), "head_n": F.first("n").over(by)})
+    return out.where("_before is not null or _after is not null").select("key", "h", "n", "head", "head_n")
 
 
 def apart(buckets: DataFrame, root: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """(a, b): of each bucket's lines all pairs that are in different components of root (node, root) and similar.
+    """(a, b): of each bucket's lines but its head, which has met them all, all pairs that are in different components of root
+    (node, root) and similar, each pair once, in the smallest of the buckets that both are in.
 
     A bucket is dealt by length into tiles of TILE lines, and tiles whose lengths can't agree don't meet. Pairs are compared where
     two tiles meet, with texts (h, forms...), so that only similar ones are rows: no task takes a bucket whole, what is shuffled are lines, and
     lines that are connected already aren't compared."""
     w = Window.partitionBy("key")
-    own = buckets.select("key", "h", "n").join(root, F.col("h") == F.col("node"), "left").select("key", "h", "n", F.coalesce("root", "h").alias("root"))
+    own = buckets.where("h <> head").select("key", "h", "n").join(root, F.col("h") == F.col("node"), "left").select("key", "h", "n", F.coalesce("root", "h").alias("root"))
     own = own.withColumns({"_lo": F.min("root").over(w), "_hi": F.max("root").over(w), "_no": F.row_number().over(w.orderBy("n", "h")) - 1}).where("_lo <> _hi")
     own = cut(own.select("key", F.floor(F.col("_no") / TILE).alias("tile"), "h", "n", "root"))
     tiles = own.groupBy("key", "tile").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     side = lambda df, k: df.select("key", *[F.col(c).alias(f"{k}_{c}") for c in df.columns if c != "key"])
     meet = side(tiles, "a").join(side(tiles, "b"), "key").where((F.col("a_tile") == F.col("b_tile")) | (F.col("a_tile") < F.col("b_tile")) & comparable("a_hi", "b_lo", least))
-    full = own.drop("n").hint("shuffle_merge").join(texts, "h")
+    of = own.groupBy("h").agg(F.collect_list("key").alias("keys"))  # at most as many as a line has blocks
+    full = own.drop("n").hint("shuffle_merge").join(texts, "h").hint("shuffle_merge").join(of, "h")
     pairs = meet.select("key", "a_tile", "b_tile").hint("shuffle_merge").join(side(full, "a"), ["key", "a_tile"]).hint("shuffle_merge").join(side(full, "b"), ["key", "b_tile"])
-    pairs = pairs.where("a_root <> b_root and (a_tile < b_tile or a_h < b_h)").where(similar(least))
-    return pairs.select(F.col("a_h").alias("a"), F.col("b_h").alias("b")).distinct()
+    pairs = pairs.where("a_root <> b_root and (a_tile < b_tile or a_h < b_h)").where(comparable("a_n", "b_n", least))
+    pairs = pairs.where("key = array_min(array_intersect(a_keys, b_keys))").where(similar(least))
+    return pairs.select(F.col("a_h").alias("a"), F.col("b_h").alias("b"))
 
 
 def fuzzy_lines(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -170,11 +182,10 @@ def fuzzy_lines(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", tex
     """
     others = [F.col(c) for c in docs.columns if c not in (id_col, text_col)]
     rows = docs.select(F.col(id_col).alias("o"), F.xxhash64(text_col).alias("x"), F.col(text_col).alias("text"), F.struct(*others).alias("more") if others else F.lit(None).alias("more"))
-    lines = cut(lines_of(rows.where("text is not null")))
-    buckets = cut(bucketed(keys(once_if_often(lines))))
+    lines = cut(each_once(lines_of(rows.where("text is not null"))).select("h", "norm", "k"))
+    buckets = cut(bucketed(keys(lines.select("h", "norm"))))
     # the texts of lines that share a key with another, read once for both rounds
-    ids = buckets.select("h").distinct()
-    texts = lines.select("h", "norm").hint("shuffle_merge").join(ids, "h", "left_semi").groupBy("h").agg(F.first("norm").alias("norm"))
+    texts = lines.select("h", "norm").hint("shuffle_merge").join(buckets.select("h").distinct(), "h", "left_semi")
     texts = cut(texts.select("h", *forms(F.col("norm"))))
 
     side = lambda k: texts.select(F.col("h").alias(k), *[F.col(c).alias(f"{k}_{c}") for c in texts.columns if c != "h"])
@@ -186,10 +197,9 @@ def fuzzy_lines(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", tex
     like = like.unionByName(cut(apart(buckets, root, texts, least)))
     group = components(like.select(F.col("a").alias("u"), F.col("b").alias("v")))
     group = cut(group.unionByName(group.select(F.col("root").alias("node"), "root").distinct()).distinct())
-    first = lambda df, by: df.groupBy(by).agg(F.min(F.struct(F.col("o").isNull().alias("none"), "o", "x", "pos")).alias("k"))
-    known = first(lines, "h").select("h", "k.o", "k.x", "k.pos")
-    stay = first(known.join(group, known["h"] == group["node"], "left").withColumn("g", F.coalesce("root", "h")), "g")
-    return rows, stay.select("k.o", "k.x", "k.pos")
+    alone = lines.select("h", "k").join(group, F.col("h") == F.col("node"), "left_anti").select("k")
+    first = lines.select("h", "k").join(group, F.col("h") == F.col("node")).groupBy("root").agg(F.min("k").alias("k")).select("k")
+    return rows, alone.unionByName(first).select("k.o", "k.x", "k.pos")
 
 
 def dedup_lines(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -162,3 +162,28 @@ def test_no_link_within_a_bucket_is_left_out(spark):
             m.setattr(linededup, "OFTEN", 2 if tile == 7 else 1000, raising=False)
             out = linededup.dedup_lines(df).collect()
         assert {x["doc_id"] for x in out if x["n_kept"]} == want
+
+
+def test_a_pair_in_many_buckets_is_compared_once(spark, monkeypatch):
+    """Like lines that share several keys, none of them like the smallest line of their buckets, are one row each pair, and the same pairs
+    as by brute force over the buckets."""
+    r = random.Random(33)
+    texts = {h: " ".join(["common", "prefix", *long_words(r, 9, 6)]) for h in range(100, 104)}
+    for h in range(200, 224):
+        w = texts[100 + h % 4].split()
+        w[r.randrange(2, 11)] = long_words(r, 1, 6)[0]
+        texts[h] = " ".join(w)
+    texts |= {1: "x", 2: "an unlike smallest line", 3: "y"}
+    members = [(key, h) for key in (7, 8, 9) for h in texts if h > 3] + [(7, 1), (8, 2), (9, 3)]
+    head = {7: 1, 8: 2, 9: 3}
+    buckets = spark.createDataFrame([(k, h, len(texts[h]), head[k], len(texts[head[k]])) for k, h in members], "key long, h long, n int, head long, head_n int")
+    norms = spark.createDataFrame(list(texts.items()), "h long, norm string")
+    root = spark.createDataFrame([(200, 100), (204, 100)], "node long, root long")
+    same = lambda a, b: {a, b} <= {100, 200, 204}
+    want = {(a, b) for a in texts for b in texts if 3 < a < b and not same(a, b) and edits(texts[a], texts[b]) <= 0.2 * max(len(texts[a]), len(texts[b]))}
+    assert len(want) > 50
+    monkeypatch.setattr(type(norms), "distinct", lambda self: self)  # the rows that the join itself makes
+    for tile in (512, 5):
+        monkeypatch.setattr(linededup, "TILE", tile)
+        got = [tuple(sorted(x)) for x in linededup.apart(buckets, root, norms.select("h", *linededup.forms(norms["norm"])), 0.8).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
