@@ -26,7 +26,9 @@ KEPT = r"[\p{L}\p{M}\p{N}]"
 def normal(text: Column) -> Column:
     """Lower case, everything but letters, combining marks, digits and line feeds a space; lines are trimmed after
     the split. Lines that differ in case and symbols only are thus equal."""
-    return F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}\p{N}\n]+", " ")
+    other = r"[^\p{L}\p{M}\p{N}\n]"
+    # a single space, as most are, is no match: what replaces it would be the same
+    return F.regexp_replace(F.lower(text), rf"{other}(?:(?<! )|(?={other})){other}*", " ")
 
 
 def simhash(*features: Column) -> Column:
@@ -46,6 +48,13 @@ def block_keys(order: str, wide: int) -> Column:
     return F.when(n >= wide, blocks).otherwise(F.array(F.xxhash64(f)))
 
 
+def word_keys(order: str, wide: int) -> Column:
+    """The same for lines of `wide` features at least, as most are: written out, since Spark compiles no lambdas."""
+    f = F.col(order)
+    blocks = F.array(*[F.xxhash64(F.lit(wide), simhash(*[F.get(f, F.lit(i + j)) for j in range(wide)])) for i in range(BLOCKS)])
+    return F.slice(blocks, F.lit(1), F.least(F.size(order) - (wide - 1), F.lit(BLOCKS)))
+
+
 def keys(lines: DataFrame) -> DataFrame:
     """(h, norm) -> (h, n, key): the block keys of lines in normal form, n the line's length.
 
@@ -60,8 +69,9 @@ def keys(lines: DataFrame) -> DataFrame:
     def ranked(w: Column, low: int) -> Column:
         h = F.xxhash64(w)
         u = (F.shiftrightunsigned(h, 11) + 1) * (2.0**-53)
-        place = F.least(F.floor(-F.log(u) / F.sqrt(F.length(w)) * float(1 << 16)), F.lit((1 << 22) - 1))
-        return F.shiftleft(place, OWN) + F.pmod(h, F.lit(1 << OWN)) + F.lit(low)
+        place = F.floor(F.log(u) / F.sqrt(F.length(w)) * -float(1 << 16))  # below 1 << 22, as u is at least 2 ** -53
+        rank = F.shiftleft(place, OWN).bitwiseOR(h.bitwiseAND(F.lit((1 << OWN) - 1)))
+        return rank.bitwiseOR(F.lit(low)) if low else rank
 
     def first(words: Column, rank) -> Column:
         return F.slice(F.sort_array(F.array_distinct(F.transform(words, rank))), 1, BLOCKS + 2)
@@ -79,8 +89,9 @@ def keys(lines: DataFrame) -> DataFrame:
 
     rows = rows.select("h", "n", "f", F.when(F.size("c") < 20, grams(3)).alias("g3"), F.when(F.size("c") >= 16, grams(4)).alias("g4"))
     n, none = F.size("f"), F.expr("cast(array() as array<bigint>)")
-    parts = [((n >= 3) & (n < 9), block_keys("f", 2)), (n >= 7, block_keys("f", 3)), (F.col("g3").isNotNull(), block_keys("g3", 2)), (F.col("g4").isNotNull(), block_keys("g4", 3))]
-    return rows.select("h", "n", F.explode(F.array_distinct(F.concat(*[F.when(when, x).otherwise(none) for when, x in parts]))).alias("key"))
+    parts = [((n >= 3) & (n < 9), word_keys("f", 2)), (n >= 7, word_keys("f", 3)), (F.col("g3").isNotNull(), block_keys("g3", 2)), (F.col("g4").isNotNull(), block_keys("g4", 3))]
+    rows = rows.select("h", "n", F.array_distinct(F.concat(*[F.when(when, x).otherwise(none) for when, x in parts])).alias("keys"))
+    return rows.select("h", "n", F.explode_outer("keys").alias("key"))  # none is empty; to explode() Spark adds a filter that works out all of this again
 
 
 def lines_of(rows: DataFrame) -> DataFrame:
@@ -105,17 +116,23 @@ ENDS = r"(?<=[aeo05\u0430\u043e\u0627\u0644\u0915\u0930\u0e01\u0e23\u3042-\u3046
 COMMON = " aeion"
 
 
-def forms(norm: Column) -> list[Column]:
-    """What the comparison needs of a line: its length, whether it is dense; its characters if they may be compared; its words and,
+def words_of(norm: Column) -> Column:
+    """How many words a line has, if it is so long that this matters."""
+    n = F.length(norm)
+    return F.when(n > LONG / 1.25, n - F.length(F.replace(norm, F.lit(" "), F.lit(""))) + 1)
+
+
+def forms(norm: Column, words: Column | None = None) -> list[Column]:
+    """What the comparison needs of a line: its length, whether it is dense; its characters and its core if they may be compared; its words and,
     of long dense lines, its pieces, one character each, if these may be. A word's character is drawn by its hash
-    from 40,000 code points (U+3400 on, none of them a surrogate)."""
-    one = lambda w: F.lpad(F.hex(F.lit(0x3400) + F.pmod(F.xxhash64(w), F.lit(40000))), 4, "0")
+    from 40,000 code points (U+3400 on, none of them a surrogate). words: a column of `words_of`, if there is one."""
+    one = lambda w: F.hex(F.lit(0x3400) + F.pmod(F.xxhash64(w), F.lit(40000)))  # noqa: E731  always four digits
     coded = lambda parts: F.decode(F.unhex(F.array_join(F.transform(parts, one), "")), "UTF-16BE")
-    n = F.length(norm)
-    words = n - F.length(F.replace(norm, F.lit(" "), F.lit(""))) + 1
+    n, words = F.length(norm), words_of(norm) if words is None else words
     dense = (n > LONG / 1.25) & (n > DENSE * words)
+    chars = (n <= LONG * 1.25) | (dense & (n <= HUGE * 1.25))
     return [
-        F.translate(norm, COMMON, "").alias("core"), n.alias("n"), dense.alias("dense"), (dense & (n > DENSEST * words)).alias("densest"), F.when((n <= LONG * 1.25) | (dense & (n <= HUGE * 1.25)), norm).alias("chars"),
+        F.when(chars, F.translate(norm, COMMON, "")).alias("core"), n.alias("n"), dense.alias("dense"), (dense & (n > DENSEST * words)).alias("densest"), F.when(chars, norm).alias("chars"),
         F.when(n > LONG / 1.25, coded(F.split(norm, " "))).alias("words"), F.when(dense & (n > HUGE / 1.25), coded(F.split(norm, ENDS))).alias("pieces"),
     ]
 
@@ -147,11 +164,11 @@ def each_once(lines: DataFrame) -> DataFrame:
 
 
 def bucketed(keyed: DataFrame) -> DataFrame:
-    """(h, n, key), each once -> (key, h, n, head, head_n): the lines of each bucket of two or more, head the bucket's smallest.
+    """(h, n, key), each once -> (key, h, n, head, head_n): the lines of each bucket of two or more but its smallest, the head.
     One shuffle, whatever the size; a bucket is sorted, spilling if it must, never held whole."""
-    by = Window.partitionBy("key").orderBy("h")
-    out = keyed.withColumns({"_before": F.lag("h").over(by), "_after": F.lead("h").over(by), "head": F.first("h").over(by), "head_n": F.first("n").over(by)})
-    return out.where("_before is not null or _after is not null").select("key", "h", "n", "head", "head_n")
+    by = Window.partitionBy("key").orderBy("h").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = keyed.withColumns({"head": F.first("h").over(by), "head_n": F.first("n").over(by)})
+    return out.where("h <> head").select("key", "h", "n", "head", "head_n")
 
 
 def apart(buckets: DataFrame, root: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -185,17 +202,19 @@ def fuzzy_lines(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", tex
     lines = cut(each_once(lines_of(rows.where("text is not null"))).select("h", "norm", "k"))
     buckets = cut(bucketed(keys(lines.select("h", "norm"))))
     # the texts of lines that share a key with another, read once for both rounds
-    texts = lines.select("h", "norm").hint("shuffle_merge").join(buckets.select("h").distinct(), "h", "left_semi")
-    texts = cut(texts.select("h", *forms(F.col("norm"))))
+    among = buckets.select("h").unionByName(buckets.select(F.col("head").alias("h"))).distinct()
+    texts = lines.select("h", "norm").hint("shuffle_merge").join(among, "h", "left_semi")
+    texts = cut(texts.select("h", "norm", words_of(F.col("norm")).alias("words")).select("h", *forms(F.col("norm"), F.col("words"))))
 
     side = lambda k: texts.select(F.col("h").alias(k), *[F.col(c).alias(f"{k}_{c}") for c in texts.columns if c != "h"])
     # every member against its bucket's smallest
-    stars = buckets.where("h <> head").where(comparable("head_n", "n", least)).select(F.col("head").alias("a"), F.col("h").alias("b")).distinct()
+    stars = buckets.where(comparable("head_n", "n", least)).select(F.col("head").alias("a"), F.col("h").alias("b")).distinct()
     like = cut(stars.hint("shuffle_merge").join(side("a"), "a").hint("shuffle_merge").join(side("b"), "b").where(similar(least)).select("a", "b"))
     # where these links, of whatever bucket, leave members of a bucket unconnected, all its pairs that are apart are compared
     root = components(like.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    like = like.unionByName(cut(apart(buckets, root, texts, least)))
-    group = components(like.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    more = cut(apart(buckets, root, texts, least))
+    # a line and its root stand for the first links
+    group = components(root.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more.select(F.col("a").alias("u"), F.col("b").alias("v"))))
     group = cut(group.unionByName(group.select(F.col("root").alias("node"), "root").distinct()).distinct())
     alone = lines.select("h", "k").join(group, F.col("h") == F.col("node"), "left_anti").select("k")
     first = lines.select("h", "k").join(group, F.col("h") == F.col("node")).groupBy("root").agg(F.min("k").alias("k")).select("k")

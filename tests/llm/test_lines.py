@@ -1,6 +1,7 @@
 """Line dedup: recall against brute force, nothing that depends on unrelated rows, ids of any type, long documents."""
 
 import random
+import re
 
 import pytest
 
@@ -187,3 +188,30 @@ def test_a_pair_in_many_buckets_is_compared_once(spark, monkeypatch):
         monkeypatch.setattr(linededup, "TILE", tile)
         got = [tuple(sorted(x)) for x in linededup.apart(buckets, root, norms.select("h", *linededup.forms(norms["norm"])), 0.8).collect()]
         assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_lines_carry_only_what_is_compared(spark):
+    """A line has characters and a core or, if only its words are compared, neither; keys are worked out once, not again in a filter."""
+    texts = ["short line", "word " * 200, "x" * 900, "x" * 30_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "h long, norm string")
+    got = {r["h"]: (r["core"] is not None, r["chars"] is not None, r["words"] is not None, r["pieces"] is not None) for r in df.select("h", *linededup.forms(df["norm"])).collect()}
+    assert got == {0: (True, True, False, False), 1: (False, False, True, False), 2: (True, True, True, False), 3: (False, False, True, True)}
+    of = linededup.keys(df)
+    plan = of._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("SQRT(") == 3, plan  # the long words, and all words by their two kinds
+    assert of.where("key is null").count() == 0
+
+
+def test_normal_form_of_runs_between_words(spark):
+    """Every run of other characters is one space, single spaces too, at line feeds and at both ends."""
+    texts = ["a b", "a  b", "a - b", " a", "a ", "-", " ", "", "a\n b", "a \nb", "a-\n-b", "-a b- c\t d", "a\u00a0b", "É É  é", "1 2,3", "a , b", "\n \n", "a. b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, text string")
+    for r in df.select("text", linededup.normal(df["text"]).alias("n")).collect():
+        want = re.sub(r"[^\w\n]+", " ", r["text"].lower())
+        assert r["n"] == want, r
+
+
+def test_buckets_are_members_with_their_smallest(spark):
+    """Each bucket of two or more gives its lines but the smallest, which each row names."""
+    df = spark.createDataFrame([(5, 50, 1), (3, 30, 1), (9, 90, 1), (4, 40, 2), (3, 30, 3), (4, 40, 3)], "h long, n int, key long")
+    assert sorted(map(tuple, linededup.bucketed(df).collect())) == [(1, 5, 50, 3, 30), (1, 9, 90, 3, 30), (3, 4, 40, 3, 30)]
