@@ -6,7 +6,7 @@ import functools
 import hashlib
 import re
 from collections.abc import Iterator
-from itertools import accumulate, chain, count
+from itertools import accumulate, count
 
 import numpy as np
 import pyarrow as pa
@@ -52,16 +52,20 @@ def expand(ids_a: list[int], ids_b: list[int], ends_a: list[int], ends_b: list[i
         i, j = i + (x < y), j + (y < x)
 
 
+def cuts(ends_a: list[int], ends_b: list[int]) -> tuple[list[int], list[int], list[int]]:
+    """The common ends in order, and how many of A's and B's ids end there or before: dictionaries from cumulative ends to places."""
+    at_a, at_b = dict(zip(ends_a, count(1))), dict(zip(ends_b, count(1)))  # noqa: B905
+    ends = list(filter(at_b.__contains__, at_a))
+    return ends, list(map(at_a.__getitem__, ends)), list(map(at_b.__getitem__, ends))
+
+
 def align(ids_a: list[int], ids_b: list[int], sizes_a: list[int], sizes_b: list[int]) -> Iterator[tuple[int, int, int, list[int]]]:
     """(end in bytes, end in A's ids, end in B's ids, links) of each group of two id lists over the same bytes:
-    dictionaries from cumulative ends to places, their common keys in order cut both lists, and each slice is
-    expanded by itself."""
+    their common ends cut both lists, and each slice is expanded by itself. Pair.learn does the same for many units at once."""
     ends_a = list(accumulate(map(sizes_a.__getitem__, ids_a)))
     ends_b = list(accumulate(map(sizes_b.__getitem__, ids_b)))
-    at_a, at_b = dict(zip(ends_a, count(1))), dict(zip(ends_b, count(1)))  # noqa: B905
     i = j = 0
-    for e in sorted(at_a.keys() & at_b.keys()):
-        p, q = at_a[e], at_b[e]
+    for e, p, q in zip(*cuts(ends_a, ends_b), strict=True):
         if p - i == 1 == q - j:
             yield e, p, q, [ids_a[i] << 32 | ids_b[j]]
         else:
@@ -96,22 +100,40 @@ class Pair:
         self.chars, self.kept = 0, kept
 
     def learn(self, units: list[str]) -> bool:
-        """Remember units that stand one behind the other in a text, as (n_a, n_b, n_groups, groups, links); False if
-        its tokens' bytes aren't the text's."""
+        """Remember units that stand one behind the other in a text, as (n_a, n_b, n_groups, groups, links), links
+        as the bytes of 64-bit numbers; False if its tokens' bytes aren't the text's."""
         text = " ".join(units)
         a, b = self.a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids, self.b.encode(text, num_threads=1)
         raw = (" " + text).encode()
         if b"".join(map(self.bytes_a.__getitem__, a)) != raw or b"".join(map(self.bytes_b.__getitem__, b)) != raw:
             return False
-        name, each, ends = self.name, iter(units), accumulate([len(u.encode()) + 1 for u in units])
-        end, said, links, i0, j0, i, j = next(ends), [], [], 0, 0, 0, 0
-        for e, p, q, some in align(a, b, self.sizes_a, self.sizes_b):
-            said.append(f"{name[a[i]]}|{name[b[j]]}" if p - i == 1 == q - j else f"{','.join([name[x] for x in a[i:p]])}|{','.join([name[x] for x in b[j:q]])}")
-            links += some
-            i, j = p, q
-            if e == end:
-                self.known[next(each)] = (i - i0, j - j0, len(said), ";".join(said), links)
-                end, said, links, i0, j0 = next(ends, 0), [], [], i, j
+        name, sizes_a, sizes_b = self.name, self.sizes_a, self.sizes_b
+        ends_a, ends_b = list(accumulate(map(sizes_a.__getitem__, a))), list(accumulate(map(sizes_b.__getitem__, b)))
+        ends, *upto = cuts(ends_a, ends_b)
+        p, q = (np.array([0, *x]) for x in upto)
+        n_a, n_b = np.diff(p), np.diff(q)
+        # groups of one id each, as most are, at once; the others' slices are expanded
+        first_a, first_b = np.array(a, np.int64)[p[:-1]], np.array(b, np.int64)[q[:-1]]
+        said = [f"{name[x]}|{name[y]}" for x, y in zip(first_a.tolist(), first_b.tolist(), strict=True)]
+        more = []
+        wide = (n_a > 1) | (n_b > 1)
+        at = np.flatnonzero(wide)
+        for k, i, i2, j, j2 in zip(*(x.tolist() for x in (at, p[at], p[at + 1], q[at], q[at + 1])), strict=True):
+            ids_a, ids_b = a[i:i2], b[j:j2]
+            said[k] = f"{','.join([name[x] for x in ids_a])}|{','.join([name[x] for x in ids_b])}"
+            more += expand(ids_a, ids_b, ends_a[i:i2], ends_b[j:j2])
+        # no token is empty, so a group's ids have one link less than they are
+        upto = np.concatenate([[0], np.cumsum(n_a + n_b - 1)])
+        links, alone = np.empty(upto[-1], np.int64), np.zeros(upto[-1], bool)
+        alone[upto[:-1][~wide]] = True
+        links[alone], links[~alone] = (first_a << 32 | first_b)[~wide], more
+        links = links.tobytes()
+        # each unit's groups
+        g = np.concatenate([[0], np.searchsorted(ends, np.cumsum([len(u.encode()) + 1 for u in units]), "right")])
+        n_a, n_b, ends = np.diff(p[g]).tolist(), np.diff(q[g]).tolist(), (8 * upto[g]).tolist()
+        g = g.tolist()
+        for k, u in enumerate(units):
+            self.known[u] = (n_a[k], n_b[k], g[k + 1] - g[k], ";".join(said[g[k] : g[k + 1]]), links[ends[k] : ends[k + 1]])
         return True
 
     def units(self, texts: list[str]) -> list[list[tuple]]:
@@ -213,7 +235,7 @@ def numbered(docs: DataFrame, path_a: str, path_b: str, groups: bool, chunk_link
             ids, at = frame.column("doc_id").to_pylist(), 0
             for texts in batches(frame.column("text").to_pylist()):
                 for rows in pair.units(texts):
-                    links, times = np.unique(np.fromiter(chain.from_iterable([r[4] for r in rows]), np.int64), return_counts=True)
+                    links, times = np.unique(np.frombuffer(b"".join([r[4] for r in rows]), np.int64), return_counts=True)
                     text = ";".join([r[3] for r in rows])
                     digest = hashlib.sha256(text.encode()).hexdigest() if rows else ""
                     held.append((ids[at], *[sum([r[k] for r in rows]) for k in range(3)], int(times.sum()), digest, *([text] if groups else []), (links, times.astype(np.int32))))

@@ -97,3 +97,22 @@ def test_a_small_memory_changes_nothing(spark, sf_dir):
     one, few = align.Pair(A, B), align.Pair(A, B, kept=3)
     for t in [*texts, *texts]:
         assert one.units([t]) == few.units([t])
+
+
+def test_many_units_at_once_are_as_one_by_one(monkeypatch):
+    """Units learned together are what align says of each by itself, and groups of one id each aren't walked."""
+    units = ["Hello", "don't", "épare,", "नमस्ते", "🙂🙃", "tionthst", "x" * 50, "a", "ÈMENT!!"]
+    pair = align.Pair(A, B)
+    want = []
+    for u in units:
+        a, b = pair.a.encode(" " + u, add_special_tokens=False).ids, pair.b.encode(u)
+        groups = list(align.align(a, b, pair.sizes_a, pair.sizes_b))
+        cut = [(0, 0), *[(p, q) for _, p, q, _ in groups]]
+        said = ";".join(f"{','.join(map(str, a[i:p]))}|{','.join(map(str, b[j:q]))}" for (i, j), (p, q) in zip(cut, cut[1:]))
+        want.append((len(a), len(b), len(groups), said, [x for g in groups for x in g[-1]]))
+    assert any(len(w[4]) > w[2] for w in want)
+    walked = []
+    monkeypatch.setattr(align, "align", lambda *x, f=align.align: walked.append(x) or f(*x))
+    got = pair.units([" ".join(units)])[0]
+    assert [(*r[:4], list(memoryview(r[4]).cast("q"))) for r in got] == want
+    assert not walked
