@@ -118,3 +118,15 @@ def test_cases_and_records_meet_as_classes(spark):
             if set(own[c]) & set(docs[p]):
                 years[c, p % 6] = years.get((c, p % 6), 0) + 1
     assert {tuple(r) for r in s.year_counts(records).collect()} == {(*k, n) for k, n in years.items()}
+
+
+@pytest.mark.parametrize("name", ["matched_set"])
+def test_every_record_is_a_case(spark, sf_dir, name):
+    """Records whose id isn't divisible by 100 are cases as well; factors have a row for each."""
+    from lacuna.plans import catalog
+
+    got = {r["case_id"] for r in catalog.QUERIES[name](spark, sf_dir).select("case_id").distinct().collect()}
+    every = {r["doc_id"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id").collect()}
+    assert got <= every and any(c % 100 for c in got)
+    if name in ("crowding", "regional", "temporal"):
+        assert got == every
