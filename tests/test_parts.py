@@ -7,6 +7,7 @@ import re
 from datetime import date, datetime
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lacuna.operators import clean, features, lookup, match, notes, retrieve, schemes, score
@@ -319,3 +320,24 @@ def test_notes(spark):
     assert said[1, "temporal", "en"] == "40 publications match from 2006 to 2010; the trend against the field gives 0.63."
     assert not any("{" in x for x in said.values())
     assert notes.told(notes.facts(novelty, crowding, regional, temporal, c, 120), []).count() == 0
+
+
+def test_blocks_of_cases_and_records_rank_like_all_hits(spark, monkeypatch):
+    """The best k by blocks are the first k of all hits, ties by place; blocks of a few cases and postings, many equal records."""
+    from lacuna.operators import tiles
+
+    draw = random.Random(11)
+    words = [f"word{chr(97 + i)}" for i in range(20)]
+    texts = [" ".join(draw.choices(words, weights=range(1, 21), k=draw.randrange(1, 12))) for _ in range(60)]
+    rows = [(p, "", texts[p % 60 if p < 120 else 7], f"20{10 + p % 8}-01-15") for p in range(150)]
+    d = spark.createDataFrame(rows, "pos long, title string, abstract string, publication_date string").withColumn("publication_date", F.to_date("publication_date"))
+    qs = spark.createDataFrame([(f"c{c}", t) for c in range(40) for t in draw.sample(words, 6)], "case_id string, token string")
+    cuts = spark.createDataFrame([(f"c{c}", f"20{9 + c % 9:02d}-06-30") for c in range(40)], "case_id string, cutoff string").withColumn("cutoff", F.to_date("cutoff"))
+    monkeypatch.setattr(tiles, "CASES", 9)
+    monkeypatch.setattr(tiles, "POSTINGS", 50)
+    index = retrieve.Index(d)
+    want = {(r["case_id"], r["rank"]): (r["pos"], round(r["score"], 9)) for r in index.as_of(qs, cuts, None).where("rank <= 4").collect()}
+    got = [((r["case_id"], r["rank"]), (r["pos"], round(r["score"], 9))) for r in index.as_of(qs, cuts, 4).collect()]
+    assert len(got) == len(want) > 100 and dict(got) == want
+    late = {r["case_id"]: r["pos"] for r in index.as_of(qs, cuts, None).where("pos >= 90").withColumn("n", F.row_number().over(Window.partitionBy("case_id").orderBy("rank"))).where("n = 1").collect()}
+    assert {r["case_id"]: r["pos"] for r in index.as_of(qs, cuts, 1, F.col("pos") >= 90).collect()} == late
