@@ -120,7 +120,7 @@ def test_cases_and_records_meet_as_classes(spark):
     assert {tuple(r) for r in s.year_counts(records).collect()} == {(*k, n) for k, n in years.items()}
 
 
-@pytest.mark.parametrize("name", ["matched_set", "crowding", "regional", "temporal", "year_counts", "bm25_top5"])
+@pytest.mark.parametrize("name", ["matched_set", "crowding", "regional", "temporal", "year_counts", "bm25_top5", "bm25_with_external"])
 def test_every_record_is_a_case(spark, sf_dir, name):
     """Records whose id isn't divisible by 100 are cases as well; factors have a row for each."""
     from lacuna.plans import catalog
